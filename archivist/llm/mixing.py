@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return one.withColumn("target", target)
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, buckets: int = 64) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, buckets: int = 16) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target, copies and taken (= copies * size).
 
     The documents of a source are put in order of size class (leading bits of the size), a hash
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
             # null as a value of its own, so that counts and rows meet by equality
             "_src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("z")),
             "_len": F.length(bits),
-            "_top": F.substring(bits, 1, 3),
+            "_top": F.substring(bits, 1, 6),
             "_h": hash30(key),
         }
     ).withColumn("_b", F.col("_h") % buckets)
