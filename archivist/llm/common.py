@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts of an Arrow column, and where each text starts (and the last
+    ends); a null is an empty text."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
 class Words:
     """Cuts UTF-8 texts into words with whole-array operations and hashes each word to 64 bits.
 
@@ -83,21 +97,23 @@ class Words:
     def __init__(self, is_word: np.ndarray) -> None:
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
-        self.is_word = is_word.astype(bool)
-
-    def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lowered bytes, and where each word starts and ends."""
-        raw = self.lower[np.frombuffer(data, np.uint8)]
-        inside = np.zeros(len(raw) + 2, np.int8)
-        inside[1:-1] = self.is_word[raw]
-        step = np.diff(inside)
-        return raw, np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-    def hashes(self, data: bytes) -> np.ndarray:
-        """A 64-bit hash of every word, in order; equal words have equal hashes."""
-        raw, start, end = self.bounds(data)
-        if len(start) == 0:
-            return np.empty(0, np.uint64)
+        self.is_word = is_word.astype(bool)[self.lower]
+
+    def bounds(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts and ends; a word never spans two texts."""
+        inside = self.is_word[data]
+        before = np.empty_like(inside)
+        before[:1], before[1:] = False, inside[:-1]
+        before[at[:-1][at[:-1] < len(data)]] = False
+        start = np.flatnonzero(inside & ~before)
+        after = np.empty_like(inside)
+        after[-1:], after[:-1] = False, inside[1:]
+        last = at[1:][at[1:] > 0] - 1
+        after[last] = False
+        return start, np.flatnonzero(inside & ~after) + 1
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each span; equal words have equal hashes."""
         if not _POW:
             _POW["up"], _POW["down"] = _powers(_MULT, _CHUNK), _powers(_INV, _CHUNK)
         out = np.empty(len(start), np.uint64)
@@ -105,7 +121,7 @@ class Words:
         while lo < len(start):
             base = int(start[lo])
             hi = max(int(np.searchsorted(end, base + _CHUNK, "right")), lo + 1)
-            piece = raw[base : end[hi - 1]].astype(np.uint64) + np.uint64(1)
+            piece = self.lower[data[base : end[hi - 1]]].astype(np.uint64) + np.uint64(1)
             if len(piece) > _CHUNK:  # one word longer than a chunk
                 out[lo] = self._long(piece)
             else:
@@ -125,17 +141,33 @@ class Words:
             scale = scale * pow(_MULT, len(part), 1 << 64) % (1 << 64)
         return np.uint64((total + len(piece)) % (1 << 64))
 
-
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """The distinct shingles of ``width`` words, sorted; with fewer words the whole sequence is one."""
-    if len(words) == 0:
-        return words
-    n = max(len(words) - width + 1, 1)
-    wide = min(width, len(words))
-    total = np.full(n, np.uint64(wide))
-    for k in range(wide):
-        total = mix64(total * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n])
-    return np.unique(total)
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of all texts, and for each text the number of its first (and of the
+        first after the last)."""
+        data, at = text_bytes(column)
+        start, end = self.bounds(data, at)
+        return self.hashes(data, start, end), np.searchsorted(start, at)
+
+
+def shingles(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each text its distinct shingles of ``width`` words, sorted; with fewer words the whole
+    sequence is one; none without words."""
+    step = np.uint64(0xD6E8FEB86659FD93)
+    n = len(words) - width + 1
+    full = np.zeros(max(n, 0), np.uint64)
+    for k in range(width):
+        full = full * step + words[k : k + len(full)]
+    full = mix64(full)
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if hi - lo >= width:
+            yield np.unique(full[lo : hi - width + 1])
+        elif hi > lo:
+            total = np.zeros(1, np.uint64)
+            for word in words[lo:hi]:
+                total = total * step + word
+            yield mix64(total + np.uint64(hi - lo))
+        else:
+            yield words[:0]
 
 
 def space_words() -> Words:
