@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from archivist.llm.common import small_batches, written
 
 #: Where the tokenizer's own rules on white space or case could differ from str.split and str.lower.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _KEPT = 300_000
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm import htmltext, langid, minhash, mixing, packing, urlfilter, vectors
+from archivist.llm import htmltext, langid, licenses, minhash, mixing, packing, urlfilter, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_filter(_read(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op8_license_scan": op8_license_scan,
     "op10_packing": op10_packing,
 }
 
