@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivist.llm import htmltext, langid, licenses, minhash, mixing, packing, urlfilter, vectors
+from archivist.llm import htmltext, langid, licenses, linededup, minhash, mixing, packing, urlfilter, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_license_scan": op8_license_scan,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
