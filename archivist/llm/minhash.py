@@ -25,6 +25,8 @@ BANDS = 2 * PERMUTATIONS // BAND
 SKETCH = 2048
 #: Members of a bucket that are compared in one task; a larger bucket is split into blocks.
 BLOCK = 1024
+#: Rows of buckets that are compared in one call.
+GROUP = 2048
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,56 +99,60 @@ def _sets(width: int):
 
 
 def _compare(threshold: float, forest: bool):
-    """Pairs of a block pair whose sketches allow the threshold and that don't meet in an earlier
-    band nor are in one component: with ``forest`` only as many as connect what they connect."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, n, comp, side = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
-        empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if len(ids) < 2 or (comp == comp[0]).all():
-            return empty
+    """Pairs of the same bucket block (rows of equal key, left and right) whose sketches allow the
+    threshold and that neither meet in an earlier band nor are in one component: with ``forest``
+    only as many as connect what they connect."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "left", "right", "id"], ignore_index=True)
+        ids, n, comp, side, key = (rows[c].to_numpy() for c in ("id", "n", "comp", "side", "key"))
+        split = (rows["left"] != rows["right"]).to_numpy()
         keys = np.stack(rows["keys"].to_numpy())
-        bits = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in rows["sketch"]]), axis=1).astype(np.float32)
-        ones = bits.sum(axis=1)
-        bucket, left, right = key
-        first = int(np.flatnonzero(keys[0] == bucket)[0])
-        root = np.arange(len(ids))
-        same = {c: k for k, c in reversed(list(enumerate(comp.tolist())))}
-        root = np.array([same[c] for c in comp.tolist()])
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        for lo in range(0, len(ids), 256):
-            here = slice(lo, lo + 256)
-            apart = ones[here, None] + ones - 2 * (bits[here] @ bits.T)
-            most = (1 - threshold) / (1 + threshold) * (n[here, None] + n) + 1e-6
-            small, large = np.minimum(n[here, None], n), np.maximum(n[here, None], n)
-            near = (apart <= most) & (small >= threshold * large - 1e-6) & (comp[here, None] != comp) & (np.arange(len(ids)) > np.arange(lo, min(lo + 256, len(ids)))[:, None])
-            if left != right:
-                near &= side[here, None] != side
-            i, j = np.nonzero(near)
-            i += lo
-            if first and len(i):
-                meet = (keys[i, :first] == keys[j, :first]).any(axis=1)
-                i, j = i[~meet], j[~meet]
-            if not forest:
-                out += zip(i.tolist(), j.tolist(), strict=True)
-                continue
-            order = np.argsort(apart[i - lo, j], kind="stable")
-            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                if (p := find(x)) != (q := find(y)):
+        band = (keys == key[:, None]).argmax(axis=1)
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        same = (rows[["key", "left", "right"]] == rows[["key", "left", "right"]].shift()).all(axis=1).to_numpy()
+        block = np.cumsum(~same) - 1
+        size = np.bincount(block)[block]
+        found = []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (comp[i] != comp[j]) & (low >= threshold * high - 1e-6) & ~(split[i] & (side[i] == side[j]))
+            i, j = i[ok], j[ok]
+            for at in range(0, len(i), 8192):
+                x, y = i[at : at + 8192], j[at : at + 8192]
+                apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+                ok = apart <= (1 - threshold) / (1 + threshold) * (n[x] + n[y]) + 1e-6
+                x, y, apart = x[ok], y[ok], apart[ok]
+                ok = ~((keys[x] == keys[y]) & (np.arange(BANDS) < band[x, None])).any(axis=1)
+                found.append((x[ok], y[ok], apart[ok]))
+
+        few = size <= 64
+        for step in range(1, int(size[few].max(initial=1))):
+            i = np.flatnonzero(few[:-step] & (block[:-step] == block[step:]))
+            keep(i, i + step)
+        for lo in np.flatnonzero(~same & ~few).tolist():
+            hi = lo + int(size[lo])
+            for i in range(lo, hi - 1):
+                keep(np.full(hi - i - 1, i), np.arange(i + 1, hi))
+        x, y, apart = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+        if forest:
+            nodes, at = np.unique(comp, return_inverse=True)
+            root, chosen = list(range(len(nodes))), []
+
+            def find(p: int) -> int:
+                while root[p] != p:
+                    root[p] = root[root[p]]
+                    p = root[p]
+                return p
+
+            order = np.argsort(apart, kind="stable")
+            for k, p, q in zip(order.tolist(), at[x[order]].tolist(), at[y[order]].tolist(), strict=True):
+                if (p := find(p)) != (q := find(q)):
                     root[max(p, q)] = min(p, q)
-                    out.append((x, y))
-        if not out:
-            return empty
-        pairs = np.array(out)
-        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+                    chosen.append(k)
+            x, y = x[chosen], y[chosen]
+        return pd.DataFrame({"a": ids[x], "b": ids[y]})
 
     return run
 
@@ -159,7 +165,7 @@ def _met(nodes: DataFrame) -> DataFrame:
     return nodes.join(met, "id")
 
 
-def _candidates(met: DataFrame, comps: DataFrame | None, threshold: float, forest: bool) -> DataFrame:
+def _candidates(met: DataFrame, comps: DataFrame | None, threshold: float, forest: bool, groups: int) -> DataFrame:
     if comps is None:
         rows = met.withColumn("comp", F.col("id"))
     else:
@@ -172,7 +178,8 @@ def _candidates(met: DataFrame, comps: DataFrame | None, threshold: float, fores
     rows = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("id", "n", "comp", "keys", "sketch", "side", F.col("b.key").alias("key"), F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"))
-    return rows.groupBy("key", "left", "right").applyInPandas(_compare(threshold, forest), "a long, b long").distinct()
+    together = F.pmod(F.xxhash64("key", "left", "right"), F.lit(groups))  # many small buckets make one group
+    return rows.groupBy(together).applyInPandas(_compare(threshold, forest), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,10 +212,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     nodes = written(nodes.where("id is not null"))
     met = written(_met(nodes.select("id", F.col("n_shingles").alias("n"), "keys", "sketch")))
     threshold = percent / 100
+    groups = max(1, -(-(met.agg(F.sum(F.size("buckets"))).first()[0] or 0) // GROUP))
     texts = plain.join(nodes.select("id"), "id", "left_semi")
-    links = written(_confirmed(written(_candidates(met, None, threshold, True)), texts, width, percent))
+    links = written(_confirmed(written(_candidates(met, None, threshold, True, groups)), texts, width, percent))
     comps = components(links)
-    more = written(_confirmed(written(_candidates(met, comps, threshold, False)), texts, width, percent))
+    more = written(_confirmed(written(_candidates(met, comps, threshold, False, groups)), texts, width, percent))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     labels = nodes.join(comps, "id", "left").select(*same, F.coalesce("component_id", "id").alias("component_id"))
