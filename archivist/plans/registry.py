@@ -5,6 +5,552 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from archivist.functions import text as T
+from archivist.functions import vectors as V
+from archivist.operators import chunking, documents, integrity, rag, search, versions
+from archivist.plans import pipelines
+from archivist.sources import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+_EXT = (".txt", ".md", ".csv", ".html", ".png", "")
+#: Text payload of a chunk of the default size.
+_SIZE = 2600
+
+
+def _query(sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# --- fixtures: the archive's tables from the given ones ---------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    ext = F.element_at(F.array(*[F.lit(x) for x in _EXT]), (F.pmod("doc_id", F.lit(len(_EXT))) + 1).cast("int"))
+    return docs.select(F.col("source").alias("archive_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), ext).alias("source_file"), "doc_id", F.col("text").alias("content"))
+
+
+_NAME = "'doc_' || doc_id || ['.txt', '.md', '.csv', '.html', '.png', ''][doc_id % 6 + 1]"
+_FILES = f"files AS (SELECT source AS archive_id, {_NAME} AS source_file, doc_id, text AS content, sha256(text) AS file_hash, length(text) AS n FROM documents)"
+_CHUNKS = f"""{_FILES}, chunks AS (
+  SELECT archive_id, source_file, doc_id, file_hash, i AS chunk_index, (n + {_SIZE - 1}) // {_SIZE} AS chunk_total,
+         substring(content, (i * {_SIZE} + 1)::bigint, {_SIZE}) AS payload
+  FROM files, unnest(range(0, (n + {_SIZE - 1}) // {_SIZE})) AS u(i) WHERE n > 0)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(_files(spark, sf_dir))
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with faults by the file's hash: second chunks lost, chunks stored twice."""
+    rows = _chunks(spark, sf_dir).where(~(F.startswith("file_hash", F.lit("0")) & (F.col("chunk_index") == 1)))
+    copies = F.when(F.startswith("file_hash", F.lit("1")), 2).otherwise(1)
+    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), copies))).drop("_c")
+
+
+_DAMAGED = f"""{_CHUNKS}, damaged AS (
+  SELECT chunks.* FROM chunks, unnest(range(0, CASE WHEN starts_with(file_hash, '1') THEN 2 ELSE 1 END)) AS v(c)
+  WHERE NOT (starts_with(file_hash, '0') AND chunk_index = 1))"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations, a frame a turn, before and after all turns moved on by one."""
+    rows = _read(spark, sf_dir, "conversations")
+    one = lambda shift: rows.select(F.col("conv_id").alias("memory_id"), (F.col("turn") + shift).alias("frame"), F.sha2("text", 256).alias("hash"), F.col("text").alias("payload"))
+    return one(0), one(1)
+
+
+_SNAPSHOTS = """old AS (SELECT conv_id AS memory_id, turn AS frame, sha256(text) AS hash, text AS payload FROM conversations),
+new AS (SELECT conv_id AS memory_id, turn + 1 AS frame, sha256(text) AS hash, text AS payload FROM conversations),
+diff AS (SELECT coalesce(old.memory_id, new.memory_id) AS memory_id, coalesce(old.frame, new.frame) AS frame,
+  CASE WHEN old.hash IS NULL THEN 'insert' WHEN new.hash IS NULL THEN 'delete' ELSE 'replace' END AS type,
+  old.hash AS old_hash, new.hash AS new_hash, new.payload AS payload
+  FROM old FULL JOIN new ON old.memory_id = new.memory_id AND old.frame = new.frame WHERE old.hash IS DISTINCT FROM new.hash)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").alias("memory_id"), (F.col("turn") + 1).alias("version"), F.sha2("text", 256).alias("file"), F.col("text").alias("message"), F.col("role").alias("author"))
+
+
+_VERSIONS = "versions AS (SELECT conv_id AS memory_id, turn + 1 AS version, sha256(text) AS file, text AS message, role AS author FROM conversations)"
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    frames = _read(spark, sf_dir, "embeddings")
+    one = frames.where("vec_id = 0").select("embedding").first()
+    return frames, list(one[0]) if one else [1.0]
+
+
+_QUERY_VECTOR = "(SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)"
+_COSINE = "list_cosine_similarity(embedding::double[], q)"
+
+# --- vectors ----------------------------------------------------------------------------------
+
+
+@_query(f"""WITH s AS (SELECT vec_id, {_COSINE} AS score FROM embeddings, (SELECT {_QUERY_VECTOR} AS q))
+SELECT vec_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, vec_id))::int AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10""")
+def v7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, query = _vector(spark, sf_dir)
+    return search.top_k(frames, query, 10).select("vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(f"""WITH s AS (SELECT vec_id, {_COSINE} AS score FROM embeddings, (SELECT {_QUERY_VECTOR} AS q))
+SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.2 ORDER BY score DESC, vec_id LIMIT 20""")
+def v8_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, query = _vector(spark, sf_dir)
+    return search.threshold_search(frames, query, 20, 0.2).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"""WITH s AS (SELECT vec_id, {_COSINE} AS score FROM embeddings, (SELECT {_QUERY_VECTOR} AS q) WHERE vec_id <> 0)
+SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.2 ORDER BY score DESC, vec_id LIMIT 5""")
+def v10_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.similar(_read(spark, sf_dir, "embeddings"), 0, 5, 0.2).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"SELECT vec_id, round({_COSINE}, 6) AS score, label FROM embeddings, (SELECT {_QUERY_VECTOR} AS q)")
+def v3_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, query = _vector(spark, sf_dir)
+    return frames.where(V.same_dim(F.col("embedding"), len(query))).select("vec_id", F.round(V.cosine(F.col("embedding"), F.lit(query)), 6).alias("score"), "label")
+
+
+@_query("""WITH n AS (SELECT vec_id, embedding::double[] AS e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) AS norm FROM embeddings)
+SELECT vec_id, round(norm, 6) AS norm, round(e[1] / norm, 6) AS first, round(e[64] / norm, 6) AS last FROM n""")
+def v4_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").withColumn("norm", V.norm(F.col("embedding")))
+    rows = rows.withColumn("u", V.scaled(F.col("embedding"), F.col("norm")))
+    return rows.select("vec_id", F.round("norm", 6).alias("norm"), F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", 64), 6).alias("last"))
+
+
+@_query("""WITH s AS (SELECT q.vec_id AS query_id, f.vec_id AS vec_id, list_cosine_similarity(f.embedding::double[], q.embedding::double[]) AS score
+FROM embeddings f, embeddings q WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::int AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def v9_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _read(spark, sf_dir, "embeddings")
+    queries = frames.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.batch_top_k(frames, queries, 5).withColumn("score", F.round("score", 6))
+
+
+@_query("""WITH p AS (SELECT a.vec_id, count(b.vec_id) AS n FROM embeddings a LEFT JOIN embeddings b ON a.vec_id <> b.vec_id
+AND round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.3 GROUP BY a.vec_id)
+SELECT vec_id, n AS neighbours FROM p""")
+def v11_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.neighbour_counts(_read(spark, sf_dir, "embeddings"), 0.3)
+
+
+@_query(None)
+def v12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _read(spark, sf_dir, "embeddings")
+    queries = frames.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.ann_search(frames, queries).withColumn("score", F.round("score", 6))
+
+
+_HASHED = """words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents),
+c AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int AS b, count(*)::double AS n FROM words WHERE w <> '' GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)"""
+
+
+@_query(f"WITH {_HASHED} SELECT doc_id, b AS bucket, round(n / norm, 6) AS value FROM c JOIN norms USING (doc_id)")
+def v2_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.hash_embed(_read(spark, sf_dir, "documents"))
+    rows = rows.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "value")).where("value <> 0")
+    return rows.select("doc_id", "bucket", F.round("value", 6).alias("value"))
+
+
+@_query(f"""WITH {_FILES}, f AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY source_file) - 1 AS frame_number FROM files)
+SELECT archive_id AS memory_id, frame_number, source_file, file_hash AS content_hash, n::int AS content_len,
+CASE WHEN n > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS preview FROM f""")
+def v6_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).withColumns({"chunk_index": F.lit(0), "chunk_total": F.lit(1)})
+    rows = chunking.frame_numbers(files).withColumnsRenamed({"archive_id": "memory_id", "content": "payload"})
+    vectors = search.hash_embed(rows, 64, "payload", "doc_id")
+    frames, _ = search.build_index(rows, lambda df: df.join(vectors, "doc_id"))
+    return frames.select("memory_id", "frame_number", "source_file", "content_hash", "content_len", "preview")
+
+
+@_query("""WITH q AS (SELECT vec_id AS query_id, embedding::double[] AS q FROM embeddings ORDER BY vec_id LIMIT 10),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::double[], q) AS score FROM embeddings, q)
+SELECT query_id, vec_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank FROM s""")
+def w5_rank_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _read(spark, sf_dir, "embeddings")
+    queries = frames.orderBy("vec_id").limit(10).select(F.col("vec_id").alias("query_id"), "embedding")  # the ten queries
+    return search.rank_hits(search.score_all(frames, queries)).withColumn("score", F.round("score", 6))
+
+
+# --- chunks -----------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_CHUNKS} SELECT doc_id, substr(file_hash, 1, 8) || '_' || chunk_index AS chunk_id, chunk_index::int AS chunk_index, chunk_total::int AS chunk_total, sha256(payload) AS payload_hash FROM chunks")
+def c1_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_id", "chunk_index", "chunk_total", F.sha2("payload", 256).alias("payload_hash"))
+
+
+@_query("SELECT doc_id, sha256(text) AS file_hash, substr(sha256(text), 1, 16) AS content_id, greatest(strlen(text) // 2800, 1) AS estimate FROM documents")
+def c2_c3_c13_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", T.file_digest(F.col("text")).alias("file_hash"), T.content_id(F.col("text")).alias("content_id"), T.chunk_estimate(F.octet_length("text")).alias("estimate"))
+
+
+_SIZED = """CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0::double) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0::double) ELSE b || ' B' END"""
+
+
+@_query(f"""WITH f AS (SELECT {_NAME} AS name, strlen(text) AS b, sha256(text) AS hash, doc_id % 6 AS e FROM documents)
+SELECT name, ['text/plain', 'text/markdown', 'text/csv', 'text/html', 'image/png', 'application/octet-stream'][e + 1] AS mime_type, e < 4 AS is_text,
+b AS size_bytes, {_SIZED} AS size, hash FROM f""")
+def c4_c10_c11_content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).withColumnRenamed("source_file", "name")
+    return chunking.content_items(files).select("name", "mime_type", "is_text", "size_bytes", "size", "hash")
+
+
+@_query(f"SELECT doc_id, {_NAME} AS name, doc_id % 6 < 3 AS supported FROM documents")
+def t1_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("doc_id", F.col("source_file").alias("name"), T.type_supported(F.col("source_file")).alias("supported"))
+
+
+@_query("SELECT doc_id, base64(encode(text)) AS encoded, sha256(text) AS decoded_hash FROM documents")
+def c5_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").withColumn("encoded", F.translate(T.encode_payload(F.col("text"), F.lit(False)), "\r\n", ""))
+    return rows.select("doc_id", "encoded", F.sha2(T.decode_payload(F.col("encoded"), F.lit(False)), 256).alias("decoded_hash"))
+
+
+@_query(f"WITH {_CHUNKS} SELECT source_file, chunk_index::int AS chunk_index, sha256(payload) AS payload_hash FROM chunks")
+def c6_chunk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chunking.to_json(_chunks(spark, sf_dir).select("source_file", "chunk_index", "payload"))
+    return chunking.from_json(records, "source_file string, chunk_index int, payload string").select("source_file", "chunk_index", F.sha2("payload", 256).alias("payload_hash"))
+
+
+@_query("SELECT doc_id, sha256(text) AS plain_hash, strlen(text) + 60 AS sealed_bytes, true AS decrypted, false AS opened_with_other FROM documents")
+def c7_c8_encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    sealed = chunking.encrypt(rows, "text", "a password", b"\x01" * 32).withColumn("other", F.col("text"))
+    sealed = sealed.withColumn("sealed_bytes", F.octet_length("text").cast("long"))
+    plain = chunking.decrypt(sealed, "text", "a password").select("doc_id", "sealed_bytes", "text", "decrypted", "other")
+    other = chunking.decrypt(plain.withColumnRenamed("decrypted", "d"), "other", "another")
+    return other.select("doc_id", F.sha2("text", 256).alias("plain_hash"), "sealed_bytes", F.col("d").alias("decrypted"), F.col("decrypted").alias("opened_with_other"))
+
+
+@_query("SELECT doc_id, sha256(CASE WHEN starts_with(text, 'GZ:') THEN text ELSE text END) AS hash FROM documents")
+def c9_inflate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(chunking.inflate_tagged(F.col("text")), 256).alias("hash"))
+
+
+@_query(f"""WITH {_CHUNKS} SELECT archive_id, source_file, chunk_index::int AS chunk_index,
+row_number() OVER (PARTITION BY archive_id ORDER BY source_file, chunk_index) - 1 AS frame_number,
+(count(*) OVER (PARTITION BY archive_id, source_file))::int AS chunk_total FROM chunks""")
+def w1_w2_frame_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.with_total(chunking.frame_numbers(_chunks(spark, sf_dir)), "archive_id", "source_file")
+    return rows.select("archive_id", "source_file", "chunk_index", "frame_number", "chunk_total")
+
+
+# --- integrity --------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {_DAMAGED} SELECT source_file, max(chunk_total)::int AS chunk_total, count(DISTINCT chunk_index)::int AS present,
+(CASE WHEN count(DISTINCT chunk_index) < max(chunk_total) THEN list_min(list_filter(range(0, max(chunk_total)::bigint), lambda x: NOT list_contains(list(DISTINCT chunk_index), x))) END)::int AS first_missing,
+CASE WHEN count(DISTINCT chunk_index) < max(chunk_total) THEN 'missing' ELSE 'complete' END AS status FROM damaged GROUP BY source_file""")
+def a3_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.completeness(_damaged(spark, sf_dir)).select("source_file", "chunk_total", "present", "first_missing", "status")
+
+
+@_query(f"WITH {_DAMAGED} SELECT source_file, chunk_index::int AS chunk_index FROM chunks EXCEPT SELECT source_file, chunk_index::int FROM damaged")
+def u3_missing_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.missing_indices(_damaged(spark, sf_dir)).select("source_file", "chunk_index")
+
+
+@_query(f"WITH {_DAMAGED} SELECT DISTINCT source_file, chunk_index::int AS chunk_index, sha256(payload) AS payload_hash FROM damaged")
+def a2_dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.dedup_chunks(_damaged(spark, sf_dir)).select("source_file", "chunk_index", F.sha2("payload", 256).alias("payload_hash"))
+
+
+@_query(f"""WITH {_DAMAGED}, one AS (SELECT DISTINCT source_file, chunk_index, chunk_total, payload FROM damaged)
+SELECT source_file, CASE WHEN count(*) < max(chunk_total) THEN 'missing' ELSE 'complete' END AS status,
+CASE WHEN count(*) < max(chunk_total) THEN NULL ELSE sha256(string_agg(payload, '' ORDER BY chunk_index)) END AS content_hash FROM one GROUP BY source_file""")
+def a1_p2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.extract(_damaged(spark, sf_dir)).select("source_file", "status", F.sha2("content", 256).alias("content_hash"))
+
+
+@_query("SELECT doc_id, sha256(text) AS content_hash, 'complete' AS status FROM documents")
+def p1_p2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
+    chunks, contents = pipelines.convert(files)
+    found = pipelines.extract(chunks, contents)
+    return found.select(F.regexp_extract("source_file", r"^doc_([0-9]+)", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("content_hash"), "status")
+
+
+_CHECKED = f"""{_CHUNKS}, numbered AS (SELECT archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY source_file, chunk_index) - 1 AS frame_number,
+NOT starts_with(file_hash, '2') AS ok FROM chunks)"""
+
+
+def _flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their hashes, and payloads of some files (by hash) changed since."""
+    rows = chunking.frame_numbers(_chunks(spark, sf_dir)).withColumn("chunk_hash", F.sha2("payload", 256))
+    return rows.withColumn("payload", F.when(F.startswith("file_hash", F.lit("2")), F.concat("payload", F.lit("?"))).otherwise(F.col("payload")))
+
+
+@_query(f"""WITH {_CHECKED} SELECT archive_id, count(*) FILTER (ok) AS ok_frames, count(*) FILTER (NOT ok) AS failed_frames,
+array_to_string(list_slice(list_sort(list(frame_number) FILTER (NOT ok)), 1, 5), ',') AS first_failures,
+round(100.0::double * count(*) FILTER (ok) / count(*), 4) AS success, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'GOOD' ELSE 'DEGRADED' END AS status FROM numbered GROUP BY archive_id""")
+def a4_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = integrity.verify(_flipped(spark, sf_dir))
+    return found.withColumn("first_failures", F.nullif(F.array_join(F.col("first_failures").cast("array<string>"), ","), F.lit("")))
+
+
+@_query(f"""WITH {_CHECKED}, r AS (SELECT archive_id, frame_number + 1 AS frame_number, max(frame_number + 1) OVER (PARTITION BY archive_id) AS last,
+sum(ok::int) OVER w AS good, count(*) OVER w AS n FROM numbered WINDOW w AS (PARTITION BY archive_id ORDER BY frame_number))
+SELECT archive_id, frame_number, round(100.0::double * good / n, 4) AS success FROM r WHERE frame_number % 10 = 0 OR frame_number = last""")
+def w4_running_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _flipped(spark, sf_dir)
+    checked = rows.select("archive_id", (F.col("frame_number") + 1).alias("frame_number"), (F.sha2("payload", 256) == F.col("chunk_hash")).alias("ok"))
+    return integrity.running_success(checked)
+
+
+@_query(f"""WITH {_CHUNKS}, c AS (SELECT archive_id, count(*) AS frames FROM chunks GROUP BY archive_id),
+f AS (SELECT archive_id, sum(strlen(content))::bigint AS size_bytes, count(*) AS files, sum((n + {_SIZE - 1}) // {_SIZE})::bigint AS total_chunks FROM files GROUP BY archive_id)
+SELECT archive_id, total_chunks, files, size_bytes, coalesce(frames, 0) AS frames, {_SIZED.replace("b ", "size_bytes ").replace("ELSE b", "ELSE size_bytes")} AS size FROM f LEFT JOIN c USING (archive_id)""")
+def s4_a5_a6_j5_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, contents = pipelines.convert(_files(spark, sf_dir).drop("doc_id"))
+    stats = archive.archive_stats(contents)
+    listed = archive.archive_list(contents.withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))).select("archive_id", "size")
+    return archive.info_report(stats, integrity.frame_count(chunks)).join(listed, "archive_id").select("archive_id", "total_chunks", "files", "size_bytes", "frames", "size")
+
+
+@_query("SELECT sha256(text) AS file_hash, count(*) AS files, min(doc_id) AS first_file FROM documents GROUP BY ALL")
+def a8_same_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select("doc_id", T.file_digest(F.col("text")).alias("file_hash"))
+    return integrity.same_content(rows, "doc_id")
+
+
+# --- text -------------------------------------------------------------------------------------
+
+
+@_query("""WITH c AS (SELECT doc_id, text, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS clean FROM documents)
+SELECT doc_id, sha256(clean) AS clean_hash, length(clean) > 0 AS nonempty, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview,
+length(substring(text, 1, 8000))::int AS embedded FROM c""")
+def t3_t4_t5_t6_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").withColumn("clean", T.clean_text(F.col("text")))
+    return rows.select("doc_id", F.sha2("clean", 256).alias("clean_hash"), (F.length("clean") > 0).alias("nonempty"), T.preview(F.col("text")).alias("preview"), F.length(T.embed_truncate(F.col("text"))).alias("embedded"))
+
+
+@_query("""SELECT doc_id, lang = 'en' AND source = 'src1' AS matches, 'doc' AS kind, n_chars::varchar AS content_length FROM documents""")
+def t7_t8_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").withColumn("metadata", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("kind"), F.lit("old")))
+    rows = rows.withColumn("metadata", T.enrich_metadata(F.col("metadata"), kind=F.lit("doc"), content_length=F.col("n_chars")))
+    return rows.select("doc_id", T.metadata_matches(F.col("metadata"), {"lang": "en", "source": "src1"}).alias("matches"), F.element_at("metadata", "kind").alias("kind"), F.element_at("metadata", "content_length").alias("content_length"))
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
+
+
+@_query(f"""SELECT doc_id, contains(lower(text), 'the') AS found, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS occurrences, {_WORDS} AS words,
+round(least(((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3) / {_WORDS}, 1.0::double), 9) AS relevance FROM documents""")
+def t9_t12_keyword_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", T.contains_ci(t, "the").alias("found"), T.occurrences(t, "the").alias("occurrences"), T.word_count(t).alias("words"), F.round(T.relevance(t, "the"), 9).alias("relevance"))
+
+
+_RANKED = f"""r AS (SELECT doc_id, text, (length(lower(text)) - length(replace(lower(text), 'license', ''))) // 7 AS occurrences, {_WORDS} AS words FROM documents WHERE contains(lower(text), 'license'))"""
+
+
+@_query(f"WITH {_RANKED} SELECT doc_id, occurrences, words, round(least(occurrences / words, 1.0::double), 9) AS relevance FROM r ORDER BY least(occurrences / words, 1.0::double) DESC, doc_id LIMIT 20")
+def l2_keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.keyword_rank(_read(spark, sf_dir, "documents"), "license").select("doc_id", "occurrences", "words", F.round("relevance", 9).alias("relevance"))
+
+
+@_query(f"""WITH {_RANKED}, s AS (SELECT *, instr(lower(text), 'license') - 1 AS match_start FROM r)
+SELECT doc_id, match_start, substring(text, greatest(match_start - 100, 0) + 1, 200) AS snippet FROM s ORDER BY least(occurrences / words, 1.0::double) DESC, doc_id LIMIT 10""")
+def l3_t13_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.keyword_snippets(_read(spark, sf_dir, "documents"), "license").select("doc_id", "match_start", "snippet")
+
+
+@_query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 20 OFFSET 40")
+def l1_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.page(_read(spark, sf_dir, "events"), 20, 40, "ts", "event_id").select("event_id", "user_id", "event_type")
+
+
+# --- versions ---------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_SNAPSHOTS} SELECT memory_id, frame, type, old_hash, new_hash, payload FROM diff")
+def j6_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.snapshot_diff(*_snapshots(spark, sf_dir))
+
+
+@_query(f"WITH {_SNAPSHOTS} SELECT memory_id, frame, hash, payload FROM new")
+def r5_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _snapshots(spark, sf_dir)
+    ops = versions.snapshot_diff(old, new).withColumn("version", F.lit(2))
+    return versions.reconstruct(old.toDF(*old.columns), ops, 2)
+
+
+@_query(f"WITH {_SNAPSHOTS} SELECT memory_id, frame, type, left(old_hash, 16) AS old, left(new_hash, 16) AS new FROM diff")
+def r6_diff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.diff_report(versions.snapshot_diff(*_snapshots(spark, sf_dir)))
+
+
+@_query(f"""WITH {_SNAPSHOTS}, d AS (SELECT memory_id, coalesce(sum(strlen(payload)), 0)::bigint AS delta_bytes FROM diff GROUP BY memory_id),
+s AS (SELECT memory_id, sum(strlen(payload))::bigint AS snapshot_bytes FROM new GROUP BY memory_id)
+SELECT memory_id, snapshot_bytes, coalesce(delta_bytes, 0) AS delta_bytes, round(1 - coalesce(delta_bytes, 0) / snapshot_bytes, 6) AS saved FROM s LEFT JOIN d USING (memory_id)""")
+def r8_delta_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.delta_savings(*_snapshots(spark, sf_dir))
+
+
+@_query(f"""WITH {_SNAPSHOTS}, heads AS (SELECT conv_id AS memory_id, max(turn) + 1 AS head FROM conversations GROUP BY ALL),
+n AS (SELECT memory_id, count(*) AS frame_count FROM new GROUP BY ALL)
+SELECT memory_id, (head + 1)::int AS version, head::int AS parent_version, frame_count, count(*) AS n_ops FROM diff JOIN heads USING (memory_id) JOIN n USING (memory_id) GROUP BY ALL""")
+def r1_create_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _versions(spark, sf_dir).withColumn("version", F.col("version").cast("int")).withColumns({"made": F.lit(True)})
+    made, _ = versions.create_version(log, *_snapshots(spark, sf_dir))
+    return made.where("made is null").select("memory_id", "version", "parent_version", "frame_count", "n_ops")
+
+
+@_query("""SELECT conv_id AS memory_id, turn, (row_number() OVER w)::int AS version, (lag(turn) OVER w + 1)::int AS parent_version FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def w3_version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("memory_id"), "turn")
+    return versions.version_chain(rows, "memory_id", "turn")
+
+
+@_query(f"WITH {_VERSIONS} SELECT memory_id, count(*) AS versions, max(version) AS latest, arg_max(message, version) AS latest_message FROM versions GROUP BY memory_id")
+def a7_version_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.version_stats(_versions(spark, sf_dir))
+
+
+@_query(f"""WITH {_VERSIONS}, q AS (SELECT DISTINCT memory_id, unnest([0, 2, 100]) AS as_of FROM versions)
+SELECT q.memory_id, as_of::int AS as_of, max(version) AS version, coalesce(arg_max(file, version), 'base') AS file FROM q LEFT JOIN versions v ON v.memory_id = q.memory_id AND version <= as_of GROUP BY ALL""")
+def j8_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _versions(spark, sf_dir)
+    memories = log.select("memory_id").distinct()
+    requests = memories.withColumn("as_of", F.explode(F.array(F.lit(0), F.lit(2), F.lit(100))))
+    return versions.as_of(log, requests, memories.toDF("memory_id").withColumn("base_file", F.lit("base")))
+
+
+@_query(f"WITH {_VERSIONS} SELECT * FROM versions WHERE version > 1 AND version <= 4")
+def l4_version_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.version_range(_versions(spark, sf_dir), 1, 4)
+
+
+@_query(f"""WITH {_VERSIONS}, h AS (SELECT memory_id, max(version)::int AS head FROM versions GROUP BY ALL)
+SELECT memory_id, 'main' AS branch, head AS version FROM h UNION ALL SELECT memory_id, 'draft', 1 FROM h""")
+def r4_list_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = _versions(spark, sf_dir).groupBy("memory_id").agg(F.max("version").cast("int").alias("head"))
+    return versions.list_branches(heads.withColumn("branches", F.create_map(F.lit("main"), "head", F.lit("draft"), F.lit(1))))
+
+
+# --- documents, prompts, requests -------------------------------------------------------------
+
+
+@_query("""SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id""")
+def u2_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("updated_at"), "event_id", F.col("event_type").alias("status"))
+    good, _ = documents.upsert(rows.limit(0), rows)
+    return good.select("id", "status", "event_id")
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def j7_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.delete(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id", "lang")
+
+
+@_query("""SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id""")
+def a9_context_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.joined_in_order(_read(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@_query("""WITH f AS (SELECT conv_id AS memory_id, string_agg('=== turn ' || turn || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS files FROM conversations GROUP BY ALL)
+SELECT memory_id, 'File id: ' || memory_id || chr(10) || chr(10) || files || chr(10) || chr(10) || 'Question: why?' AS prompt FROM f""")
+def p5_memory_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    files = rows.select(F.col("conv_id").alias("memory_id"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("source_file"), F.col("text").alias("content"))
+    questions = rows.select(F.col("conv_id").alias("memory_id")).distinct().withColumn("question", F.lit("why?"))
+    return rag.memory_prompts(files, questions)
+
+
+@_query(f"""WITH {_HASHED}, b AS (SELECT item_id, text FROM benchmark), bw AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM b),
+bc AS (SELECT item_id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int AS b, count(*)::double AS n FROM bw WHERE w <> '' GROUP BY ALL),
+bn AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM bc GROUP BY item_id),
+s AS (SELECT item_id, doc_id, sum(bc.n * c.n) / any_value(bn.norm) / any_value(norms.norm) AS score FROM bc JOIN c ON bc.b = c.b JOIN bn USING (item_id) JOIN norms USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
+x AS (SELECT r.item_id, string_agg(documents.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY ALL)
+SELECT item_id AS query_id, 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM x JOIN b USING (item_id)""")
+def p4_rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    found = search.batch_top_k(search.hash_embed(docs), search.hash_embed(items, key="item_id").withColumnRenamed("item_id", "query_id"), 3, "doc_id")
+    questions = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return rag.rag_prompts(found, docs.select("doc_id", "text"), questions)
+
+
+@_query("SELECT conv_id, turn, upper(role) AS response, NULL::varchar AS error FROM conversations")
+def p6_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.complete(_read(spark, sf_dir, "conversations"), lambda prompts: [p.upper() for p in prompts], "role").select("conv_id", "turn", "response", "error")
+
+
+@_query("""SELECT conv_id, turn, CASE role WHEN 'user' THEN 2.5 WHEN 'assistant' THEN 0.15 ELSE 1.0 END::double AS cost_per_million FROM conversations""")
+def j9_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = spark.createDataFrame([("user", 2.5), ("assistant", 0.15)], "model string, cost_per_million double")
+    return documents.priced(_read(spark, sf_dir, "conversations").withColumnRenamed("role", "model"), prices).select("conv_id", "turn", "cost_per_million")
+
+
+@_query(f"""WITH t AS (SELECT {_NAME} AS name, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS clean, doc_id FROM documents)
+SELECT name, CASE WHEN doc_id % 6 >= 3 THEN 'unsupported type' WHEN clean = '' THEN 'no text' END AS error,
+CASE WHEN doc_id % 6 < 3 AND clean <> '' THEN substr(sha256(clean), 1, 16) END AS id, CASE WHEN doc_id % 6 < 3 AND clean <> '' THEN length(clean)::varchar END AS content_length FROM t""")
+def p3_t2_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).select(F.col("source_file").alias("name"), F.col("content").cast("binary").alias("content"))
+    good, bad = documents.ingest(files, lambda df: df.withColumn("embedding", F.array(F.length("text").cast("float"))), "length")
+    good = good.select("name", F.lit(None).cast("string").alias("error"), "id", F.element_at("metadata", "content_length").alias("content_length"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(bad.select("name", "error", none.alias("id"), none.alias("content_length")))
+
+
+@_query("""SELECT user_id AS client, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+def w6_request_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.request_window(_requests(spark, sf_dir), 3600).select("client", "event_id", "in_window")
+
+
+@_query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, t, k, true AS admitted, [t] AS kept FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.t, e.k, len(list_filter(r.kept, lambda x: e.t - x < 86400000000)) < 3,
+CASE WHEN len(list_filter(r.kept, lambda x: e.t - x < 86400000000)) < 3 THEN list_append(list_filter(r.kept, lambda x: e.t - x < 86400000000), e.t) ELSE list_filter(r.kept, lambda x: e.t - x < 86400000000) END
+FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id AS client, event_id, admitted FROM r""")
+def w7_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.rate_limit(_requests(spark, sf_dir), 3, 86_400).select("client", "event_id", "admitted")
+
+
+@_query("""SELECT user_id AS job_id, arg_max(event_type, (ts, event_type)) AS status, epoch_us(max(ts)) AS updated, arg_max(event_type, (ts, event_type)) IN ('purchase', 'error') AS closed FROM events GROUP BY user_id""")
+def x5_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return documents.latest_status(rows, terminal=("purchase", "error")).select("job_id", "status", F.unix_micros("updated").alias("updated"), "closed")
+
+
+@_query("""WITH asked AS (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 5)) AS t(pos, doc_id)) SELECT pos::int AS pos, doc_id::bigint AS doc_id, sha256(text) AS hash FROM asked LEFT JOIN documents USING (doc_id)""")
+def j2_frames_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _read(spark, sf_dir, "documents").select("text", "doc_id")
+    return search.in_request_order(frames, [7, 3, 5], "doc_id").select("pos", "doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@_query("""WITH a AS (SELECT source, sum(strlen(text))::bigint AS size FROM documents GROUP BY source), asked AS (SELECT * FROM (VALUES (0, 'src3', 'third'), (1, 'nothing', NULL), (2, 'src1', NULL)) AS t(pos, source, given))
+SELECT pos::int AS pos, source AS archive_id, coalesce(given, source) AS display_name, greatest(size // 2800, 1) AS estimate FROM asked JOIN a USING (source)""")
+def j3_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _files(spark, sf_dir).groupBy("archive_id").agg(F.sum(F.octet_length("content")).alias("size"))
+    found = rag.lookup_archives(["src3", "nothing", "src1"], sizes, ["third"])
+    return found.select("pos", "archive_id", "display_name", T.chunk_estimate(F.col("size")).alias("estimate"))
+
+
