@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivist.llm import htmltext, langid, licenses, linededup, minhash, mixing, packing, urlfilter, vectors
+from archivist.llm.oracles import ORACLES as ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,5 +65,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-
-ORACLES: dict[str, str] = {}
