@@ -1,46 +1,67 @@
 """Removal of repeated lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct 5-word shingles. They are put in order of rarity: of how often the
-tokens of the same hash bucket occur in the whole corpus. Two lines of Jaccard similarity t or more
-share one of the first n - ceil(t * n) + 1 tokens in that order (prefix filter), have sizes within t
-of each other (length filter), and enough tokens left where they meet (positional filter). What is
-left is verified on all tokens. A line is removed if a line before it, by document and line number,
-is as similar.
+A line's tokens are its distinct 5-word shingles. They are put in order of rarity: of how often, in
+the whole corpus, the word occurs that a shingle starts with (which is never less often than the
+shingle). Two lines of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1
+tokens in that order (prefix filter), have sizes within t of each other (length filter), and enough
+tokens left where they meet (positional filter). What is left is verified on all tokens. A line is
+removed if a line before it, by document and line number, is as similar.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from archivist.llm.common import written
+from archivist.llm.common import FEW, rows_with, written
 
-#: Hash buckets whose tokens are counted together: the table of ranks has this fixed size.
+#: Words are counted in so many hash buckets: the table of ranks has this fixed size.
 BUCKETS_LOG2 = 12
+_OTHER_BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 
-def line_tokens(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """doc_id, line, tokens and a 128-bit key of the tokens for every line of ``width`` words or more."""
-    # outer generators: for others the optimizer repeats the whole expression in a filter
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("line", "value")).where("line is not null")
-    words = F.array_remove(F.split(F.translate(F.lower("value"), "\t\x0b\x0c\r", "    "), " "), "")
-    lines = lines.select("doc_id", "line", words.alias("w"))
-    rest = ", ".join(f"get(w, i + {k})" for k in range(1, width))
-    shingles = F.expr(f"transform(slice(w, 1, size(w) - {width - 1}), (x, i) -> xxhash64(x, {rest}))")
-    lines = lines.where(F.size("w") >= width).select("doc_id", "line", F.array_distinct(shingles).alias("tokens"))
-    return lines.withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.lit(1), "tokens")})
+def _bucket(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - BUCKETS_LOG2).cast("int")
 
 
-def _ranks(lines: DataFrame) -> Column:
-    """A constant array: for each bucket its rank by the number of its tokens, rarest first."""
-    bucket = F.shiftrightunsigned("t", 64 - BUCKETS_LOG2).alias("b")
-    counts = {r[0]: r[1] for r in lines.select(F.explode_outer("tokens").alias("t")).groupBy(bucket).count().collect()}
+def word_ranks(docs: DataFrame, text: str) -> Column:
+    """A constant array: for each bucket of words its rank by occurrences in all texts, rarest first."""
+    words = docs.select(F.explode_outer(F.split(F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))), " ")).alias("w"))
+    counts = {r[0]: r[1] for r in words.groupBy(_bucket(F.col("w")).alias("b")).count().collect()}
     order = sorted(range(1 << BUCKETS_LOG2), key=lambda b: (counts.get(b, 0), b))
     rank = [0] * len(order)
     for k, b in enumerate(order):
         rank[b] = k
-    return F.lit(rank)
+    return F.lit(np.array(rank, np.int32))  # one literal, however many numbers
+
+
+def line_tokens(docs: DataFrame, text: str, key: str, width: int, ranks: Column, places: DataFrame | None = None) -> DataFrame:
+    """doc_id, line and tokens of every line: numbers in order of rarity, null for fewer than
+    ``width`` words. A token is its rank (12 bits) and 51 bits of its hash. With ``places`` (doc_id,
+    line, id) only of those lines, which also get id."""
+    # outer generators and no filters here: the optimizer would repeat the splitting for each
+    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("line", "value"))
+    named = ["doc_id", "line"]
+    if places is not None:
+        lines, named = lines.join(places, named), [*named, "id"]
+    value = F.col("value")
+    odd = F.contains(value, F.lit("  ")) | F.startswith(value, F.lit(" ")) | F.endswith(value, F.lit(" "))
+    for blank in _OTHER_BLANKS:
+        odd |= F.contains(value, F.lit(blank))
+    plain = F.when(odd, F.trim(F.regexp_replace(value, "[ \t\\x0B\f\r]+", " "))).otherwise(value)
+    lines = lines.select(*named, F.split(F.lower(plain), " ").alias("w"))
+    high = 63 - BUCKETS_LOG2
+
+    def token(x: Column, i: Column) -> Column:
+        spread = F.xxhash64(x, *[F.get(F.col("w"), i + k) for k in range(1, width)])
+        rank = F.element_at(ranks, _bucket(x) + 1).cast("long")
+        return F.shiftleft(rank, high).bitwiseOR(F.shiftrightunsigned(spread, 64 - high))
+
+    tokens = F.sort_array(F.array_distinct(F.transform(F.slice("w", F.lit(1), F.size("w") - (width - 1)), token)))
+    return lines.select(*named, F.when(F.size("w") >= width, tokens).alias("tokens"))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -52,46 +73,49 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 
     Equal lines are one node. First each node meets only the first node of each of its prefix
     tokens; nodes that no one has beaten then meet all before them, so that a group of many similar
-    lines does not meet pairwise.
+    lines does not meet pairwise. All tokens are kept of candidates only.
     """
-    lines = written(line_tokens(docs, text, key, width))
-    ranks = _ranks(lines)
+    ranks = word_ranks(docs, text)
     size = F.size("tokens")
     need = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    bucket = lambda t: F.element_at(ranks, F.shiftrightunsigned(t, 64 - BUCKETS_LOG2).cast("int") + 1)
-    packed = F.transform("tokens", lambda t: F.shiftleft(bucket(t).cast("long"), 64 - BUCKETS_LOG2 - 1).bitwiseOR(F.shiftrightunsigned(t, BUCKETS_LOG2 + 1)))
+    keyed = line_tokens(docs, text, key, width, ranks).select("doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), size.alias("n"), F.slice("tokens", F.lit(1), need).alias("prefix"))
+    lines = written(keyed).where("prefix is not null")
     at = F.struct(F.col("doc_id"), F.col("line"))
-    every = lines.select("k1", "k2", at.alias("at"), size.alias("n"), F.slice(F.sort_array(packed), F.lit(1), need).alias("prefix"))
-    nodes = written(every.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    tokens = nodes.select("k1", "k2", "at", "n", F.posexplode_outer("prefix").alias("p", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "k1", "k2", "n", "p")).alias("one")).where("m > 1").drop("m")
-    live = tokens.join(shared, "token")
-    y = live.select(F.col("token"), *[F.col(c).alias(f"y_{c}") for c in ("k1", "k2", "at", "n", "p")], "one")
-    y = written(y)
+    nodes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()))
+    # one number for size and place keeps what is shuffled for each token small
+    tokens = nodes.select("id", "n", F.posexplode_outer("prefix").alias("p", "token")).select("token", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    live = tokens.join(shared, "token").join(nodes.select("id", "at"), "id")
+    live = written(live.select("token", "id", "at", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p")))
+    x = live.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "p")])
+    y = live.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "at", "n", "p")])
     x_n, x_p, y_n, y_p = (F.col(c) for c in ("x_n", "x_p", "y_n", "y_p"))
     overlap = F.ceil(threshold / (1 + threshold) * (x_n + y_n) - 1e-9)
-    fits = (x_n >= threshold * y_n - 1e-9) & (y_n >= threshold * x_n - 1e-9) & (1 + F.least(x_n - x_p, y_n - y_p) - 1 >= overlap) & (F.col("x_at") < F.col("y_at"))
-    star = y.select(*[F.col(f"one.{c}").alias(f"x_{c}") for c in ("k1", "k2", "at", "n", "p")], *[f"y_{c}" for c in ("k1", "k2", "at", "n", "p")]).where(fits)
-    beaten = written(_verified(star, lines, threshold))
-    open_ = y.drop("one").join(beaten, ["y_k1", "y_k2"], "left_anti")
-    x = y.select("token", *[F.col(f"y_{c}").alias(f"x_{c}") for c in ("k1", "k2", "at", "n", "p")])
-    rest = x.join(open_, "token").where(fits)
-    beaten = beaten.unionByName(_verified(rest, lines, threshold)).distinct()
-    first = nodes.select("k1", "k2", F.col("at").alias("first")).join(beaten.select(F.col("y_k1").alias("k1"), F.col("y_k2").alias("k2"), F.lit(True).alias("beaten")), ["k1", "k2"], "left")
-    again = lines.select("k1", "k2", at.alias("at")).join(first, ["k1", "k2"])
+    fits = (x_n >= threshold * y_n - 1e-9) & (y_n >= threshold * x_n - 1e-9) & (F.least(x_n - x_p, y_n - y_p) >= overlap) & (F.col("x_at") < F.col("y_at"))
+    first = live.groupBy("token").agg(F.min_by(F.struct("id", "at", "n", "p"), "at").alias("one"))
+    first = first.select("token", *[F.col(f"one.{c}").alias(f"x_{c}") for c in ("id", "at", "n", "p")])
+    full = lambda places: line_tokens(docs, text, key, width, ranks, places)
+    beaten = written(_verified(first.join(y, "token").where(fits), nodes, full, threshold))
+    rest = x.join(y.join(beaten, "y_id", "left_anti"), "token").where(fits)
+    beaten = beaten.unionByName(_verified(rest, nodes, full, threshold)).distinct()
+    heads = nodes.select("id", "k1", "k2", F.col("at").alias("first")).join(beaten.select(F.col("y_id").alias("id"), F.lit(True).alias("beaten")), "id", "left")
+    again = lines.select("k1", "k2", at.alias("at")).join(heads, ["k1", "k2"])
     return again.where(F.coalesce("beaten", F.lit(False)) | (F.col("at") > F.col("first"))).select("at.doc_id", "at.line").distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The keys of those second lines whose pair has the similarity on all tokens."""
-    pairs = written(pairs.select("x_k1", "x_k2", "y_k1", "y_k2").distinct())
-    keys = pairs.select(F.col("x_k1").alias("k1"), F.col("x_k2").alias("k2")).union(pairs.select("y_k1", "y_k2")).distinct()
-    sets = lines.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2", "tokens").dropDuplicates(["k1", "k2"])
-    sets = written(sets)
-    name = lambda side: sets.select(F.col("k1").alias(f"{side}_k1"), F.col("k2").alias(f"{side}_k2"), F.col("tokens").alias(side))
-    both = pairs.join(name("x"), ["x_k1", "x_k2"]).join(name("y"), ["y_k1", "y_k2"])
+def _verified(pairs: DataFrame, nodes: DataFrame, tokens: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """The ids of those second nodes whose pair has the similarity on all tokens, which are made
+    again for the lines in which candidates stand."""
+    pairs = written(pairs.select("x_id", "y_id").distinct())
+    ids = pairs.select(F.col("x_id").alias("id")).union(pairs.select("y_id"))
+    places = written(rows_with(nodes.select("id", "at.doc_id", "at.line"), ids, ["id"]))
+    found = tokens(F.broadcast(places) if places.count() <= FEW else places)  # few ones go to every task
+    sets = written(found.select("id", "tokens").dropDuplicates(["id"]))
+    x, y = sets.select(F.col("id").alias("x_id"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("y_id"), F.col("tokens").alias("y"))
+    both = pairs.join(x, "x_id").join(y, "y_id")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("y_k1", "y_k2").distinct()
+    return both.where(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("y_id").distinct()
 
 
 def line_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
