@@ -36,7 +36,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+#: Rows of keys that are sent to every task at most (about 12 MB of two numbers each).
+FEW = 500_000
+
+
+def rows_with(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``df`` whose key is in ``keys``. Few keys, which are counted first, go to every
+    task, so that ``df`` isn't shuffled; more keys and ``df`` meet by a shuffle."""
+    keys = written(keys.distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, "left_semi")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "2m") -> None:
     """Bound what a Python worker holds of whole texts: the rows and bytes of one Arrow batch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

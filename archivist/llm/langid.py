@@ -94,13 +94,13 @@ def fit(sample: list[tuple[str, bytes]], landmarks: int = 192, ridge: float = 1e
     if not sample:
         return None
     langs = sorted({lang for lang, _ in sample})
-    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=_SIZE) for _, b in sample]
+    unpacked = lambda k: np.unpackbits(np.frombuffer(sample[k][1], np.uint8), count=_SIZE)
     target = np.array([langs.index(lang) for lang, _ in sample])
     turn = np.zeros(len(sample), int)  # a landmark from each language in turn
     for k in range(len(langs)):
         turn[target == k] = np.arange(int((target == k).sum()))
     chosen = np.lexsort((target, turn))[:landmarks]
-    base = np.stack([bits[k] for k in chosen])
+    base = np.stack([unpacked(k) for k in chosen])
     columns = np.flatnonzero(base.any(axis=0))
     group = np.searchsorted(_START, columns, "right") - 1
     marks = _scaled(base, columns, group, np.add.reduceat(base, _START[:-1], axis=1, dtype=np.int64)).T
@@ -109,7 +109,7 @@ def fit(sample: list[tuple[str, bytes]], landmarks: int = 192, ridge: float = 1e
     values, vectors = np.linalg.eigh((within + within.T) / 2)
     keep = values > values[-1] * 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nystroem: features are kernel @ root
-    features = np.concatenate([model.kernel(bits[k : k + 256]) for k in range(0, len(bits), 256)]).astype(np.float64) @ root
+    features = np.concatenate([model.kernel([unpacked(n) for n in range(k, min(k + 128, len(sample)))]) for k in range(0, len(sample), 128)]).astype(np.float64) @ root
     wanted = np.where(target[:, None] == np.arange(len(langs)), 1.0, -1.0)
     share = np.bincount(target, minlength=len(langs))
     weigh = (len(target) / (len(langs) * share))[target][:, None]  # each language counts the same

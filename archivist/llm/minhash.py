@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivist.llm.common import mix64, shingles, small_batches, space_words, written
+from archivist.llm.common import mix64, rows_with, shingles, small_batches, space_words, written
 from archivist.llm.components import components
 
 PERMUTATIONS, BAND = 60, 5
@@ -184,8 +184,8 @@ def _candidates(met: DataFrame, comps: DataFrame | None, threshold: float, fores
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union, on full sets."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    texts = rows_with(docs, wanted, ["id"]).dropDuplicates(["id"])
     sets = written(texts.select("id", "text").mapInArrow(_sets(width), "id long, items array<long>"))
     first, second = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(first, "a").join(second, "b")
@@ -213,10 +213,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     met = written(_met(nodes.select("id", F.col("n_shingles").alias("n"), "keys", "sketch")))
     threshold = percent / 100
     groups = max(1, -(-(met.agg(F.sum(F.size("buckets"))).first()[0] or 0) // GROUP))
-    texts = plain.join(nodes.select("id"), "id", "left_semi")
-    links = written(_confirmed(written(_candidates(met, None, threshold, True, groups)), texts, width, percent))
+    links = written(_confirmed(written(_candidates(met, None, threshold, True, groups)), plain, width, percent))
     comps = components(links)
-    more = written(_confirmed(written(_candidates(met, comps, threshold, False, groups)), texts, width, percent))
+    more = written(_confirmed(written(_candidates(met, comps, threshold, False, groups)), plain, width, percent))
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     labels = nodes.join(comps, "id", "left").select(*same, F.coalesce("component_id", "id").alias("component_id"))

@@ -24,7 +24,7 @@ from archivist.llm.common import small_batches, written
 
 #: Where the tokenizer's own rules on white space or case could differ from str.split and str.lower.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_KEPT = 300_000
+_KEPT = 200_000
 
 
 class WordTokenizer:
@@ -63,7 +63,7 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        if not part.isascii():
+        if not (part.isascii() and part.isprintable()):
             part = part.encode().decode("latin-1").translate(self.byte)
         return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
 
