@@ -65,8 +65,10 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     offset comes from the counts of (source, class, bucket), so no task sees a whole source.
     ``buckets`` splits a size class; a bucket holds its source's rows over classes and buckets.
     Null texts have size 0 and are taken 0 words; null sources are one source, the last; repeated
-    keys are documents of their own; an empty table gives an empty result.
+    keys are documents of their own; an empty table gives an empty result; columns of ``docs`` with
+    the names of results are replaced.
     """
+    docs = docs.drop("size", "source_size", "target", "copies", "taken")
     rows = docs.withColumn("size", n_words(F.col(text)))
     bits = F.bin("size")
     rows = rows.withColumns(
