@@ -71,32 +71,37 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     no lines. Words are what lies between blanks and tabs, lower-cased. Rows with the same key are one
     document; equal lines of the same number in it stand or fall together.
 
-    Equal lines are one node. First each node meets only the first node of each of its prefix
-    tokens; nodes that no one has beaten then meet all before them, so that a group of many similar
-    lines does not meet pairwise. All tokens are kept of candidates only.
+    Equal lines are one node. First each node meets one other: of the first nodes of its prefix tokens
+    the one with which it shares most of them; nodes that it doesn't beat then meet all before them,
+    so that a group of many similar lines does not meet pairwise. All tokens are kept of candidates only.
     """
     ranks = word_ranks(docs, text)
     size = F.size("tokens")
     need = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    keyed = line_tokens(docs, text, key, width, ranks).select("doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), size.alias("n"), F.slice("tokens", F.lit(1), need).alias("prefix"))
+    keyed = line_tokens(docs, text, key, width, ranks).select("doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), size.alias("n"), F.expr("aggregate(tokens, 0L, (s, t) -> s ^ shiftleft(1L, cast(t & 63 AS int)))").alias("parity"), F.slice("tokens", F.lit(1), need).alias("prefix"))
     lines = written(keyed).where("prefix is not null")
     at = F.struct(F.col("doc_id"), F.col("line"))
-    nodes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()))
     # one number for size and place keeps what is shuffled for each token small
     tokens = nodes.select("id", "n", F.posexplode_outer("prefix").alias("p", "token")).select("token", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
     shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    live = tokens.join(shared, "token").join(nodes.select("id", "at"), "id")
-    live = written(live.select("token", "id", "at", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p")))
-    x = live.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "p")])
-    y = live.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "at", "n", "p")])
+    live = tokens.join(shared, "token").join(nodes.select("id", "at", "parity"), "id")
+    live = written(live.select("token", "id", "at", "parity", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p")))
+    columns = ("id", "at", "parity", "n", "p")
+    x = live.select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = live.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
     x_n, x_p, y_n, y_p = (F.col(c) for c in ("x_n", "x_p", "y_n", "y_p"))
     overlap = F.ceil(threshold / (1 + threshold) * (x_n + y_n) - 1e-9)
     fits = (x_n >= threshold * y_n - 1e-9) & (y_n >= threshold * x_n - 1e-9) & (F.least(x_n - x_p, y_n - y_p) >= overlap) & (F.col("x_at") < F.col("y_at"))
-    first = live.groupBy("token").agg(F.min_by(F.struct("id", "at", "n", "p"), "at").alias("one"))
-    first = first.select("token", *[F.col(f"one.{c}").alias(f"x_{c}") for c in ("id", "at", "n", "p")])
+    # parities differ in no more bits than there are tokens that only one of the two has
+    fits &= F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= (1 - threshold) / (1 + threshold) * (x_n + y_n) + 1e-9
+    first = live.groupBy("token").agg(F.min_by(F.struct(*columns), "at").alias("one"))
+    first = first.select("token", *[F.col(f"one.{c}").alias(f"x_{c}") for c in columns])
     full = lambda places: line_tokens(docs, text, key, width, ranks, places)
-    beaten = written(_verified(first.join(y, "token").where(fits), nodes, full, threshold))
+    star = first.join(y, "token").where(fits).groupBy("y_id", "x_id").agg(F.count(F.lit(1)).alias("m"))
+    star = star.groupBy("y_id").agg(F.max_by("x_id", F.struct("m", "x_id")).alias("x_id"))
+    beaten = written(_verified(star, nodes, full, threshold))
     rest = x.join(y.join(beaten, "y_id", "left_anti"), "token").where(fits)
     beaten = beaten.unionByName(_verified(rest, nodes, full, threshold)).distinct()
     heads = nodes.select("id", "k1", "k2", F.col("at").alias("first")).join(beaten.select(F.col("y_id").alias("id"), F.lit(True).alias("beaten")), "id", "left")
