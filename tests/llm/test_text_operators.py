@@ -284,3 +284,15 @@ def test_the_genetic_algorithm_improves_on_best_fit():
     assert len(best.fill) <= len(first.fill)
     for p in (first, best):
         assert (np.bincount(p.bins, weights=lengths) == p.fill).all() and p.fill.max() <= 2048
+
+
+def test_phrases_of_all_documents(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(docs).collect()}
+    want = {}
+    for k, text in docs.select("doc_id", "text").collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        at = [i for i, _ in places]
+        want[k] = (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in places})))
+    assert found == want
