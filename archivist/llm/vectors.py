@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,10 @@ def finite(vector: Column | str) -> Column:
 # --- pigeonhole join ---------------------------------------------------------------------------
 
 BLOCKS = 4
-#: Vectors of a cell that are compared in one task; a larger cell is split into parts.
+#: Vectors of a cell, or visitors to it, that are compared in one task; more of them are split into parts.
 PART = 2048
-#: A cell's neighbours that come after it; with itself, every pair of touching cells is met once.
-_AHEAD = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+#: The coordinates that a grid can have; each one more is taken when the largest label outgrows the grid.
+AXES = ("x", "y", "z", "u")
 _ROTATION: dict[int, np.ndarray] = {}
 
 
@@ -54,28 +55,39 @@ def _budgets(d: int, threshold: float) -> list[float]:
     return [(2 - 2 * threshold) * (b.stop - b.start) / d + 1e-9 for b in _blocks(d)]
 
 
-def _cells(threshold: float):
+def _axes(largest: int) -> int:
+    """Coordinates of the grid for labels of up to so many vectors: 2 for 16 parts, 3 for 256, then 4."""
+    return 2 + (largest > 16 * PART) + (largest > 256 * PART)
+
+
+def _ahead(axes: int) -> list[tuple[int, ...]]:
+    """A cell and its neighbours that come after it: so every pair of touching cells is met once."""
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=axes) if s >= (0,) * axes]
+    return [s + (0,) * (len(AXES) - axes) for s in steps]
+
+
+def _cells(threshold: float, axes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for d, rows in batch.groupby(batch["vector"].map(len)):
                 turned = _unit(list(rows["vector"])) @ rotation(d)
                 out = []
                 for b, (part, budget) in enumerate(zip(_blocks(d), _budgets(d, threshold), strict=True)):
-                    grid = np.floor(turned[:, part][:, :2] / (budget**0.5 * 1.0001)).astype(np.int64)
-                    if grid.shape[1] < 2:
-                        grid = np.column_stack([grid, np.zeros(len(grid), np.int64)])
-                    out.append(pd.DataFrame({"id": rows["id"], "block": b, "x": grid[:, 0], "y": grid[:, 1]}))
+                    grid = np.floor(turned[:, part][:, :axes] / (budget**0.5 * 1.0001)).astype(np.int64)
+                    grid = np.pad(grid, ((0, 0), (0, len(AXES) - grid.shape[1])))
+                    out.append(pd.DataFrame({"id": rows["id"], "block": b} | dict(zip(AXES, grid.T, strict=True))))
                 yield pd.concat(out)
 
     return run
 
 
 def _join(threshold: float):
-    """In one cell (and the vectors that visit from cells ahead): the vectors' links and as many
-    pairs as connect them. A pair belongs to the first block whose budget it keeps."""
+    """In two parts of a cell, or a part of it and one of the vectors that visit from cells ahead:
+    the vectors' links and as many pairs as connect them. Parts of vectors at home meet when
+    ``visit`` is 0. A pair belongs to the first block whose budget it keeps."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, d, block, _, _, left, right = key
+        d, block, left, right, visit = key[1], key[2], *key[-3:]
         rows = rows.sort_values(["home", "id"], ascending=[False, True], ignore_index=True)
         ids, copies, home, side = (rows[c].to_numpy() for c in ("id", "copies", "home", "side"))
         unit = _unit(list(rows["vector"]))
@@ -95,8 +107,10 @@ def _join(threshold: float):
             hi = min(lo + 256, int(home.sum()))
             apart = square[lo:hi, None] + square - 2 * mine[lo:hi] @ mine.T
             near = (apart <= budgets[block] + 1e-6) & (np.arange(len(ids)) > np.arange(lo, hi)[:, None])
-            if left != right:
-                near &= np.where(home, side[lo:hi, None] != side, True)
+            if visit:
+                near &= ~home
+            elif left != right:
+                near &= side[lo:hi, None] != side
             i, j = np.nonzero(near)
             i += lo
             for k in range(0, len(i), 65536):
@@ -130,28 +144,36 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
 
     The rotated unit vectors are split into blocks; two vectors within the squared distance 2 - 2 *
     threshold are within a block's share of it in one block at least. Each block is range-joined on
-    a grid of its first two coordinates, cells as wide as the block's radius; cells with many
-    vectors are compared part by part. A task holds two parts of a cell and of its neighbours'.
+    a grid of its first coordinates, cells as wide as the block's radius, on more coordinates the
+    more vectors a label has. The vectors of a cell and those that visit it from cells ahead are
+    dealt to parts; a task holds two parts, at home both or one of them visiting.
     """
     v = F.col(vector)
     ok = finite(v) & F.col(label).isNotNull() & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector"), F.col(label).alias("label"), F.coalesce(ok, F.lit(False)).alias("ok"))
     nodes = written(rows.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    cells = nodes.select("id", "vector").mapInPandas(_cells(threshold), "id long, block int, x long, y long")
+    largest = nodes.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0] or 0
+    axes = _axes(largest)
+    cells = nodes.select("id", "vector").mapInPandas(_cells(threshold, axes), f"id long, block int, {', '.join(f'{c} long' for c in AXES)}")
     cells = written(cells.join(nodes.select("id", "label", F.size("vector").alias("d")), "id"))
-    own = ["label", "d", "block", "x", "y"]
-    sizes = cells.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    ahead = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in _AHEAD])
-    sent = cells.withColumn("to", F.explode(ahead)).withColumn("home", (F.col("to.dx") == 0) & (F.col("to.dy") == 0))
-    sent = sent.select("id", "label", "d", "block", (F.col("x") - F.col("to.dx")).alias("x"), (F.col("y") - F.col("to.dy")).alias("y"), "home")
-    sent = sent.join(sizes, own)  # a cell without vectors of its own needs no visitors
-    sent = sent.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # pairs of parts: a vector at home goes to all that have its part, a visitor to each part alone
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    sent = sent.withColumn("other", other)
-    sent = sent.withColumns({"left": F.when(F.col("home"), F.least("side", "other")).otherwise(F.col("other")), "right": F.when(F.col("home"), F.greatest("side", "other")).otherwise(F.col("other"))})
-    full = sent.join(nodes.select("id", "vector", "copies"), "id").select("id", "copies", "vector", "home", "side", *own, "left", "right")
-    found = written(full.groupBy(*own, "left", "right").applyInPandas(_join(threshold), "a long, b long, n long"))
+    own = ["label", "d", "block", *AXES]
+    ahead = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(AXES, s, strict=True)]) for s in _ahead(axes)])
+    sent = cells.withColumn("to", F.explode(ahead)).withColumn("home", F.forall(F.array(*[F.col(f"to.{c}") for c in AXES]), lambda v: v == 0))
+    sent = sent.select("id", "label", "d", "block", *[(F.col(c) - F.col(f"to.{c}")).alias(c) for c in AXES], "home")
+    sizes = sent.groupBy(*own).agg(F.count_if("home").alias("n"), F.count_if(~F.col("home")).alias("m")).where("n > 0")  # a cell without vectors of its own needs no visitors
+    sizes = sizes.select(*own, F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.greatest(F.ceil(F.col("m") / PART).cast("int"), F.lit(1)).alias("visits"))
+    sent = sent.join(sizes, own)
+    sent = sent.withColumn("side", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("parts")).otherwise(F.col("visits"))).cast("int"))
+    # a vector at home goes to all pairs that have its part, and alone to each part of the visitors;
+    # a visitor goes with its part to each part at home. The visitors' first part comes where a part
+    # at home meets itself.
+    place = lambda left, right, visit: F.struct(left.alias("left"), right.alias("right"), visit.alias("visit"))
+    side, zero, other = F.col("side"), F.lit(0), F.sequence(F.lit(0), F.col("parts") - 1)
+    pairs = F.transform(other, lambda o: place(F.least(side, o), F.greatest(side, o), zero))
+    more = F.transform(F.slice(F.sequence(F.lit(0), F.col("visits") - 1), F.lit(2), F.col("visits")), lambda o: place(side, side, o))
+    sent = sent.withColumn("at", F.explode(F.when(F.col("home"), F.concat(pairs, more)).otherwise(F.transform(other, lambda o: place(o, o, side)))))
+    full = sent.select("id", "home", "side", *own, "at.*").join(nodes.select("id", "vector", "copies"), "id").select("id", "copies", "vector", "home", "side", *own, "left", "right", "visit")
+    found = written(full.groupBy(*own, "left", "right", "visit").applyInPandas(_join(threshold), "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"))
     known = nodes.join(links, "id", "left").join(comps, "id", "left")

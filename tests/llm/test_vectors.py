@@ -47,6 +47,31 @@ def test_near_vectors(spark, monkeypatch):
     assert max(links.values()) > 30
 
 
+def _guarded(join, most):
+    def make(threshold):
+        run = join(threshold)
+
+        def guarded(key, rows):
+            assert len(rows) <= most, f"{len(rows)} vectors in one task"
+            return run(key, rows)
+
+        return guarded
+
+    return make
+
+
+def test_visitors_of_a_cell_are_split(spark, monkeypatch):
+    frame, _ = _table(spark)
+    found = {}
+    for axes, part in ((2, 40), (4, 40), (2, 2048)):
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "PART", part)
+            m.setattr(vectors, "_axes", lambda largest, axes=axes: axes, raising=False)
+            m.setattr(vectors, "_join", _guarded(vectors._join, 2 * part + 40))
+            found[axes, part] = sorted(map(tuple, vectors.near_vectors(frame).collect()))
+    assert len({str(rows) for rows in found.values()}) == 1
+
+
 @pytest.mark.parametrize("operator", [vectors.near_vectors, lambda df: vectors.top_k(df, F.col("vec_id") % 20 == 0)])
 def test_empty(operator, spark):
     assert operator(spark.createDataFrame([], KIND)).count() == 0
