@@ -3,9 +3,10 @@
 A page is cut into blocks of text. All blocks with the same root-to-leaf tag path are taken
 together: their text per block and their punctuation per block, less their share of link text, are
 fused into one ratio a path. The ratios are smoothed along the page and compared with their standard
-deviation; the paths above it are content paths. The innermost container with nearly all of their
-text is the article, of which every block is returned but those in elements that are not content by
-their tag, role or name.
+deviation; the paths above it are content paths. Elements that are not content by their role or name
+are left out, unless they hold nearly all text of the content paths. The innermost container with
+nearly all of what remains of it is the article, of which every block is returned but those of links
+on other paths.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ NAMES = frozenset(
     "recommended register related replies reply respond search share sharing shoutbox sidebar sidebars signin signup skip social "
     "sponsor sponsored submenu subscribe subscription taboola toolbar topbar tracking warning widget widgets".split()
 )
+#: Names of what can be longer than the article but doesn't wrap it: it stays only if nothing else would.
+ASIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense byline-ads comment comments commentlist consent cookie cookies "
+    "discussion disqus gdpr outbrain replies reply respond shoutbox sponsor sponsored taboola".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A start tag of the key ends an open element of these names, up to the nearest of the last list.
 CLOSES = {
@@ -64,10 +70,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，！？；：、]")
 
 
 class _Node:
-    __slots__ = ("bad", "holds", "inside", "parent", "picked", "tag")
+    __slots__ = ("bad", "holds", "inside", "parent", "picked", "tag", "why")
 
-    def __init__(self, tag: str, parent: _Node | None, bad: str) -> None:
-        self.tag, self.parent, self.bad = tag, parent, bad
+    def __init__(self, tag: str, parent: _Node | None, bad: str, why: frozenset[str] = frozenset()) -> None:
+        self.tag, self.parent, self.bad, self.why = tag, parent, bad, why
         self.holds, self.picked = False, 0
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
@@ -79,19 +85,24 @@ class _Block:
         self.node, self.parts, self.text, self.linked = node, [], "", 0
 
 
-def _marks(tag: str, attributes: str) -> str:
-    """'tag', 'name' or '' by what shows that an element isn't content; 'header' for a page header."""
+def _marks(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
+    """'tag', 'name' or '' by what shows that an element isn't content, 'header' for a page header;
+    and the words that show it."""
     if tag in NEVER:
-        return "tag"
+        return "tag", frozenset()
     found = "header" if tag == "header" else "name" if tag == "form" else ""
+    why = {f"<{tag}>"} if found else set()
     if "=" not in attributes and "hidden" not in attributes:
-        return found
+        return found, frozenset(why)
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return "tag" if tag not in ("html", "body") else found
+            if tag not in ("html", "body"):
+                return "tag", frozenset()
+            return found, frozenset(why)
         if name == "role" and value.lower() in ROLES:
             found = found or "name"
+            why.add(value.lower())
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             words = {w.lower() for w in _NAME.findall(value)}
             if tag == "article":
@@ -100,9 +111,11 @@ def _marks(tag: str, attributes: str) -> str:
                     words = set()
             if words & NAMES:
                 found = found if found == "header" else "name"
+                why |= words & NAMES
             elif "header" in words and tag not in HEADING and tag != "article":
                 found = found or "header"
-    return found
+                why.add("header")
+    return found, frozenset(why)
 
 
 def blocks_of(page: str) -> list[_Block]:
@@ -172,7 +185,7 @@ def blocks_of(page: str) -> list[_Block]:
                 break
             if stack[k].tag in until or not ends:
                 break
-        node = _Node(tag, stack[-1], _marks(tag, attributes))
+        node = _Node(tag, stack[-1], *_marks(tag, attributes))
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in ("article", "main") and not node.bad:
@@ -229,15 +242,59 @@ def content_paths(paths: list[str], blocks: list[_Block]) -> set[str]:
     return {p for p, value in mean.items() if value >= limit and ratio[p] > 0} or {max(mean, key=mean.__getitem__)}
 
 
+def _around(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def keep_wrappers(blocks: list[_Block], lengths: list[int]) -> None:
+    """Takes the marks by name from what wraps the article. ``lengths`` is each block's text on
+    content paths.
+
+    That is an element with nearly all of that text; and if what isn't marked has hardly any of it,
+    the elements of the name that holds most of it, name after name.
+    """
+    total, held = sum(lengths), defaultdict(int)
+    for b, n in zip(blocks, lengths, strict=True):
+        for x in _around(b.node):
+            if x.bad and not x.holds:
+                held[x] += n
+    for x, n in held.items():
+        if n >= 0.8 * total and not x.why & ASIDE:
+            x.bad = ""
+    while sum(n for b, n in zip(blocks, lengths, strict=True) if _content(b.node)) < 0.2 * total:
+        nothing = not any(_content(b.node) for b in blocks)
+        names = defaultdict(int)
+        for b, n in zip(blocks, lengths, strict=True):
+            marked = [x.why for x in _around(b.node) if x.bad and not x.holds]
+            if nothing or not any(why & ASIDE for why in marked):
+                for name in set().union(*marked):
+                    names[name] += n
+        if not names:
+            break
+        name = max(sorted(names), key=names.__getitem__)
+        if not nothing and names[name] < 0.5 * total:
+            break
+        for x in held:
+            if name in x.why:
+                x.bad = ""
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: white space inside a block is one space, blocks are joined by one."""
     if not page:
         return ""
-    every = [b for b in blocks_of(page) if _content(b.node)]
+    every = [b for b in blocks_of(page) if not any(x.bad == "tag" for x in _around(b.node))]
     if not every:
         return ""
     paths = [_path(b.node) for b in every]
     picked = content_paths(paths, every)
+    keep_wrappers(every, [len(b.text) * (p in picked) for p, b in zip(paths, every, strict=True)])
+    stay = [k for k, b in enumerate(every) if _content(b.node)]
+    every, paths = [every[k] for k in stay], [paths[k] for k in stay]
+    if not picked & set(paths):  # nothing of the content is left but for what was marked
+        picked = content_paths(paths, every)
     total, children = 0, defaultdict(set)
     for p, b in zip(paths, every, strict=True):
         node = b.node
@@ -271,7 +328,7 @@ def main_text(page: str | None) -> str:
                 before.append(b.text)
             continue
         seen_heading |= heading
-        if top.tag not in ("article", "main") and p not in picked and b.linked > 0.6 * len(b.text):
+        if p not in picked and b.linked > 0.6 * len(b.text):
             continue
         out.append(b.text)
     return " ".join(out if seen_heading else before[-1:] + out)

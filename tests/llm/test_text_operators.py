@@ -88,6 +88,25 @@ def test_the_article_is_found(around):
     assert htmltext.main_text(PAGE % (around % BODY + COMMENTS)) == "On & on First part, with bold text, and more of it. Short. One, two. Three."
 
 
+WORDS = "On & on First part, with bold text, and more of it. Short. One, two. Three."
+LINKS = "<ul><li><a href=/b>Read the other one</a></li><li><a href=/c>And the third one</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><form id=aspnetForm><nav>Menu</nav><div>{BODY}</div>{COMMENTS}<footer>Us</footer></form></body>", WORDS),
+        (f'<body><div class="ad">Buy, now!</div><div class="elementor-widget-container">{BODY}</div></body>', WORDS),
+        ('<body><div><div class="widget"><h1>On</h1><p>First, the one half, as it is told.</p></div><div class="widget"><p>Then, the other half, as it was told.</p></div></div></body>', "On First, the one half, as it is told. Then, the other half, as it was told."),
+        (f"<body><div class=page>{BODY}</div>{COMMENTS * 20}</body>", WORDS),
+        (f"<body><article>{BODY}{LINKS}<div><span><a href=/d>See also that one</a></span></div></article></body>", WORDS),
+        (f"<body>{COMMENTS}</body>", "Great, I liked it a lot, really, and more than that."),
+    ],
+)
+def test_what_wraps_the_article_stays(page, text):
+    assert htmltext.main_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>", ""), ("<p>a<p>b", "a b"), ("<!-- x", ""), ("<nav>x", ""), ("a &lt;b&gt; &#233;&nbsp; c", "a <b> é c"), ('<p class="x>a', '')])
 def test_broken_pages(page, text):
     assert htmltext.main_text(page) == text or page.startswith('<p class="x')
