@@ -1,7 +1,7 @@
 """License notices by exact set-similarity join.
 
-A text's blocks are its lines, and its hard-wrapped paragraphs as a whole. A block matches a
-template if it contains at least ``threshold`` of the template's distinct words. Words are put in
+A text's blocks are its lines, its hard-wrapped paragraphs as a whole, and windows of consecutive
+words over all of it, so that a notice may be wrapped anywhere. A block matches a template if it contains at least ``threshold`` of the template's distinct words. Words are put in
 order of how many blocks of the corpus hold them; a block and a template can only match if their
 rarest words meet (prefix filter), if the block has enough words (length filter), and if enough
 words follow the first that meets (positional filter). What is left is verified in full.
@@ -33,11 +33,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("cc", "This work is licensed under a Creative Commons Attribution International License"),
+    ("cc", "Licensed under CC BY-NC 4.0"),
+    ("cc", "Licensed under CC BY-NC 3.0"),
+    ("cc", "CC0 1.0 Universal Public Domain Dedication"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 #: A paragraph counts as hard-wrapped if all its lines are shorter.
 WRAP = 100
+#: A window's words, in lengths of the longest template; windows overlap by half.
+WINDOW = 3
 
 
 def _hashed(text: str) -> np.ndarray:
@@ -45,12 +50,15 @@ def _hashed(text: str) -> np.ndarray:
 
 
 def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]], threshold: float):
-    """Per text: words, phrase places and, for every block that holds enough words of any template,
+    """Per text: words, phrase places and, for every block that holds enough words of a template,
     which of the templates' words it holds."""
     wanted = [_hashed(p) for p, _ in phrases]
     sets = [np.unique(_hashed(t)) for _, t in templates]
     vocabulary = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
-    least = min((math.ceil(threshold * len(s) - 1e-9) for s in sets), default=1)
+    needs = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
+    least = min(needs, default=1)
+    member = np.array([np.isin(vocabulary, s) for s in sets]).reshape(len(sets), len(vocabulary))
+    step = max((WINDOW * len(_hashed(t)) // 2 for _, t in templates), default=1) or 1
 
     def blocks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends, in bytes, of all lines of all texts and of hard-wrapped paragraphs."""
@@ -67,6 +75,28 @@ def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str
         long = last > first
         return np.concatenate([start, start[first[long]]]), np.concatenate([end, end[last[long]]])
 
+    def windows(first: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in bytes, of windows of 2 * step words of each text; any step words that
+        follow each other are within one."""
+        size = np.diff(first)
+        n = np.where(size > 0, np.maximum(-(-size // step) - 1, 1), 0)
+        low = np.repeat(first[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+        high = np.minimum(low + 2 * step, np.repeat(first[1:], n))
+        return start[low], end[high - 1]
+
+    def holding(lo: np.ndarray, hi: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which blocks hold enough words of a template, and the distinct words that each holds."""
+        some = np.flatnonzero(hi - lo >= least)
+        size = (hi - lo)[some]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[some], size)
+        pairs = np.unique(np.repeat(np.arange(len(some)), size) * len(vocabulary) + token[at])
+        owner, word = np.divmod(pairs, len(vocabulary))
+        good = np.zeros(len(some), bool)
+        for words, need in zip(member, needs, strict=True):
+            good |= np.bincount(owner[words[word]], minlength=len(some)) >= need
+        ends = np.searchsorted(owner, np.arange(len(some) + 1))
+        return some[good], [word[ends[k] : ends[k + 1]] for k in np.flatnonzero(good).tolist()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = alnum_words()
         for batch in batches:
@@ -95,13 +125,11 @@ def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str
             if len(vocabulary):
                 token = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
                 known = np.flatnonzero(vocabulary[token] == words)
-                begin, stop = blocks(data, at)
+                begin, stop = (np.concatenate(x) for x in zip(blocks(data, at), windows(first, start, end), strict=True))
                 lo, hi = np.searchsorted(start[known], begin), np.searchsorted(start[known], stop)
                 owner = np.searchsorted(at, begin, "right") - 1
-                for b in np.flatnonzero(hi - lo >= least).tolist():
-                    tokens = np.unique(token[known[lo[b] : hi[b]]])
-                    if len(tokens) >= least:
-                        held[owner[b]].append({"block": b, "tokens": tokens.tolist()})
+                for b, tokens in zip(*holding(lo, hi, token[known]), strict=True):
+                    held[owner[b]].append({"block": b, "tokens": tokens.tolist()})
             some = n_base > 0
             yield pa.RecordBatch.from_arrays(
                 [

@@ -234,6 +234,21 @@ def test_licenses(spark):
     assert found[7].n_words == 30_000 and len(found) == len(rows)
 
 
+def test_notices_wrapped_anywhere(spark):
+    notice = dict(enumerate(t for _, t in licenses.TEMPLATES))
+    words = notice[1].split()
+    far = "word " * 30
+    rows = [
+        (1, "intro\n\n" + " ".join(words[:9]) + " " * 100 + "\n" + " ".join(words[9:]) + "\n\nend"),
+        (2, f"{'x' * 150} starts\n" + "\n".join(" ".join(words[k : k + 5]) for k in range(0, len(words), 5)) + f"\n{'y' * 150}"),
+        (3, "LONG " * 500 + "\n" + "\n".join(w + " " * 120 for w in words) + "\n" + "LONG " * 500),
+        (4, "Some text.\nLicensed under CC BY-NC 4.0.\nMore"), (5, "Licensed under CC BY 4.0"), (6, "Licensed under CC\nBY-NC-SA 3.0"),
+        (7, "Licensed under the terms of version 4.0 by Foo, Inc."), (8, "\n".join(w + " " + far for w in words)),
+    ]
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: "apache", 2: "apache", 3: "apache", 4: "cc", 5: "cc", 6: "cc", 7: "", 8: ""}
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 
