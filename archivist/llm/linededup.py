@@ -38,9 +38,10 @@ def word_ranks(docs: DataFrame, text: str) -> Column:
     return F.lit(np.array(rank, np.int32))  # one literal, however many numbers
 
 
-def line_tokens(docs: DataFrame, text: str, key: str, width: int, ranks: Column, places: DataFrame | None = None) -> DataFrame:
+def line_tokens(docs: DataFrame, text: str, key: str, width: int, ranks: Column, places: DataFrame | None = None, short: bool = False) -> DataFrame:
     """doc_id, line and tokens of every line: numbers in order of rarity, null for fewer than
-    ``width`` words. A token is its rank (12 bits) and 51 bits of its hash. With ``places`` (doc_id,
+    ``width`` words; with ``short`` only for blank lines, and the words of other such lines are one
+    token. A token is its rank (12 bits) and 51 bits of its hash. With ``places`` (doc_id,
     line, id) only of those lines, which also get id."""
     # outer generators and no filters here: the optimizer would repeat the splitting for each
     lines = docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("line", "value"))
@@ -61,13 +62,19 @@ def line_tokens(docs: DataFrame, text: str, key: str, width: int, ranks: Column,
         return F.shiftleft(rank, high).bitwiseOR(F.shiftrightunsigned(spread, 64 - high))
 
     tokens = F.sort_array(F.array_distinct(F.transform(F.slice("w", F.lit(1), F.size("w") - (width - 1)), token)))
-    return lines.select(*named, F.when(F.size("w") >= width, tokens).alias("tokens"))
+    found = F.when(F.size("w") >= width, tokens)
+    if short:
+        whole = F.shiftrightunsigned(F.xxhash64(F.size("w"), "w"), 64 - high)
+        rank = F.element_at(ranks, _bucket(F.get("w", F.lit(0))) + 1).cast("long")
+        found = found.when(F.get("w", F.lit(0)) != "", F.array(F.shiftleft(rank, high).bitwiseOR(whole)))
+    return lines.select(*named, found.alias("tokens"))
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: float = 0.8) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: float = 0.8, short: bool = False) -> DataFrame:
     """(doc_id, line) of every line that a line before it repeats.
 
-    Lines, cut at line feeds and numbered from 0, of fewer than ``width`` words stay. Null texts have
+    Lines are cut at line feeds and numbered from 0. Those of fewer than ``width`` words stay; with
+    ``short`` they repeat lines of the same words, and only blank lines stay. Null texts have
     no lines. Words are what lies between blanks and tabs, lower-cased. Rows with the same key are one
     document; equal lines of the same number in it stand or fall together.
 
@@ -78,7 +85,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     ranks = word_ranks(docs, text)
     size = F.size("tokens")
     need = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    keyed = line_tokens(docs, text, key, width, ranks).select("doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), size.alias("n"), F.expr("aggregate(tokens, 0L, (s, t) -> s ^ shiftleft(1L, cast(t & 63 AS int)))").alias("parity"), F.slice("tokens", F.lit(1), need).alias("prefix"))
+    keyed = line_tokens(docs, text, key, width, ranks, short=short).select("doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), size.alias("n"), F.expr("aggregate(tokens, 0L, (s, t) -> s ^ shiftleft(1L, cast(t & 63 AS int)))").alias("parity"), F.slice("tokens", F.lit(1), need).alias("prefix"))
     lines = written(keyed).where("prefix is not null")
     at = F.struct(F.col("doc_id"), F.col("line"))
     nodes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
@@ -98,7 +105,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     fits &= F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= (1 - threshold) / (1 + threshold) * (x_n + y_n) + 1e-9
     first = live.groupBy("token").agg(F.min_by(F.struct(*columns), "at").alias("one"))
     first = first.select("token", *[F.col(f"one.{c}").alias(f"x_{c}") for c in columns])
-    full = lambda places: line_tokens(docs, text, key, width, ranks, places)
+    full = lambda places: line_tokens(docs, text, key, width, ranks, places, short)
     star = first.join(y, "token").where(fits).groupBy("y_id", "x_id").agg(F.count(F.lit(1)).alias("m"))
     star = star.groupBy("y_id").agg(F.max_by("x_id", F.struct("m", "x_id")).alias("x_id"))
     beaten = written(_verified(star, nodes, full, threshold))
@@ -130,10 +137,10 @@ def line_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataF
     return every.join(gone, ["doc_id", "line"], "left").select("doc_id", "line", F.col("gone").isNull().alias("kept"))
 
 
-def without_repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, short: bool = False) -> DataFrame:
     """``docs`` with the repeated lines taken out of their texts. Documents of which nothing but
     white space is left go; those that had nothing else before stay."""
-    gone = repeated_lines(docs, width=width, threshold=threshold).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))  # a document's line numbers
+    gone = repeated_lines(docs, width=width, threshold=threshold, short=short).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))  # a document's line numbers
     rows = docs.join(gone, "doc_id", "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     rows = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))

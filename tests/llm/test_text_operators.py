@@ -263,6 +263,15 @@ def test_lines(spark):
     assert left == {1: rows[1][1], 2: "short line\n", 4: None, 5: ""}
 
 
+def test_short_lines(spark):
+    rows = [(1, "And ornd.\none two three four five\n\nAnd  ORND."), (2, "and ornd.\n\nand\none two three four"), (3, " \nand ornd. it\none two three four\nAnd"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {tuple(r) for r in linededup.repeated_lines(docs, short=True).collect()}
+    assert gone == {(1, 3), (2, 0), (3, 2), (3, 3)} and linededup.repeated_lines(docs).count() == 0
+    left = {r.doc_id: r.text for r in linededup.without_repeats(docs, short=True).collect()}
+    assert left == {1: "And ornd.\none two three four five\n", 2: "\nand\none two three four", 3: " \nand ornd. it", 4: None, 5: ""}
+
+
 def test_lines_of_odd_rows(odd):
     assert linededup.line_dedup(odd).count() >= len(ODD) - 1
 
