@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from archivist.llm import langid, linededup, minhash, mixing, packing
 from archivist.llm.common import written
 
+#: Documents whose shingles have this similarity (in percent) or more are near-duplicates.
+ALIKE = 80
 #: A document is rejected if it has no letters or no language scores this much.
 LEAST_SCORE = 0.4
 
@@ -27,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, percent=ALIKE).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -19,3 +19,12 @@ def test_stages(spark, data, tmp_path):
     got = found.where("piece = 0").groupBy("doc_id").count()
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_near_dedup_takes_a_similarity_of_four_fifths(spark):
+    words = [f"v{k}" for k in range(96)]  # 92 shingles
+    alike = [*words[:41], "x", *words[42:54], "y", *words[55:]]  # 10 of 92 differ: 82 / 102 = 0.804
+    other = [*words[:30], "x", *words[31:50], "y", *words[51:70], "z", *words[71:]]  # 15 of 92: 77 / 107 = 0.72
+    rows = [(1, words), (2, alike), (3, other)]
+    docs = spark.createDataFrame([(k, " ".join(w), "en", "a", 1) for k, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
