@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors share, which ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
+    Only a session on one machine (tests) may name none: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="archivist-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -40,11 +42,26 @@ def written(df: DataFrame) -> DataFrame:
 FEW = 500_000
 
 
-def rows_with(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def rows_with(df: DataFrame, keys: DataFrame, on: list[str], null_safe: bool = False) -> DataFrame:
     """The rows of ``df`` whose key is in ``keys``. Few keys, which are counted first, go to every
     task, so that ``df`` isn't shuffled; more keys and ``df`` meet by a shuffle."""
     keys = written(keys.distinct())
-    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, "left_semi")
+    sent = F.broadcast(keys) if keys.count() <= FEW else keys
+    if not null_safe:
+        return df.join(sent, on, "left_semi")
+    sent = sent.toDF(*[f"key{k}" for k in range(len(on))])
+    return df.join(sent, reduce(Column.__and__, [df[c].eqNullSafe(sent[f"key{k}"]) for k, c in enumerate(on)]), "left_semi")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """One column ``row`` with all columns of ``df``, so that no name clashes with names used beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``row`` again, with ``new`` values for those that are there."""
+    new = new or {}
+    return df.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "2m") -> None:

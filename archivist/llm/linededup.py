@@ -1,98 +1,142 @@
 """Removal of repeated lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct 5-word shingles. They are put in order of rarity: of how often, in
-the whole corpus, the word occurs that a shingle starts with (which is never less often than the
-shingle). Two lines of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1
-tokens in that order (prefix filter), have sizes within t of each other (length filter), and enough
-tokens left where they meet (positional filter). What is left is verified on all tokens. A line is
-removed if a line before it, by document and line number, is as similar.
+A line's tokens are its distinct 5-word shingles; a line of fewer words is one token. All shingles of
+the corpus are counted in a sketch of fixed size, and tokens are put in order of rarity by it. Two
+lines of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1 tokens in that order
+(prefix filter), have sizes within t of each other (length filter), and enough tokens left where they
+meet (positional filter). What is left is verified on all tokens. A line is removed if a line before
+it, by document and line number, is as similar.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivist.llm.common import FEW, rows_with, written
+from archivist.llm.common import FEW, packed, rows_with, unpacked, written
 
-#: Words are counted in so many hash buckets: the table of ranks has this fixed size.
-BUCKETS_LOG2 = 12
+#: Shingles are counted in so many hash buckets, so the table of ranks has this fixed size. What is
+#: frequent beyond the noise of its bucket comes last, so that many lines with the same frame don't meet.
+BUCKETS_LOG2 = 14
 _OTHER_BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 
-def _bucket(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 64 - BUCKETS_LOG2).cast("int")
-
+def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    # outer generators and no filters on what comes of them: the optimizer would repeat the splitting for each
+    return docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("line", "value"))
 
-def word_ranks(docs: DataFrame, text: str) -> Column:
-    """A constant array: for each bucket of words its rank by occurrences in all texts, rarest first."""
-    words = docs.select(F.explode_outer(F.split(F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))), " ")).alias("w"))
-    counts = {r[0]: r[1] for r in words.groupBy(_bucket(F.col("w")).alias("b")).count().collect()}
-    order = sorted(range(1 << BUCKETS_LOG2), key=lambda b: (counts.get(b, 0), b))
-    rank = [0] * len(order)
-    for k, b in enumerate(order):
-        rank[b] = k
-    return F.lit(np.array(rank, np.int32))  # one literal, however many numbers
 
-
-def line_tokens(docs: DataFrame, text: str, key: str, width: int, ranks: Column, places: DataFrame | None = None, short: bool = False) -> DataFrame:
-    """doc_id, line and tokens of every line: numbers in order of rarity, null for fewer than
-    ``width`` words; with ``short`` only for blank lines, and the words of other such lines are one
-    token. A token is its rank (12 bits) and 51 bits of its hash. With ``places`` (doc_id,
-    line, id) only of those lines, which also get id."""
-    # outer generators and no filters here: the optimizer would repeat the splitting for each
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("line", "value"))
-    named = ["doc_id", "line"]
-    if places is not None:
-        lines, named = lines.join(places, named), [*named, "id"]
+def _words(lines: DataFrame) -> DataFrame:
+    """doc_id, line and h, the hashes of the words of value in lower case, which for a blank line is
+    the hash of one empty word."""
     value = F.col("value")
     odd = F.contains(value, F.lit("  ")) | F.startswith(value, F.lit(" ")) | F.endswith(value, F.lit(" "))
     for blank in _OTHER_BLANKS:
         odd |= F.contains(value, F.lit(blank))
     plain = F.when(odd, F.trim(F.regexp_replace(value, "[ \t\\x0B\f\r]+", " "))).otherwise(value)
-    lines = lines.select(*named, F.split(F.lower(plain), " ").alias("w"))
-    high = 63 - BUCKETS_LOG2
+    words = lines.select("doc_id", "line", F.split(F.lower(plain), " ").alias("w"))
+    return words.select("doc_id", "line", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
 
-    def token(x: Column, i: Column) -> Column:
-        spread = F.xxhash64(x, *[F.get(F.col("w"), i + k) for k in range(1, width)])
-        rank = F.element_at(ranks, _bucket(x) + 1).cast("long")
-        return F.shiftleft(rank, high).bitwiseOR(F.shiftrightunsigned(spread, 64 - high))
 
-    tokens = F.sort_array(F.array_distinct(F.transform(F.slice("w", F.lit(1), F.size("w") - (width - 1)), token)))
-    found = F.when(F.size("w") >= width, tokens)
-    if short:
-        whole = F.shiftrightunsigned(F.xxhash64(F.size("w"), "w"), 64 - high)
-        rank = F.element_at(ranks, _bucket(F.get("w", F.lit(0))) + 1).cast("long")
-        found = found.when(F.get("w", F.lit(0)) != "", F.array(F.shiftleft(rank, high).bitwiseOR(whole)))
-    return lines.select(*named, found.alias("tokens"))
+def _from(array: str, k: int) -> Column:
+    return F.slice(array, F.lit(k + 1), F.greatest(F.size(array), F.lit(0)))
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: float = 0.8, short: bool = False) -> DataFrame:
-    """(doc_id, line) of every line that a line before it repeats.
+def _run(parts: list[Column]) -> Column:
+    """The hash of consecutive words' hashes: halves of the longest power of two, then the next ones."""
+    if len(parts) == 1:
+        return parts[0]
+    half = 1 << (len(parts).bit_length() - 1)
+    first = F.xxhash64(_run(parts[: half // 2]), _run(parts[half // 2 : half]))
+    return first if half == len(parts) else F.xxhash64(first, _run(parts[half:]))
+
+
+def _runs(words: DataFrame, width: int) -> DataFrame:
+    """h and, as s, the same hash as that of `_run` for every run of ``width`` words (what begins after
+    the last such is of no use)."""
+    beside = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    rows, own = words.withColumn("s1", F.col("h")), ["doc_id", "line", "h"]
+    while width >= (size := 1 << (len(rows.columns) - len(own))):
+        rows = rows.withColumn(f"s{size}", beside(f"s{size // 2}", _from(f"s{size // 2}", size // 2)))
+    powers = [1 << k for k in reversed(range(width.bit_length())) if width >> k & 1]
+
+    def join(at: int) -> Column:
+        name = f"s{powers[at]}"
+        here = _from(name, sum(powers[:at])) if at else F.col(name)
+        return here if at == len(powers) - 1 else beside(here, join(at + 1))
+
+    return rows.select(*own, join(0).alias("s"))
+
+
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND((1 << BUCKETS_LOG2) - 1).cast("int")
+
+
+def shingle_ranks(lines: DataFrame, width: int) -> Column:
+    """A constant array: for each bucket of shingles its rank by occurrences in all texts, rarest
+    first, as the highest bits of a signed number."""
+    parts = [f"s{k}" for k in range(width)]
+    shingles = _words(lines).select(F.inline_outer(F.arrays_zip(*[_from("h", k).alias(c) for k, c in enumerate(parts)])))
+    # where a line ends there are no whole shingles; they have a bucket of their own
+    bucket = F.when(F.col(parts[-1]).isNotNull(), _bucket(_run([F.col(c) for c in parts])))
+    counts = dict(shingles.groupBy(bucket.alias("b")).count().collect())
+    rank = [0] * (1 << BUCKETS_LOG2)
+    for k, b in enumerate(sorted(range(len(rank)), key=lambda b: (counts.get(b, 0), b))):
+        rank[b] = (k - len(rank) // 2) << (64 - BUCKETS_LOG2)
+    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")  # the optimizer makes it one literal
+
 
-    Lines are cut at line feeds and numbered from 0. Those of fewer than ``width`` words stay; with
-    ``short`` they repeat lines of the same words, and only blank lines stay. Null texts have
-    no lines. Words are what lies between blanks and tabs, lower-cased. Rows with the same key are one
-    document; equal lines of the same number in it stand or fall together.
+def line_tokens(lines: DataFrame, width: int, ranks: Column) -> DataFrame:
+    """doc_id, line and tokens of every line: distinct numbers in order of rarity, null for a blank
+    line. A token is the hash of a shingle, its lowest bits, the bucket, made the bucket's rank in front."""
+    words = _runs(_words(lines), width)
+    whole = F.array(F.xxhash64(F.size("h"), "h"))
+    shingles = F.slice("s", F.lit(1), F.greatest(F.size("h") - (width - 1), F.lit(0)))
+    some = words.select("doc_id", "line", F.when(F.size("h") >= width, shingles).when(F.get("h", F.lit(0)) != F.xxhash64(F.lit("")), whole).alias("s"))
+    ranked = F.transform("s", lambda x: F.get(ranks, _bucket(x)).bitwiseOR(F.shiftrightunsigned(x, BUCKETS_LOG2)))
+    return some.select("doc_id", "line", F.sort_array(F.array_distinct(ranked)).alias("tokens"))
+
+
+def _parity() -> Column:
+    """64 bits, each the parity of how many tokens hash to it."""
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+
+
+def _same(tokens: str) -> list[Column]:
+    return [F.xxhash64(tokens).alias("k1"), F.xxhash64(F.lit(1), tokens).alias("k2")]
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    """To every task, if its rows, which are counted, are few; else it meets others by a shuffle."""
+    return F.broadcast(few) if few.count() <= FEW else few
+
+
+def _marked(docs: DataFrame, text: str, key: str, width: int, threshold: float) -> DataFrame:
+    """doc_id, line and gone of every line of every row of ``docs``.
 
     Equal lines are one node. First each node meets one other: of the first nodes of its prefix tokens
-    the one with which it shares most of them; nodes that it doesn't beat then meet all before them,
-    so that a group of many similar lines does not meet pairwise. All tokens are kept of candidates only.
+    the one with which it shares most of them; only nodes that it doesn't beat then meet all before
+    them, so that a group of many similar lines does not meet pairwise.
     """
-    ranks = word_ranks(docs, text)
+    split = _lines(docs, text, key)
+    ranks = shingle_ranks(split, width)
     size = F.size("tokens")
     need = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    keyed = line_tokens(docs, text, key, width, ranks, short=short).select("doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), size.alias("n"), F.expr("aggregate(tokens, 0L, (s, t) -> s ^ shiftleft(1L, cast(t & 63 AS int)))").alias("parity"), F.slice("tokens", F.lit(1), need).alias("prefix"))
-    lines = written(keyed).where("prefix is not null")
-    at = F.struct(F.col("doc_id"), F.col("line"))
-    nodes = lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()))
-    # one number for size and place keeps what is shuffled for each token small
-    tokens = nodes.select("id", "n", F.posexplode_outer("prefix").alias("p", "token")).select("token", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("np"))
-    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    full = line_tokens(split, width, ranks)
+    lines = written(full.select("doc_id", "line", *_same("tokens"), size.alias("n"), _parity().alias("parity"), F.slice("tokens", F.lit(1), need).alias("prefix")))
+    at = F.struct((F.col("doc_id.doc_id") if key == "doc" else F.col("doc_id")).isNull().alias("none"), "doc_id", "line")  # null keys come last
+    rest_of = ("n", "parity", "prefix")
+    filled = lines.where("prefix is not null")
+    often = written(filled.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("k1", "k2", F.lit(True).alias("copied")))
+    told = filled.join(_sent(often), ["k1", "k2"], "left")
+    once = told.where("copied is null").select("k1", "k2", at.alias("at"), *rest_of)
+    firsts = told.where("copied").groupBy("k1", "k2").agg(F.min(at).alias("at"), *[F.first(c).alias(c) for c in rest_of])
+    nodes = written(once.withColumn("copied", F.lit(False)).unionByName(firsts.withColumn("copied", F.lit(True))).withColumn("id", F.monotonically_increasing_id()))
+    # one number for size and place keeps what is shuffled for each token small; both uses of the
+    # tokens read the same columns, so that they are shuffled once
+    tokens = nodes.select("id", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("p", "token")).where("token is not null")
+    tokens = tokens.select("token", "id", F.col("n").bitwiseOR(F.col("p").cast("long")).alias("np")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.count_if(F.col("id").isNotNull() & F.col("np").isNotNull()).alias("c")).where("c > 1").select("token")
     live = tokens.join(shared, "token").join(nodes.select("id", "at", "parity"), "id")
     live = written(live.select("token", "id", "at", "parity", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p")))
     columns = ("id", "at", "parity", "n", "p")
@@ -105,45 +149,64 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     fits &= F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= (1 - threshold) / (1 + threshold) * (x_n + y_n) + 1e-9
     first = live.groupBy("token").agg(F.min_by(F.struct(*columns), "at").alias("one"))
     first = first.select("token", *[F.col(f"one.{c}").alias(f"x_{c}") for c in columns])
-    full = lambda places: line_tokens(docs, text, key, width, ranks, places, short)
     star = first.join(y, "token").where(fits).groupBy("y_id", "x_id").agg(F.count(F.lit(1)).alias("m"))
     star = star.groupBy("y_id").agg(F.max_by("x_id", F.struct("m", "x_id")).alias("x_id"))
-    beaten = written(_verified(star, nodes, full, threshold))
+    verify = lambda pairs: written(_verified(pairs, nodes, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), width, ranks, threshold))
+    beaten = verify(star)
     rest = x.join(y.join(beaten, "y_id", "left_anti"), "token").where(fits)
-    beaten = beaten.unionByName(_verified(rest, nodes, full, threshold)).distinct()
-    heads = nodes.select("id", "k1", "k2", F.col("at").alias("first")).join(beaten.select(F.col("y_id").alias("id"), F.lit(True).alias("beaten")), "id", "left")
-    again = lines.select("k1", "k2", at.alias("at")).join(heads, ["k1", "k2"])
-    return again.where(F.coalesce("beaten", F.lit(False)) | (F.col("at") > F.col("first"))).select("at.doc_id", "at.line").distinct()
+    beaten = beaten.unionByName(verify(rest))
+    known = nodes.select("id", "k1", "k2", "at", "copied").join(beaten.select(F.col("y_id").alias("id"), F.lit(True).alias("beaten")), "id", "left")
+    some = written(known.where("beaten or copied").select("k1", "k2", "beaten", F.col("at").alias("first")))
+    flagged = lines.select("doc_id", "line", "k1", "k2").join(_sent(some), ["k1", "k2"], "left")
+    return flagged.select("doc_id", "line", F.coalesce("beaten", at > F.col("first"), F.lit(False)).alias("gone"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, tokens: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """The ids of those second nodes whose pair has the similarity on all tokens, which are made
-    again for the lines in which candidates stand."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, ranks: Column, threshold: float) -> DataFrame:
+    """The ids (y_id) of those second nodes whose pair has the similarity on all tokens, which are
+    made again for the lines in which candidates stand."""
     pairs = written(pairs.select("x_id", "y_id").distinct())
     ids = pairs.select(F.col("x_id").alias("id")).union(pairs.select("y_id"))
-    places = written(rows_with(nodes.select("id", "at.doc_id", "at.line"), ids, ["id"]))
-    found = tokens(F.broadcast(places) if places.count() <= FEW else places)  # few ones go to every task
-    sets = written(found.select("id", "tokens").dropDuplicates(["id"]))
+    places = written(rows_with(nodes.select("id", "k1", "k2", "at.doc_id", "at.line"), ids, ["id"]))
+    there = _lines(rows_with(docs, places.select("doc_id"), ["doc_id"], null_safe=True), "text", "doc_id")
+    there = rows_with(there, places.select("doc_id", "line"), ["doc_id", "line"], null_safe=True)
+    made = line_tokens(there, width, ranks).select("tokens", *_same("tokens"))
+    sets = written(made.join(_sent(places.select("id", "k1", "k2")), ["k1", "k2"]).select("id", "tokens").dropDuplicates(["id"]))
     x, y = sets.select(F.col("id").alias("x_id"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("y_id"), F.col("tokens").alias("y"))
     both = pairs.join(x, "x_id").join(y, "y_id")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("y_id").distinct()
 
 
+def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, line) of every line that a line before it repeats.
+
+    Lines are cut at line feeds and numbered from 0; words are what lies between blanks and tabs, in
+    lower case. Lines of fewer than ``width`` words repeat lines of the same words; blank lines repeat
+    nothing. Null texts have no lines. Rows with a null key come after all others. Rows with the same
+    key are one document: equal lines of the same number in it stand or fall together. An empty table
+    gives an empty result, very long texts and lines are taken whole, other columns are ignored.
+    """
+    return _marked(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", width, threshold).where("gone").select("doc_id", "line").distinct()
+
+
 def line_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, line and kept of every line of ``docs`` (doc_id, text)."""
-    every = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "value")).where("line is not null").select("doc_id", "line")
-    gone = repeated_lines(docs, width=width, threshold=threshold).withColumn("gone", F.lit(True))
-    return every.join(gone, ["doc_id", "line"], "left").select("doc_id", "line", F.col("gone").isNull().alias("kept"))
-
-
-def without_repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8, short: bool = False) -> DataFrame:
-    """``docs`` with the repeated lines taken out of their texts. Documents of which nothing but
-    white space is left go; those that had nothing else before stay."""
-    gone = repeated_lines(docs, width=width, threshold=threshold, short=short).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))  # a document's line numbers
-    rows = docs.join(gone, "doc_id", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    rows = rows.where(F.col("_gone").isNull() | (F.length(F.trim("_left")) > 0))
-    n_chars = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast("long")) if "n_chars" in docs.columns else None
-    return rows.select(*[F.col("_left").alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """doc_id, line and kept of every line of ``docs`` (doc_id, text); see `repeated_lines`."""
+    marked = _marked(docs.select("doc_id", "text"), "text", "doc_id", width, threshold)
+    return marked.where("line is not null").select("doc_id", "line", (~F.col("gone")).alias("kept"))
+
+
+def without_repeats(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with the repeated lines taken out of their texts (and n_chars, if it is there, as the
+    text then has). Documents of which nothing but white space is left go; those that had nothing
+    else before stay. Columns of any name are left as they are; see `repeated_lines` for odd rows."""
+    told = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text"))  # rows of one key and other texts are told apart
+    marked = _marked(docs.select(told.alias("doc"), "text"), "text", "doc", width, threshold).where("gone")
+    gone = marked.groupBy(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.text").alias("gone_text")).agg(F.collect_set("line").alias("gone"))  # a document's line numbers
+    rows = packed(docs)
+    on = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_text"))
+    rows = rows.join(gone, on, "left").select("row", "gone", F.split("row.text", "\n").alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = rows.select("row", "gone", F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n").alias("left"))
+    left = left.where(F.col("gone").isNull() | F.col("left").rlike(r"\S"))
+    changed = lambda c, value: F.when(F.col("gone").isNull(), F.col(f"row.{c}")).otherwise(value)
+    return unpacked(left, docs.columns, {"text": changed("text", F.col("left")), "n_chars": changed("n_chars", F.length("left").cast("long"))})

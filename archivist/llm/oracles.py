@@ -36,7 +36,7 @@ SELECT doc_id, size, source_size, target, greatest(0, least(floor(start + each *
 
 OP9 = """WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS value FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, line, list_filter(string_split(translate(lower(value), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '') AS w FROM l),
-s AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS place, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 1))]) AS s FROM w),
+s AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS place, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) END AS s FROM w),
 t AS (SELECT place, len(s) AS n, unnest(s) AS x FROM s),
 c AS (SELECT b.place, a.n AS m, b.n AS n, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.place < b.place GROUP BY a.place, b.place, a.n, b.n),
 gone AS (SELECT DISTINCT place FROM c WHERE k >= 0.8::double * (m + n - k) - 1e-9)

@@ -249,33 +249,6 @@ def test_notices_wrapped_anywhere(spark):
     assert found == {1: "apache", 2: "apache", 3: "apache", 4: "cc", 5: "cc", 6: "cc", 7: "", 8: ""}
 
 
-# --- 9 -------------------------------------------------------------------------------------------
-
-
-def test_lines(spark):
-    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
-    near = line + " twentyone"
-    rows = [(2, f"{near}\nshort line\n\n{line}"), (1, f"{line}\nshort line\nfresh words that nobody else has written"), (3, line), (4, None), (5, ""), (6, line.upper())]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit("clash"))
-    found = {(r.doc_id, r.line): r.kept for r in linededup.line_dedup(docs).collect()}
-    assert found == {(1, 0): True, (1, 1): True, (1, 2): True, (2, 0): False, (2, 1): True, (2, 2): True, (2, 3): False, (3, 0): False, (5, 0): True, (6, 0): False}
-    left = {r.doc_id: r.text for r in linededup.without_repeats(docs).collect()}
-    assert left == {1: rows[1][1], 2: "short line\n", 4: None, 5: ""}
-
-
-def test_short_lines(spark):
-    rows = [(1, "And ornd.\none two three four five\n\nAnd  ORND."), (2, "and ornd.\n\nand\none two three four"), (3, " \nand ornd. it\none two three four\nAnd"), (4, None), (5, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    gone = {tuple(r) for r in linededup.repeated_lines(docs, short=True).collect()}
-    assert gone == {(1, 3), (2, 0), (3, 2), (3, 3)} and linededup.repeated_lines(docs).count() == 0
-    left = {r.doc_id: r.text for r in linededup.without_repeats(docs, short=True).collect()}
-    assert left == {1: "And ornd.\none two three four five\n", 2: "\nand\none two three four", 3: " \nand ornd. it", 4: None, 5: ""}
-
-
-def test_lines_of_odd_rows(odd):
-    assert linededup.line_dedup(odd).count() >= len(ODD) - 1
-
-
 # --- 10 ------------------------------------------------------------------------------------------
 
 
