@@ -1,21 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text. All blocks with the same root-to-leaf tag path are taken
-together: their text per block and their punctuation per block, less their share of link text, are
-fused into one ratio a path. The ratios are smoothed along the page and compared with their standard
-deviation; the paths above it are content paths. Elements that are not content by their role or name
-are left out, unless they hold nearly all text of the content paths. The innermost container with
-nearly all of what remains of it is the article, of which every block is returned but those of links
-on other paths.
+A page is cut into blocks of text. All blocks with the same root-to-leaf path of tags, classes and ids
+are taken together: the mean and deviation of their text's length and of their punctuation, less
+their share of link text, are fused into one ratio a path. The ratios are smoothed along the page and
+compared with their standard deviation; the paths above it are content paths. Elements that can't be
+content by their tag are left out before; a role or a name that pages use for what is not content only
+lowers the ratio of its paths. The innermost container with nearly all text on content paths is the
+article. Of it come all blocks on content paths and those that stand among them; containers in it
+without content paths go if they are marked, or if they come before or after all content.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from statistics import pstdev
+from statistics import fmean, pstdev
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,25 +32,25 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
-CONTAINER = frozenset("html body div section article main center table tbody tr td fieldset form details".split())
+CONTAINER = frozenset("html body div section article main center table tbody tr td fieldset form details header".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset(
     "head script style noscript template iframe svg math canvas object audio video map button select option textarea input "
     "datalist dialog nav footer aside menu title xmp noembed noframes".split()
 )
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline-ads comment comments "
-    "commentlist consent cookie cookies disclaimer discussion disqus feedback footer form gdpr login masthead menu menus modal nav "
-    "navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promotion "
-    "recommended register related replies reply respond search share sharing shoutbox sidebar sidebars signin signup skip social "
-    "sponsor sponsored submenu subscribe subscription taboola toolbar topbar tracking warning widget widgets".split()
-)
-#: Names of what can be longer than the article but doesn't wrap it: it stays only if nothing else would.
-ASIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense byline-ads comment comments commentlist consent cookie cookies "
-    "discussion disqus gdpr outbrain replies reply respond shoutbox sponsor sponsored taboola".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments "
+    "commentlist consent cookie cookies discussion disqus footer gdpr login masthead menu menus navbar navigation newsletter notice "
+    "notices outbrain overlay pager pagination popup promo promotion replies respond shoutbox sidebar sidebars signin signup sponsor "
+    "sponsored subscribe taboola toolbar topbar".split()
 )
+#: Words beside a name that don't make it another one.
+NEUTRAL = frozenset("area bar block bottom box container content footer header inner left list main outer page post right section site slot thread top wrap wrapper unit".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: By how much a role or name lowers the ratio of paths below it.
+MARKED = 0.02
+#: The share of the content paths' text that a container holds to be the article or around it.
+NEARLY_ALL = 0.8
 #: A start tag of the key ends an open element of these names, up to the nearest of the last list.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -62,20 +63,33 @@ CLOSES = {
 }
 SCOPE = frozenset("td th caption table button object article section main aside body html div blockquote li".split())
 
-#: The second form is for tags with a quote that isn't closed.
-_TAG = re.compile(r"<!--|<!|<\?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_INSIDE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？；：、]")
 
 
 class _Node:
-    __slots__ = ("bad", "holds", "inside", "parent", "picked", "tag", "why")
-
-    def __init__(self, tag: str, parent: _Node | None, bad: str, why: frozenset[str] = frozenset()) -> None:
-        self.tag, self.parent, self.bad, self.why = tag, parent, bad, why
-        self.holds, self.picked = False, 0
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+    """An open element; what it has from its ancestors is worked out once, when it opens."""
+
+    __slots__ = ("box", "byline", "head", "inside", "marked", "never", "parent", "path", "tag", "title")
+
+    def __init__(self, tag: str, parent: _Node | None, attributes: str, paths: dict) -> None:
+        self.tag, self.parent = tag, parent
+        never, marked, name = _marks(tag, attributes)
+        up = parent or self
+        if parent is None:
+            self.inside = self.head = self.title = self.byline = self.never = False
+            self.path, self.box, self.marked = 0, self, 0
+            return
+        self.inside = up.inside or up.tag in ("article", "main")
+        self.head, self.title = up.head or tag in HEADING, up.title or tag == "h1"
+        self.never = up.never or never
+        self.byline = up.byline or (tag == "header" and up.inside)
+        self.marked = up.marked + (marked or (tag == "header" and not up.inside))  # how many around are
+        self.box = self if tag in CONTAINER else up.box
+        self.path = paths.setdefault((up.path, tag, name), len(paths) + 1) if tag in BLOCK else up.path
 
 
 class _Block:
@@ -85,43 +99,70 @@ class _Block:
         self.node, self.parts, self.text, self.linked = node, [], "", 0
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
-    """'tag', 'name' or '' by what shows that an element isn't content, 'header' for a page header;
-    and the words that show it."""
-    if tag in NEVER:
-        return "tag", frozenset()
-    found = "header" if tag == "header" else "name" if tag == "form" else ""
-    why = {f"<{tag}>"} if found else set()
-    if "=" not in attributes and "hidden" not in attributes:
-        return found, frozenset(why)
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value, name = "".join(values), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            if tag not in ("html", "body"):
-                return "tag", frozenset()
-            return found, frozenset(why)
-        if name == "role" and value.lower() in ROLES:
-            found = found or "name"
-            why.add(value.lower())
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            if tag == "article":
-                words &= {"comment", "reply", "ad", "advert", "promo", "sponsored", "related"}
-                if name == "class" and len(value.split()) > 2 and "comment" not in value.split():
-                    words = set()
-            if words & NAMES:
-                found = found if found == "header" else "name"
-                why |= words & NAMES
-            elif "header" in words and tag not in HEADING and tag != "article":
-                found = found or "header"
-                why.add("header")
-    return found, frozenset(why)
+def _marks(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element can't be content, whether its role or name says that it isn't, and its
+    classes and id with numbers as one sign. A name is a class or id of only such words."""
+    never, marked, names = tag in NEVER, tag == "form", []
+    if "=" in attributes or "hidden" in attributes:
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            value, name = "".join(values), name.lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+                never |= tag not in ("html", "body")
+            elif name == "role":
+                marked |= value.lower() in ROLES
+            elif name in ("class", "id"):
+                for part in value.split():
+                    words = {w.lower() for w in _WORD.findall(part)}
+                    marked |= bool(words & NAMES) and words <= NAMES | NEUTRAL and tag not in ("html", "body", "main")
+                    names.append(re.sub(r"[0-9]+", "0", part))
+    return never, marked, " ".join(sorted(names))
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag, in one pass over the page. A quote in a tag
+    counts if it is closed, and what is in it holds no angle bracket or it ends where a value does.
+    Comments and declarations have no name."""
+    at, size, next_at = 0, len(page), {}
+
+    def ahead(sign: str, start: int) -> int:
+        found = next_at.get(sign, -1)
+        if found < start:  # what is ahead is looked up once
+            found = page.find(sign, start)
+            next_at[sign] = found = size if found < 0 else found
+        return found
+
+    while (m := _OPEN.search(page, at)) is not None:
+        if m[2] is None:
+            if m[0] == "<!--":
+                end = page.find("-->", m.start() + 2)
+                at = size if end < 0 else end + 3
+            else:
+                end = page.find(">", m.end())
+                at = size if end < 0 else end + 1
+            yield m.start(), at, "", "", ""
+            continue
+        end = m.end()
+        while (sign := _INSIDE.search(page, end)) is not None and sign[0] != ">":
+            end = sign.end()
+            close = ahead(sign[0], end)
+            if close < size and (min(ahead("<", end), ahead(">", end)) > close or page[close + 1 : close + 2] in (" ", "\n", "\t", "\r", "/", ">")):
+                end = close + 1
+        if sign is None:  # never closed: text, and so is all that follows without another tag
+            if ahead(">", m.end()) >= size:
+                return
+            end = ahead(">", m.end())
+            yield m.start(), end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at = end + 1
+            continue
+        at = sign.end()
+        yield m.start(), at, m[1], m[2].lower(), page[m.end() : sign.start()]
 
 
 def blocks_of(page: str) -> list[_Block]:
     """All blocks of the page in order, with the element that holds each."""
-    root = _Node("#", None, "")
-    stack, blocks, now, links, at, end = [root], [], None, 0, 0, len(page)
+    paths: dict = {}
+    root = _Node("#", None, "", paths)
+    stack, blocks, now, links, at, size, opened = [root], [], None, 0, 0, len(page), Counter()
 
     def text(value: str) -> None:
         nonlocal now
@@ -134,35 +175,31 @@ def blocks_of(page: str) -> list[_Block]:
         if links:
             now.linked += len(value.strip())
 
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            text(html.unescape(page[at : m.start()]))
-        at = m.end()
-        close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if name is None:  # comment, doctype or instruction
-            if m[0] == "<!--":
-                stop = page.find("-->", m.start() + 2)
-                at = end if stop < 0 else stop + 3
-            elif page.startswith("<![CDATA[", m.start()):
-                stop = page.find("]]>", at)
-                text(page[m.start() + 9 : stop if stop >= 0 else end])
-                at = end if stop < 0 else stop + 3
-            else:
-                stop = page.find(">", at)
-                at = end if stop < 0 else stop + 1
+    def cut(k: int) -> None:
+        nonlocal links
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+            links -= x.tag == "a"
+        del stack[k:]
+
+    for start, end, slash, tag, attributes in _tags(page):
+        if start < at:  # within what was passed over
+            continue
+        if start > at:
+            text(html.unescape(page[at:start]))
+        at = end
+        if not tag:
+            if page.startswith("<![CDATA[", start):
+                stop = page.find("]]>", start)
+                at = size if stop < 0 else stop + 3
+                text(page[start + 9 : stop if stop >= 0 else size])
             continue
-        tag = name.lower()
         if tag in BLOCK:
             now = None
-        if close:
-            for k in range(len(stack) - 1, 0, -1):
+        if slash:
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    links -= sum(x.tag == "a" for x in stack[k:])
-                    del stack[k:]
+                    cut(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break
@@ -175,163 +212,138 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}", re.I).search(page, at)
-            at = end if stop is None else page.find(">", stop.end()) + 1 or end
+            at = size if stop is None else page.find(">", stop.end()) + 1 or size
             continue
         ends, until = CLOSES.get(tag, (("p",), SCOPE) if tag in BLOCK else ((), ()))
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
             if stack[k].tag in ends:
-                links -= sum(x.tag == "a" for x in stack[k:])
-                del stack[k:]
+                cut(k)
                 break
-            if stack[k].tag in until or not ends:
+            if stack[k].tag in until:
                 break
-        node = _Node(tag, stack[-1], *_marks(tag, attributes))
         if attributes.endswith("/") and tag not in BLOCK:
             continue
-        if tag in ("article", "main") and not node.bad:
-            up = node.parent
-            while up is not None and not up.holds:
-                up.holds, up = True, up.parent
-        stack.append(node)
+        stack.append(_Node(tag, stack[-1], attributes, paths))
+        opened[tag] += 1
         links += tag == "a"
+    if at < size:
+        text(html.unescape(page[at:]))
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in blocks if b.text]
 
 
-def _content(node: _Node | None, heading: bool = False) -> bool:
-    """Whether no element around is marked. What wraps an article isn't dropped for its name, and
-    of a header within an article the headings stay."""
-    while node is not None:
-        heading = heading or node.tag in HEADING
-        if node.bad == "tag" or (node.bad == "name" and not node.holds):
-            return False
-        if node.bad == "header" and not node.holds and not (node.inside and heading):
-            return False
-        node = node.parent
-    return True
-
-
-def _path(node: _Node | None) -> str:
-    tags = []
-    while node is not None:
-        if node.tag in BLOCK:
-            tags.append(node.tag)
-        node = node.parent
-    return "/".join(reversed(tags))
-
-
-def content_paths(paths: list[str], blocks: list[_Block]) -> set[str]:
-    """The tag paths whose smoothed ratio reaches the standard deviation of all blocks' ratios (the
-    best path if none does)."""
-    sums = defaultdict(lambda: [0, 0, 0, 0])
-    for p, b in zip(paths, blocks, strict=True):
-        s = sums[p]
-        s[0] += 1
-        s[1] += len(b.text)
-        s[2] += len(_PUNCTUATION.findall(b.text))
-        s[3] += min(b.linked, len(b.text))
-    ratio = {p: (size / n) * (1 + marks / n) * (1 - linked / size) for p, (n, size, marks, linked) in sums.items()}
-    line = [ratio[p] for p in paths]
+def ratios(blocks: list[_Block]) -> dict[int, float]:
+    """The fused ratio of each path: length and punctuation of its blocks, means and deviations, less
+    the share of links, lowered where a role or name marks it."""
+    of = defaultdict(list)
+    for b in blocks:
+        of[b.node.path].append(b)
+    found = {}
+    for path, some in of.items():
+        size, marks = [len(b.text) for b in some], [len(_PUNCTUATION.findall(b.text)) for b in some]
+        linked = sum(min(b.linked, n) for b, n in zip(some, size, strict=True)) / sum(size)
+        found[path] = (fmean(size) + pstdev(size)) * (1 + fmean(marks) + pstdev(marks)) * (1 - linked) * MARKED ** some[0].node.marked
+    return found
+
+
+def content_paths(blocks: list[_Block]) -> set[int]:
+    """The paths whose smoothed ratio reaches the standard deviation of all blocks' smoothed ratios
+    (the best path if none does)."""
+    ratio = ratios(blocks)
+    line = [ratio[b.node.path] for b in blocks]
     ends = [line[0], *line, line[-1]]
     smooth = [(ends[k] + 2 * ends[k + 1] + ends[k + 2]) / 4 for k in range(len(line))]
-    mean = defaultdict(float)
-    for p, value in zip(paths, smooth, strict=True):
-        mean[p] += value / sums[p][0]
-    limit = min(pstdev(smooth), max(mean.values()))
-    return {p for p, value in mean.items() if value >= limit and ratio[p] > 0} or {max(mean, key=mean.__getitem__)}
+    by_path, marked = defaultdict(list), {b.node.path: b.node.marked for b in blocks}
+    for b, value in zip(blocks, smooth, strict=True):
+        by_path[b.node.path].append(value)
+    # neighbours alone make no content, least of all of what is marked
+    mean = {p: min(fmean(v), (1 if marked[p] else 2) * ratio[p]) for p, v in by_path.items()}
+    limit = threshold(smooth)
+    return {p for p, value in mean.items() if value >= limit and value > 0} or {max(mean, key=mean.__getitem__)}
 
 
-def _around(node: _Node | None) -> Iterator[_Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
+def threshold(smooth: list[float]) -> float:
+    return pstdev(smooth)
 
-def keep_wrappers(blocks: list[_Block], lengths: list[int]) -> None:
-    """Takes the marks by name from what wraps the article. ``lengths`` is each block's text on
-    content paths.
 
-    That is an element with nearly all of that text; and if what isn't marked has hardly any of it,
-    the elements of the name that holds most of it, name after name.
-    """
-    total, held = sum(lengths), defaultdict(int)
-    for b, n in zip(blocks, lengths, strict=True):
-        for x in _around(b.node):
-            if x.bad and not x.holds:
-                held[x] += n
-    for x, n in held.items():
-        if n >= 0.8 * total and not x.why & ASIDE:
-            x.bad = ""
-    while sum(n for b, n in zip(blocks, lengths, strict=True) if _content(b.node)) < 0.2 * total:
-        nothing = not any(_content(b.node) for b in blocks)
-        names = defaultdict(int)
-        for b, n in zip(blocks, lengths, strict=True):
-            marked = [x.why for x in _around(b.node) if x.bad and not x.holds]
-            if nothing or not any(why & ASIDE for why in marked):
-                for name in set().union(*marked):
-                    names[name] += n
-        if not names:
-            break
-        name = max(sorted(names), key=names.__getitem__)
-        if not nothing and names[name] < 0.5 * total:
-            break
-        for x in held:
-            if name in x.why:
-                x.bad = ""
+def _up(node: _Node | None, top: _Node | None = None) -> Iterator[_Node]:
+    while node is not None and node is not top:
+        yield node
+        node = node.parent
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: white space inside a block is one space, blocks are joined by one."""
-    if not page:
-        return ""
-    every = [b for b in blocks_of(page) if not any(x.bad == "tag" for x in _around(b.node))]
+    every = [b for b in blocks_of(page or "") if not b.node.never]
     if not every:
         return ""
-    paths = [_path(b.node) for b in every]
-    picked = content_paths(paths, every)
-    keep_wrappers(every, [len(b.text) * (p in picked) for p, b in zip(paths, every, strict=True)])
-    stay = [k for k, b in enumerate(every) if _content(b.node)]
-    every, paths = [every[k] for k in stay], [paths[k] for k in stay]
-    if not picked & set(paths):  # nothing of the content is left but for what was marked
-        picked = content_paths(paths, every)
-    total, children = 0, defaultdict(set)
-    for p, b in zip(paths, every, strict=True):
-        node = b.node
-        while node.parent is not None:
-            children[node.parent].add(node)
-            node = node.parent
-        if p in picked:
-            total += len(b.text)
-            node = b.node
-            while node is not None:
-                node.picked += len(b.text)
-                node = node.parent
-    top = b.node
-    while top.parent is not None:
-        top = top.parent
+    picked = content_paths(every)
+    content = [b.node.path in picked for b in every]
+    held, inner, order = Counter(), defaultdict(dict), []
+    boxes = Counter()  # text on content paths that a container holds outside containers in it
+    for b, good in zip(every, content, strict=True):
+        boxes[b.node.box] += len(b.text) * good
+    seen = {}
+    for box in boxes:  # parents before children
+        line = []
+        while box is not None and box not in seen:
+            seen[box] = True
+            line.append(box)
+            box = box.parent.box if box.parent is not None else None
+        order += reversed(line)
+    for box in reversed(order):
+        held[box] += boxes[box]
+        if box.parent is not None:
+            held[box.parent.box] += held[box]
+            inner[box.parent.box][box] = True
+    top, total = order[0], held[order[0]]
     while top.tag != "article":
-        inner = max((c for c in children[top] if c.tag in CONTAINER), key=lambda c: c.picked, default=None)
-        if inner is None or inner.picked < 0.8 * total:
+        best = max(inner[top], key=held.__getitem__, default=None)
+        if best is None or held[best] < NEARLY_ALL * total:
             break
-        if top.tag == "main" and inner.tag != "article" and not inner.holds:
-            break
-        top = inner
-    out, seen_heading, before = [], False, []
-    for p, b in zip(paths, every, strict=True):
-        node, heading = b.node, b.node.tag == "h1"
-        while node is not None and node is not top:
-            heading = heading or node.tag == "h1"
-            node = node.parent
-        if node is None:
-            if heading and not out:
+        top = best
+    first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    stays: dict[_Node, bool] = {top: True}
+
+    def box_stays(box: _Node, k: int) -> bool:
+        """Whether the container of block k and those around it have content or stand among it."""
+        line = []
+        while box not in stays:
+            line.append(box)
+            box = box.parent.box
+        for x in reversed(line):
+            within = held[x] > 0 or (x.marked <= top.marked and (x.inside or first < k < last))
+            stays[x] = stays[x.parent.box] and within
+        return stays[line[0]] if line else stays[box]
+
+    out, before, titled, below = [], [], False, {}
+    for k, (b, good) in enumerate(zip(every, content, strict=True)):
+        node = b.node
+        if node.box not in below:
+            below[node.box] = node.box is top or (node.box.parent is not None and _below(node.box, top, below))
+        if not below[node.box]:
+            if node.title and not out and node.box.marked <= top.marked:
                 before.append(b.text)
             continue
-        seen_heading |= heading
-        if p not in picked and b.linked > 0.6 * len(b.text):
+        if not box_stays(node.box, k) and not (node.head and node.byline):
+            continue
+        if not good and (b.linked > 0.6 * len(b.text) or (node.byline and not node.head) or node.marked > top.marked):
             continue
+        titled |= node.title
         out.append(b.text)
-    return " ".join(out if seen_heading else before[-1:] + out)
+    return " ".join(out if titled else before[-1:] + out)
+
+
+def _below(box: _Node, top: _Node, known: dict[_Node, bool]) -> bool:
+    """Whether ``top`` is around ``box``; what is found on the way is kept in ``known``."""
+    line = []
+    while box not in known and box is not top and box.parent is not None:
+        line.append(box)
+        box = box.parent.box
+    found = box is top or known.get(box, False)
+    known.update(dict.fromkeys(line, found))
+    return found
 
 
 def extract(column: Column | str) -> Column:
