@@ -1,10 +1,10 @@
 """URL filter with a path-template tree, in DataFrame operations only.
 
-Per host, paths form a tree of segments. Segments that vary (digits, long hexadecimal or random
-strings, or a level with many different values) become the wildcard ``*``; a branch whose blocked
-share does not differ from that of its siblings is merged into their wildcard; what is left are
-templates. A template is rejected if its smoothed blocked share among labelled pages is above the
-limit.
+Per host, paths form a tree of segments. Segments that vary by their form (numbers, long hexadecimal
+or random strings) become the wildcard ``*``; a branch whose blocked share does not differ from that of
+the branches beside it is merged with them into ``*``. The paths that are left are templates. A template
+is rejected if its blocked share among labelled pages, smoothed towards that of its branch and host, is
+above the limit.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivist.llm.common import written
+from archivist.llm.common import packed, written
 
 #: (rule, verdict); a rule is host/path-prefix.
 RULES: tuple[tuple[str, str], ...] = (
@@ -56,74 +56,78 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 def _literal(segment: Column) -> Column:
     """The segment, or ``*`` if its form alone shows that it varies (an extension stays)."""
     name = F.regexp_replace(segment, r"\.[A-Za-z0-9]{1,5}$", "")
-    varies = name.rlike(r"^[0-9]+$") | name.rlike(r"^[0-9a-fA-F-]{16,}$") | name.rlike(r"[0-9].*[0-9].*[0-9]") | (F.length(name) > 40)
+    varies = name.rlike(r"^[0-9]+$") | name.rlike(r"^[0-9a-fA-F-]{16,}$") | name.rlike(r"[0-9].*[0-9].*[0-9]")
     return F.when(varies, F.concat(F.lit("*"), F.substring(segment, F.length(name) + 1, F.length(segment)))).otherwise(segment)
 
 
-def shape_of(path: Column, depth: int) -> Column:
-    """``depth`` segments of the path with the varying ones as ``*``; what is deeper is one ``**``."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(parts, 1, depth), _literal)
-    tail = F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(head, tail)
+def shape_of(path: Column) -> Column:
+    """The segments of the path with the varying ones as ``*``."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _literal)
 
 
-def templates(pages: DataFrame, depth: int = 3, many: int = 20, z: float = 2.0, bad_prior: float = 1.0, good_prior: float = 3.0) -> DataFrame:
+def _branches(rows: DataFrame, path: str, least: int) -> DataFrame:
+    """Every row once for each of the branches on its path, from ``least`` segments on."""
+    levels = F.slice(F.sequence(F.lit(0), F.size(path)), F.lit(least + 1), F.size(path) + 1)  # none for an empty path and 1
+    return rows.withColumn("level", F.explode(levels))
+
+
+def templates(pages: DataFrame, z: float = 2.0, prior: float = 0.25, weight: float = 4.0) -> DataFrame:
     """(host, shape, template, rate) of every host and shape in ``pages`` (host, shape, bad).
 
-    ``bad`` is true or false for labelled pages and null for others. Level by level, a branch keeps
-    its own name if its blocked share is more than ``z`` standard errors from that of all its
-    siblings, or if it has no label and the level has at most ``many`` values; all others are
-    merged into the wildcard. ``rate``, the smoothed purity of a template, is (blocked + bad_prior)
-    / (labelled + bad_prior + good_prior): without labels of its own it is not rejected.
+    ``bad`` is true or false for labelled pages and null for others. A branch of the tree is a host
+    and the first segments of its paths. It keeps its last segment's name if it is the only one
+    there, or if its blocked share is more than ``z`` standard errors from that of all other
+    branches beside it; else it is merged with them into ``*``. The names along a path are its
+    template. ``rate`` is the smoothed purity: at each step from the host to the whole template it
+    becomes (blocked + weight * rate) / (labelled + weight) of the pages below, starting from
+    ``prior``; so a template without labels has its branch's rate.
     Pages are counted by host and shape before anything else, so no task sees a host's pages.
     """
     bad = F.col("bad").cast("long")
-    nodes = pages.groupBy("host", "shape").agg(F.count("bad").alias("seen"), F.coalesce(F.sum(bad), F.lit(0)).alias("blocked"))
-    nodes = written(nodes).withColumn("template", F.array().cast("array<string>"))
-    own = ["host", "template"]
-    for level in range(1, depth + 2):
-        segment = F.try_element_at("shape", F.lit(level))
-        here = nodes.withColumn("segment", F.coalesce(segment, F.lit("")))
-        values = here.groupBy(*own, "segment").agg(F.sum("seen").alias("v_seen"), F.sum("blocked").alias("v_blocked"))
-        siblings = values.groupBy(*own).agg(F.count(F.lit(1)).alias("values"), F.sum("v_seen").alias("all_seen"), F.sum("v_blocked").alias("all_blocked"))
-        some = F.greatest(F.col("all_seen"), F.lit(1))
-        share = F.col("all_blocked") / some
-        error = F.sqrt((share * (1 - share) + 0.25 / some) / F.greatest(F.col("v_seen"), F.lit(1)))
-        differs = (F.col("v_seen") > 0) & (F.abs(F.col("v_blocked") / F.greatest(F.col("v_seen"), F.lit(1)) - share) > z * error)
-        alone = (F.col("values") == 1) | differs | ((F.col("v_seen") == 0) & (F.col("values") <= many))
-        name = F.when(F.col("segment") == "", F.lit("")).when(alone, F.col("segment")).otherwise(F.lit("*"))
-        named = values.join(siblings, own).select(*own, "segment", name.alias("name"))
-        longer = F.when(F.col("name") == "", F.col("template")).otherwise(F.concat("template", F.array("name")))
-        nodes = here.join(named, [*own, "segment"]).withColumn("template", longer).drop("segment", "name")
-    nodes = written(nodes)
-    rates = nodes.groupBy(*own).agg(F.sum("seen").alias("t_seen"), F.sum("blocked").alias("t_blocked"))
-    rates = rates.select(*own, ((F.col("t_blocked") + bad_prior) / (F.col("t_seen") + bad_prior + good_prior)).alias("rate"))
-    return nodes.join(rates, own).select("host", "shape", F.array_join("template", "/").alias("template"), "rate")
-
-
-def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, labels: str | None = None, depth: int = 3, limit: float = 0.5) -> DataFrame:
-    """Adds host, path, rule, template, rate and verdict to ``pages``.
+    shapes = written(pages.groupBy("host", "shape").agg(F.count("bad").alias("seen"), F.coalesce(F.sum(bad), F.lit(0)).alias("blocked")))
+    sums = (F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked"))
+    at = lambda path: F.slice(path, F.lit(1), F.col("level"))
+    branches = _branches(shapes, "shape", 1).select("host", at("shape").alias("branch"), "seen", "blocked").groupBy("host", "branch").agg(*sums)
+    branches = written(branches.withColumn("parent", F.slice("branch", F.lit(1), F.size("branch") - 1)))
+    every = branches.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("values"), F.sum("seen").alias("all_seen"), F.sum("blocked").alias("all_blocked"))
+    seen, others = F.col("seen"), F.col("all_seen") - F.col("seen")
+    share = (F.col("all_blocked") + 0.5) / (F.col("all_seen") + 1)
+    apart = F.abs(F.col("blocked") / F.greatest(seen, F.lit(1)) - (F.col("all_blocked") - F.col("blocked")) / F.greatest(others, F.lit(1)))
+    differs = (seen > 0) & (others > 0) & (apart > z * F.sqrt(share * (1 - share) * (1 / F.greatest(seen, F.lit(1)) + 1 / F.greatest(others, F.lit(1)))))
+    name = F.when((F.col("values") == 1) | differs, F.element_at("branch", F.lit(-1))).otherwise(F.lit("*"))
+    named = branches.join(every, ["host", "parent"]).select("host", "branch", name.alias("name"))
+    along = _branches(shapes.select("host", "shape"), "shape", 1).withColumn("branch", at("shape")).join(named, ["host", "branch"])
+    names = along.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("level", "name"))).alias("names"))  # as many as a path has segments
+    made = shapes.join(names, ["host", "shape"], "left")
+    made = written(made.select("host", "shape", "seen", "blocked", F.coalesce(F.col("names.name"), F.array().cast("array<string>")).alias("template")))
+    below = _branches(made, "template", 0).select("host", at("template").alias("branch"), "seen", "blocked").groupBy("host", "branch").agg(*sums)
+    steps = _branches(made.select("host", "template").distinct(), "template", 0).withColumn("branch", at("template")).join(below, ["host", "branch"])
+    steps = steps.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "seen", "blocked"))).alias("steps"))
+    rate = F.aggregate("steps", F.lit(float(prior)), lambda r, x: (x["blocked"] + weight * r) / (x["seen"] + weight))
+    return made.join(steps.select("host", "template", rate.alias("rate")), ["host", "template"]).select("host", "shape", F.array_join("template", "/").alias("template"), "rate")
+
+
+def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, labels: str | None = None, limit: float = 0.5) -> DataFrame:
+    """Adds host, path, rule, template, rate and verdict to ``pages``, in place of columns so named.
 
     Labelled pages are those with a value in the boolean column ``labels`` (true: to be blocked)
-    and those that a rule decides. A page without host has the empty template of the empty host.
-    Null urls, repeated rows and empty tables need nothing special; no row is lost or doubled.
+    and those that a rule decides. What no rule decides is blocked if the rate of its template is
+    above ``limit``. A null url or one without host has the empty host and template. Repeated rows
+    are judged alike, an empty table gives an empty result, a path may have any length and number of
+    segments; no row is lost or doubled.
     """
-    own = {c: f"_u_{c}" for c in ("host", "path", "rule", "template", "rate", "verdict", "shape", "bad")}
-    rows = pages.withColumns({own["host"]: host_of(F.col(url)), own["path"]: path_of(F.col(url))})
-    rows = rows.withColumns({own["rule"]: rule_of(F.col(own["host"]), F.col(own["path"]), rules), own["shape"]: shape_of(F.col(own["path"]), depth)})
+    rows = packed(pages).withColumns({"host": host_of(F.col(f"row.`{url}`")), "path": path_of(F.col(f"row.`{url}`"))})
+    rows = rows.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "shape": shape_of(F.col("path"))})
     ruled = F.lit(None).cast("boolean")
     for rule, verdict in rules:
-        ruled = F.when(F.col(own["rule"]) == rule, F.lit(verdict == "block")).otherwise(ruled)
-    rows = rows.withColumn(own["bad"], ruled)
-    known = F.coalesce(F.col(own["bad"]), F.col(labels)) if labels else F.col(own["bad"])
-    found = templates(rows.select(F.col(own["host"]).alias("host"), F.col(own["shape"]).alias("shape"), known.alias("bad")), depth)
-    found = found.select(F.col("host").alias("_f_host"), F.col("shape").alias("_f_shape"), F.col("template").alias(own["template"]), F.col("rate").alias(own["rate"]))
-    rows = rows.join(found, (F.col(own["host"]) == F.col("_f_host")) & (F.col(own["shape"]) == F.col("_f_shape")), "left")
-    block = F.coalesce(F.col(own["bad"]), F.col(own["rate"]) > limit)
-    rows = rows.withColumn(own["verdict"], F.when(block, F.lit("block")).otherwise(F.lit("allow")))
-    keep = [F.col(c) for c in pages.columns if c not in own]
-    return rows.select(*keep, *[F.col(own[c]).alias(c) for c in ("host", "path", "rule", "template", "rate", "verdict")])
+        ruled = F.when(F.col("rule") == rule, F.lit(verdict == "block")).otherwise(ruled)
+    known = F.coalesce(ruled, F.col(f"row.`{labels}`")) if labels else ruled
+    found = templates(rows.select("host", "shape", known.alias("bad")))
+    full = rows.join(found, ["host", "shape"])
+    block = F.coalesce(ruled, F.col("rate") > limit)
+    full = full.withColumn("verdict", F.when(block, F.lit("block")).otherwise(F.lit("allow")))
+    own = ("host", "path", "rule", "template", "rate", "verdict")
+    return full.select(*[F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in own], *own)
 
 
 def url_filter(pages: DataFrame) -> DataFrame:
