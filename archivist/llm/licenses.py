@@ -1,10 +1,11 @@
 """License notices by exact set-similarity join.
 
-A text's blocks are its lines, its hard-wrapped paragraphs as a whole, and windows of consecutive
-words over all of it, so that a notice may be wrapped anywhere. A block matches a template if it contains at least ``threshold`` of the template's distinct words. Words are put in
-order of how many blocks of the corpus hold them; a block and a template can only match if their
-rarest words meet (prefix filter), if the block has enough words (length filter), and if enough
-words follow the first that meets (positional filter). What is left is verified in full.
+A text's blocks are all its windows of consecutive words, for each template as long as the template
+divided by the threshold, wherever lines or paragraphs end. A block matches a template if it contains
+at least ``threshold`` of the template's distinct words. Words are put in order of how many blocks of
+the corpus hold them; a block and a template can only match if their rarest words meet (prefix
+filter), if the block has enough words (length filter), and if enough words follow the first that
+meets (positional filter). What is left is verified in full.
 """
 
 from __future__ import annotations
@@ -36,14 +37,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("cc", "Licensed under CC BY-NC 4.0"),
     ("cc", "Licensed under CC BY-NC 3.0"),
     ("cc", "CC0 1.0 Universal Public Domain Dedication"),
+    ("cc", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("zlib", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
-#: A paragraph counts as hard-wrapped if all its lines are shorter.
-WRAP = 100
-#: A window's words, in lengths of the longest template; windows overlap by half.
-WINDOW = 3
-
 
 def _hashed(text: str) -> np.ndarray:
     return alnum_words().of(pa.array([text]))[0]
@@ -53,49 +56,28 @@ def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str
     """Per text: words, phrase places and, for every block that holds enough words of a template,
     which of the templates' words it holds."""
     wanted = [_hashed(p) for p, _ in phrases]
-    sets = [np.unique(_hashed(t)) for _, t in templates]
+    words_of = [_hashed(t) for _, t in templates]
+    sets = [np.unique(w) for w in words_of]
     vocabulary = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
     needs = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
-    least = min(needs, default=1)
+    spans = [math.ceil(len(w) / threshold - 1e-9) for w in words_of]
     member = np.array([np.isin(vocabulary, s) for s in sets]).reshape(len(sets), len(vocabulary))
-    step = max((WINDOW * len(_hashed(t)) // 2 for _, t in templates), default=1) or 1
-
-    def blocks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends, in bytes, of all lines of all texts and of hard-wrapped paragraphs."""
-        cuts = np.flatnonzero(data == 10)
-        start = np.unique(np.concatenate([at[:-1], cuts + 1]))
-        start = start[start < len(data)]
-        end = np.append(start[1:], len(data))
-        blank = (end - start) <= 1
-        fits = ((end - start) <= WRAP) & ~blank
-        joins = np.zeros(len(start), bool)  # to the line before
-        joins[1:] = fits[1:] & fits[:-1] & ~np.isin(start[1:], at)
-        first = np.flatnonzero(~joins)
-        last = np.append(first[1:], len(start)) - 1
-        long = last > first
-        return np.concatenate([start, start[first[long]]]), np.concatenate([end, end[last[long]]])
-
-    def windows(first: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends, in bytes, of windows of 2 * step words of each text; any step words that
-        follow each other are within one."""
-        size = np.diff(first)
-        n = np.where(size > 0, np.maximum(-(-size // step) - 1, 1), 0)
-        low = np.repeat(first[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
-        high = np.minimum(low + 2 * step, np.repeat(first[1:], n))
-        return start[low], end[high - 1]
 
-    def holding(lo: np.ndarray, hi: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which blocks hold enough words of a template, and the distinct words that each holds."""
-        some = np.flatnonzero(hi - lo >= least)
-        size = (hi - lo)[some]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[some], size)
-        pairs = np.unique(np.repeat(np.arange(len(some)), size) * len(vocabulary) + token[at])
-        owner, word = np.divmod(pairs, len(vocabulary))
-        good = np.zeros(len(some), bool)
-        for words, need in zip(member, needs, strict=True):
-            good |= np.bincount(owner[words[word]], minlength=len(some)) >= need
-        ends = np.searchsorted(owner, np.arange(len(some) + 1))
-        return some[good], [word[ends[k] : ends[k + 1]] for k in np.flatnonzero(good).tolist()]
+    def blocks(place: np.ndarray, token: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, span, tokens) of windows of ``span`` words from the known word ``first`` on, with
+        all distinct known words in it, if there are as many words of a template of that span, counted
+        with repeats, as it needs. ``place`` is each known word's, far apart for different texts."""
+        for span in sorted(set(spans)):
+            start = np.zeros(len(place), bool)
+            for own, need, length in zip(member, needs, spans, strict=True):
+                if length == span:
+                    at = np.flatnonzero(own[token])
+                    end = np.searchsorted(place[at], place[at] + span)
+                    start[at[end - np.arange(len(at)) >= need]] = True
+            first = np.flatnonzero(start)
+            last = np.searchsorted(place, place[first] + span)
+            for lo, hi in zip(first.tolist(), last.tolist(), strict=True):
+                yield lo, span, np.unique(token[lo:hi])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = alnum_words()
@@ -121,15 +103,13 @@ def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str
                 np.maximum.at(high, docs, places - first[docs])
                 for d in np.unique(docs).tolist():
                     labels[d].add(label)
-            held: list[list[dict]] = [[] for _ in range(n)]
+            held: list[dict] = [{} for _ in range(n)]  # equal windows of a text once
             if len(vocabulary):
                 token = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
                 known = np.flatnonzero(vocabulary[token] == words)
-                begin, stop = (np.concatenate(x) for x in zip(blocks(data, at), windows(first, start, end), strict=True))
-                lo, hi = np.searchsorted(start[known], begin), np.searchsorted(start[known], stop)
-                owner = np.searchsorted(at, begin, "right") - 1
-                for b, tokens in zip(*holding(lo, hi, token[known]), strict=True):
-                    held[owner[b]].append({"block": b, "tokens": tokens.tolist()})
+                place = known + doc[known] * max(spans)
+                for at_word, span, tokens in blocks(place, token[known]):
+                    held[doc[known[at_word]]].setdefault((span, tokens.tobytes()), {"block": int(known[at_word]), "span": span, "tokens": tokens.tolist()})
             some = n_base > 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -139,13 +119,13 @@ def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str
                     pa.array(low, pa.int64(), mask=~some),
                     pa.array(high, pa.int64(), mask=~some),
                     pa.array([sorted(x) for x in labels], pa.list_(pa.string())),
-                    pa.array(held, pa.list_(pa.struct([("block", pa.int64()), ("tokens", pa.list_(pa.int32()))]))),
+                    pa.array([list(h.values()) for h in held], pa.list_(pa.struct([("block", pa.int64()), ("span", pa.int32()), ("tokens", pa.list_(pa.int32()))]))),
                 ],
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "blocks"],
             )
 
     index = [np.searchsorted(vocabulary, s).tolist() for s in sets]
-    return run, index
+    return run, index, spans
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -153,16 +133,16 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Sequ
 
     ``labels`` are those of the phrases found and of all templates that a block matches; ``score``
     is 1 if a phrase is found, else the largest containment of a matching block, else 0. Null and
-    empty texts have no words and no labels; repeated rows are found alike; an empty table gives an
-    empty result. Templates and phrases are short lists that go to every task; the words of all
+    empty texts have no words and no labels; very long texts are scanned whole; repeated rows are found
+    alike; an empty table gives an empty result; other columns are ignored, whatever their names. Templates and phrases are short lists that go to every task; the words of all
     templates together are what is counted over the corpus.
     """
     small_batches(docs.sparkSession)
-    run, index = _scan(phrases, templates, threshold)
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<block: long, tokens: array<int>>>"
+    run, index, spans = _scan(phrases, templates, threshold)
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<block: long, span: int, tokens: array<int>>>"
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = written(plain.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.block", "b.tokens")
+    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.block", "b.span", "b.tokens")
     counts = {r[0]: r[1] for r in blocks.select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}  # words of templates
     rank = {t: k for k, t in enumerate(sorted({t for s in index for t in s}, key=lambda t: (counts.get(t, 0), t)))}
     spark = docs.sparkSession
@@ -170,18 +150,18 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Sequ
     for k, ((label, _), tokens) in enumerate(zip(templates, index, strict=True)):
         need = math.ceil(threshold * len(tokens) - 1e-9)
         line = sorted(rank[t] for t in tokens)
-        prefixes += [(r, at, k, label, line, need) for at, r in enumerate(line[: len(line) - need + 1])]
-    known = spark.createDataFrame(prefixes, "token int, t_at int, template int, label string, line array<int>, need int")
+        prefixes += [(r, spans[k], at, k, label, line, need) for at, r in enumerate(line[: len(line) - need + 1])]
+    known = spark.createDataFrame(prefixes, "token int, span int, t_at int, template int, label string, line array<int>, need int")
     order = F.array(*[F.lit(rank[t]) for t in sorted(rank)]) if rank else F.array().cast("array<int>")
     ordered = blocks.withColumn("ranks", F.array_sort(F.transform("tokens", lambda t: F.element_at(order, t + 1))))
-    probes = ordered.select("row", "block", "ranks", F.posexplode("ranks").alias("b_at", "token"))
+    probes = ordered.select("row", "block", "span", "ranks", F.posexplode("ranks").alias("b_at", "token"))
     size, t_size = F.size("ranks"), F.size("line")
-    met = probes.join(F.broadcast(known), "token").where(
+    met = probes.join(F.broadcast(known), ["token", "span"]).where(
         (size >= F.col("need"))
         & (F.col("b_at") <= size - F.col("need"))
         & (1 + F.least(size - F.col("b_at") - 1, t_size - F.col("t_at") - 1) >= F.col("need"))
     )
-    pairs = met.dropDuplicates(["row", "block", "template"])
+    pairs = met.dropDuplicates(["row", "block", "span", "template"])
     share = F.size(F.array_intersect("ranks", "line")) / t_size
     found = pairs.withColumn("share", share).where(F.col("share") >= threshold - 1e-9)
     found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
