@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivist.llm.common import mix64, rows_with, shingles, small_batches, space_words, written
+from archivist.llm.common import mix64, packed, rows_with, shingles, small_batches, space_words, unpacked, written
 from archivist.llm.components import components
 
 PERMUTATIONS, BAND = 60, 5
@@ -59,7 +59,7 @@ def parity_sketch(found: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary"
 
 
 def _sign(width: int):
@@ -78,8 +78,8 @@ def _sign(width: int):
             offsets = pa.array(np.arange(0, len(n) * BANDS + 1, BANDS, dtype=np.int32))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), as_long(h1), as_long(h2), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "keys", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), as_long(h1), as_long(h2), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "keys", "sketch"],
             )
 
     return run
@@ -193,12 +193,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
+def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id and kept of every row of ``docs``.
 
     Texts that are null or without words have no shingles and link with nothing. Rows with equal
-    sets are always linked. Repeated keys count as one document if their sets are equal; else each
-    row follows its own text. An empty table gives an empty result; other columns are ignored.
+    sets are always linked. Rows with the same key are one document, linked by any of its texts. A row without key belongs to the component of documents with the same
+    set and isn't kept if there are any. An empty table gives an empty result, very long texts are
+    taken whole, other columns are ignored.
 
     The chance that a pair at similarity s shares no band is (1 - s^5)^24, below 8e-7 at 0.85.
     Compared are all pairs of a bucket, in blocks; first so many candidates are confirmed as
@@ -206,7 +207,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     """
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = written(plain.mapInArrow(_sign(width), _SIGNED))
+    signed = written(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sign(width), _SIGNED))
     same = ["n_shingles", "h1", "h2"]
     nodes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.where("id is not null"))
@@ -219,6 +220,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     labels = nodes.join(comps, "id", "left").select(*same, F.coalesce("component_id", "id").alias("component_id"))
-    rows = signed.select("doc_id", *same).join(labels, same, "left")
+    rows = signed.select("doc_id", "text_hash", *same).join(labels, same, "left")
     component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``; see `labelled`."""
+    return labelled(docs, text, key, width, percent).drop("text_hash")
+
+
+def without_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that are kept, of rows with the same key and text one. Columns of any name
+    are left as they are."""
+    names = ["row_key", "row_hash"]
+    found = labelled(docs, text, key, width, percent).where("kept").groupBy(F.col("doc_id").alias("row_key"), F.col("text_hash").alias("row_hash")).count()
+    found = written(found)
+    rows = packed(docs)
+    on = F.col(f"row.`{key}`").cast("long").eqNullSafe(F.col("row_key")) & (F.xxhash64(f"row.`{text}`") == F.col("row_hash"))
+    kept = rows.join(found, on).select("row", "count", *names)
+    again = kept.where("count > 1").dropDuplicates(names)  # only rows that are repeated are shuffled for this
+    return unpacked(kept.where("count = 1").select("row").unionByName(again.select("row")), docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from archivist.llm.common import WORD, written
+from archivist.llm.common import WORD, packed, written
 
 
 def n_words(text: Column) -> Column:
@@ -65,16 +65,19 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     offset comes from the counts of (source, class, bucket), so no task sees a whole source.
     ``buckets`` splits a size class; a bucket holds its source's rows over classes and buckets.
     Null texts have size 0 and are taken 0 words; null sources are one source, the last; repeated
-    keys are documents of their own; an empty table gives an empty result; columns of ``docs`` with
-    the names of results are replaced.
+    keys are documents of their own, in order of a hash of their texts; an empty table gives an empty
+    result; very long texts are counted whole; columns of ``docs`` with the names of results are
+    replaced, all others stay as they are.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    rows = docs.withColumn("size", n_words(F.col(text)))
+    results = ("size", "source_size", "target", "copies", "taken")
+    stay = [c for c in docs.columns if c not in results]
+    key, source, text = (F.col(f"row.`{c}`") for c in (key, source, text))
+    rows = packed(docs).withColumn("size", n_words(text))
     bits = F.bin("size")
     rows = rows.withColumns(
         {
             # null as a value of its own, so that counts and rows meet by equality
-            "_src": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("z")),
+            "_src": F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("z")),
             "_len": F.length(bits),
             "_top": F.substring(bits, 1, 6),
             "_h": hash30(key),
@@ -87,14 +90,15 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     order = W.partitionBy("_src").orderBy("_len", "_top", "_b")
     offsets = counts.select(*group, (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
     offsets = offsets.join(targets.select("_src", "source_size", "target"), "_src")
-    ranked = rows.withColumn("_k", F.row_number().over(W.partitionBy(*group).orderBy("_h", key)))
+    ranked = rows.withColumn("_k", F.row_number().over(W.partitionBy(*group).orderBy("_h", key, F.xxhash64(text))))
     full = ranked.join(offsets, group)
     each = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     start = hash30(source, F.lit("offset")) / F.lit(float(1 << 30))
     at = F.col("_before") + F.col("_k")
     copies = F.floor(start + each * at) - F.floor(start + each * (at - 1))
     full = full.withColumn("copies", F.greatest(F.lit(0), F.least(copies, F.lit(most))).cast("long"))
-    return full.withColumn("taken", F.col("copies") * F.col("size")).drop(*group, "_h", "_k", "_before")
+    full = full.withColumn("taken", F.col("copies") * F.col("size"))
+    return full.select(*[F.col(f"row.`{c}`").alias(c) for c in stay], *results)
 
 
 def mixing(docs: DataFrame) -> DataFrame:

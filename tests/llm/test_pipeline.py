@@ -28,3 +28,19 @@ def test_near_dedup_takes_a_similarity_of_four_fifths(spark):
     rows = [(1, words), (2, alike), (3, other)]
     docs = spark.createDataFrame([(k, " ".join(w), "en", "a", 1) for k, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+
+
+def test_stages_of_odd_rows(spark):
+    long = " ".join(f"w{k % 700}" for k in range(20_000))
+    words = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, words, "en", "a", 1), (1, words, "en", "a", 1), (2, None, None, None, None), (None, words, "en", "a", 1), (None, "one two three", "en", "b", 1), (None, "one two three", "en", "b", 1), (3, long, "en", "b", 1), (4, long + " x", "en", "b", 1), (5, "", "en", "c", 0), (6, words + "\n" + words, "de", "c", 1), (6, "other text of six", "de", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {c: F.lit("clash") for c in ("_p", "_h", "_gone", "_left", "row", "size", "copies", "count", "found", "lines", "kept", "copy", "_src")}
+    docs = docs.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+        got = stage(spark, docs, "")
+        if name != "packing":
+            assert got.columns == docs.columns and got.where(" or ".join(f"`{c}` <> 'clash'" for c in extra)).count() == 0
+    near = sorted((r.doc_id or -1, (r.text or "")[:9]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert near == [(-1, "one two t"), (1, "v0 v1 v2 "), (2, ""), (3, "w0 w1 w2 "), (5, "")]  # both texts of 6 are one document
