@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivist.llm import langid, linededup, minhash, mixing, packing
-from archivist.llm.common import written
+from archivist.llm.common import packed, unpacked, written
 
 #: Documents whose shingles have this similarity (in percent) or more are near-duplicates.
 ALIKE = 80
@@ -17,9 +17,9 @@ LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in a language that the classifier knows."""
-    found = docs.withColumn("_p", langid.identify(docs, langid.train(docs)))
-    return found.where((F.col("_p.lang_pred") != langid.UNDETERMINED) & (F.col("_p.score") >= LEAST_SCORE)).select(*docs.columns)
+    """Keeps the documents in a language that the classifier knows; null texts go."""
+    found = packed(docs).withColumn("found", langid.identify(docs, langid.train(docs), "row.text"))
+    return unpacked(found.where((F.col("found.lang_pred") != langid.UNDETERMINED) & (F.col("found.score") >= LEAST_SCORE)), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, percent=ALIKE).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return minhash.without_duplicates(docs, percent=ALIKE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as its source's target asks for, up to twice."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode_outer(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    own = {c: f"column{k}" for k, c in enumerate(docs.columns)}  # names that don't clash with those of results
+    mixed = mixing.mix(docs.toDF(*own.values()), own["text"], own["doc_id"], own["source"]).where("copies > 0")
+    mixed = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return mixed.select(*[F.col(new).alias(c) for c, new in own.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
