@@ -54,7 +54,8 @@ class TextExtractors:
 
 
 def register_search(spark: SparkSession, frames: DataFrame, name: str = "archive_frames") -> str:
-    """A view of frames with their norms, to be searched from SQL with archive_cosine(a, b)."""
+    """A view of frames (vec_id, embedding) for SQL: with archive_cosine(a, b), and as the table function
+    archive_search(query, k), which has rank, vec_id and score of the k best frames."""
     frames.createOrReplaceTempView(name)
     spark.sql(
         """CREATE OR REPLACE TEMPORARY FUNCTION archive_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
@@ -62,4 +63,9 @@ def register_search(spark: SparkSession, frames: DataFrame, name: str = "archive
         THEN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)
              / sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) / sqrt(aggregate(b, 0D, (s, x) -> s + x * x)) ELSE 0D END"""
     )
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION archive_search(query ARRAY<DOUBLE>, k INT) RETURNS TABLE (rank INT, vec_id BIGINT, score DOUBLE) RETURN
+        SELECT rank, vec_id, score FROM (SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id, score
+        FROM (SELECT vec_id, archive_cosine(CAST(embedding AS ARRAY<DOUBLE>), query) AS score FROM {name})) WHERE rank <= k"""
+    )
     return name

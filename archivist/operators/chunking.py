@@ -99,16 +99,33 @@ def encrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None
     return df.join(key).withColumn(column, sealed).drop("_salt", "_key")
 
 
-def decrypt(df: DataFrame, column: str, password: str) -> DataFrame:
+#: Salts that one call derives keys for; a job writes one.
+SALTS = 1000
+
+
+def decrypt(df: DataFrame, column: str, password: str, sealed: Column | None = None) -> DataFrame:
     """``column`` as it was, and ``decrypted``; values that the password doesn't open stay.
 
-    Keys are derived once for each salt that occurs, of which a job writes one.
+    ``sealed`` says which rows are encrypted, by default the column ``encrypted`` if there is one;
+    values too short for a salt, nonce and tag aren't. Keys are derived once for each salt, in tasks;
+    more than ``SALTS`` salts are an error, as values that aren't encrypted look like salts.
     """
-    salts = [bytes(r[0]) for r in df.select(F.substring(F.col(column), 1, SALT).alias("s")).where(F.length("s") == SALT).distinct().collect()]
-    keys = [(bytearray(s), bytearray(hashlib.pbkdf2_hmac("sha256", password.encode(), s, ROUNDS, 32))) for s in salts]
-    table = F.broadcast(df.sparkSession.createDataFrame(keys, "_salt binary, _key binary"))
+    if sealed is None:
+        sealed = F.col("encrypted") if "encrypted" in df.columns else F.lit(True)
+    mine = sealed & (F.octet_length(column) >= SALT + 12 + 16)
+    salts = df.where(mine).select(F.substring(F.col(column), 1, SALT).cast("binary").alias("_salt")).distinct().limit(SALTS + 1)
+    found = [(bytearray(r[0]),) for r in salts.collect()]
+    if len(found) > SALTS:
+        raise ValueError(f"more than {SALTS} salts: say which rows are encrypted")
+
+    def derive(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda s: hashlib.pbkdf2_hmac("sha256", password.encode(), bytes(s), ROUNDS, 32))
+
+    table = df.sparkSession.createDataFrame(found, "_salt binary").withColumn("_key", F.pandas_udf(derive, "binary")("_salt"))
     plain = F.try_aes_decrypt(F.substring(F.col(column), SALT + 1, F.length(column)), F.col("_key"), F.lit("GCM"))
-    out = df.join(table, F.substring(F.col(column), 1, SALT) == F.col("_salt"), "left").withColumn("_plain", plain)
+    on = mine & (F.substring(F.col(column), 1, SALT).cast("binary") == F.col("_salt"))
+    out = df.join(F.broadcast(table), on, "left").withColumn("_plain", plain)  # at most SALTS rows
     out = out.withColumns({"decrypted": F.col("_plain").isNotNull(), column: F.coalesce("_plain", column)})
     return out.drop("_salt", "_key", "_plain")
 

@@ -38,6 +38,16 @@ def delete(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return docs.join(ids, key, "left_anti")
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The documents whose key is in ``ids``; ids that aren't there find nothing."""
+    return docs.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def by_memory(docs: DataFrame, memory: object, column: str = "memory_id") -> DataFrame:
+    """The documents of one memory."""
+    return docs.where(F.col(column) == memory)
+
+
 def extract_text(files: DataFrame, name: str = "name", content: str = "content") -> tuple[DataFrame, DataFrame]:
     """(texts, errors): supported types as UTF-8 text; other types and bad bytes are errors."""
     ok = T.type_supported(F.col(name))

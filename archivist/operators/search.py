@@ -129,7 +129,7 @@ def neighbour_counts(frames: DataFrame, threshold: float, key: str = "vec_id", v
     return found.groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("neighbours"))
 
 
-def ann_search(frames: DataFrame, queries: DataFrame, k: int = 6, radius: float = 1.25, bucket: float = 0.5, tables: int = 8, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+def ann_search(frames: DataFrame, queries: DataFrame, k: int = 6, radius: float = 2.0, bucket: float = 0.5, tables: int = 8, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """Approximate neighbours by random projections of unit vectors, scored exactly."""
     unit = lambda df: df.withColumn("_n", V.norm(F.col(vector))).withColumn("_f", array_to_vector(V.scaled(F.col(vector), F.col("_n")))).drop("_n")
     x, q = unit(frames.select(key, vector)), unit(queries.select(query_key, vector))
@@ -184,10 +184,14 @@ def page(rows: DataFrame, limit: int = 20, offset: int = 0, newest: str = "creat
 # --- lookups ----------------------------------------------------------------------------------
 
 
-def in_request_order(frames: DataFrame, numbers: list[int], number: str = "frame_number") -> DataFrame:
-    """The frames asked for, in that order, with ``pos`` and ``found``."""
+def in_request_order(frames: DataFrame, numbers: list[int], number: str = "frame_number", strict: bool = False) -> DataFrame:
+    """The frames asked for, in that order, with ``pos`` and ``found``; with ``strict`` a frame that
+    isn't there is an error."""
     asked = frames.sparkSession.createDataFrame(list(enumerate(numbers)), f"pos int, {number} long")
-    return F.broadcast(asked).join(frames, number, "left").withColumn("found", F.col(frames.columns[0] if frames.columns[0] != number else frames.columns[1]).isNotNull()).orderBy("pos")
+    out = F.broadcast(asked).join(frames.withColumn("found", F.lit(True)), number, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if strict and not out.where(~F.col("found")).isEmpty():
+        raise KeyError("some frames are not there")
+    return out.orderBy("pos")
 
 
 def hits_with_content(hits: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:

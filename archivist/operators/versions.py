@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from archivist.operators.search import batch_top_k
+
 FRAME = ("memory_id", "frame")
 
 
@@ -88,6 +92,18 @@ def reconstruct(base: DataFrame, ops: DataFrame, version: int) -> DataFrame:
     return rows.select(*FRAME, pick("new_hash", "hash").alias("hash"), pick("payload", "payload").alias("payload"))
 
 
+def time_travel_search(base: DataFrame, ops: DataFrame, version: int, queries: DataFrame, embedding: Callable[[DataFrame], DataFrame], k: int = 5, query_key: str = "query_id") -> DataFrame:
+    """query_id, rank, memory_id, frame and score: the k frames nearest to each query (query_key,
+    embedding) among those that every memory has at ``version``.
+
+    ``embedding`` gets the frames (key, memory_id, frame, payload) and returns key and embedding, or
+    null or nothing for frames that aren't to be found. Ties go to the smaller key, a hash of the frame.
+    """
+    frames = reconstruct(base, ops, version).withColumn("key", F.xxhash64(*FRAME))
+    found = batch_top_k(embedding(frames).select("key", "embedding"), queries, k, "key", "embedding", query_key)
+    return found.join(frames.select("key", *FRAME), "key").select(query_key, "rank", *FRAME, "score")
+
+
 def diff_report(ops: DataFrame) -> DataFrame:
     return ops.select(*FRAME, "type", F.left("old_hash", F.lit(16)).alias("old"), F.left("new_hash", F.lit(16)).alias("new"))
 

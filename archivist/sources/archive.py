@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivist.functions.text import human_size
-from archivist.operators.integrity import reassemble
+from archivist.plans.pipelines import extract
 
 
 def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -18,8 +20,8 @@ def corpus_scan(spark: SparkSession, path: str, glob: str | None = None) -> Data
 def prefix_list(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """path, length and modificationTime below ``path`` of names that start with ``prefix``; contents
     aren't read."""
-    files = corpus_scan(spark, path).drop("content")
-    return files.where(F.startswith(F.element_at(F.split("path", "/"), -1), F.lit(prefix))) if prefix else files
+    pattern = re.sub(r"([\\*?\[\]{}^])", r"\\\1", prefix) + "*"  # while files are listed, others are left out
+    return corpus_scan(spark, path, pattern if prefix else None).drop("content")
 
 
 def archive_write(chunks: DataFrame, contents: DataFrame, path: str) -> None:
@@ -30,15 +32,31 @@ def archive_write(chunks: DataFrame, contents: DataFrame, path: str) -> None:
 
 
 def archive_read(spark: SparkSession, path: str, archive: str | None = None) -> DataFrame:
-    """The chunk rows of all archives, or of one (only its partition is read); rows without file or
-    index are left out, and no rows at all are an error."""
-    rows = spark.read.parquet(f"{path}/chunks").where("source_file is not null and chunk_index is not null")
-    rows = rows if archive is None else rows.where(F.col("archive_id") == archive)
+    """The chunk rows of all archives, or of one (only its partition is read); damaged rows are left
+    out, and no rows at all are an error."""
+    rows = _checked(spark, path, archive).where("valid").drop("valid")
     if rows.isEmpty():
         raise ValueError("the archive holds no valid chunk")
     return rows
 
 
+def _checked(spark: SparkSession, path: str, archive: str | None) -> DataFrame:
+    """All chunk rows with ``valid``: file, index and payload are there and, where the archive has
+    the payloads' hashes, agree with them."""
+    rows = spark.read.parquet(f"{path}/chunks")
+    rows = rows if archive is None else rows.where(F.col("archive_id") == archive)
+    valid = F.col("source_file").isNotNull() & F.col("chunk_index").isNotNull() & F.col("payload").isNotNull()
+    if "chunk_hash" in rows.columns:
+        valid &= F.coalesce(F.sha2("payload", 256) == F.col("chunk_hash"), F.col("chunk_hash").isNull())
+    return rows.withColumn("valid", valid)
+
+
+def archive_damage(spark: SparkSession, path: str, archive: str | None = None) -> DataFrame:
+    """For each archive the chunk rows that `archive_read` returns and those that it leaves out."""
+    rows = _checked(spark, path, archive)
+    return rows.groupBy("archive_id").agg(F.count_if("valid").alias("good"), F.count_if(~F.col("valid")).alias("damaged"))
+
+
 def archive_list(files: DataFrame, size: str = "size_bytes", time: str = "mtime") -> DataFrame:
     """For each archive its size, as text too, and its latest time."""
     rows = files.groupBy("archive_id").agg(F.sum(size).alias("size_bytes"), F.max(time).alias("mtime"))
@@ -82,9 +100,12 @@ def dated_export(rows: DataFrame, path: str, time: str, days: bool = True) -> No
     rows.withColumns(parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
-def extract_sink(chunks: DataFrame, path: str) -> None:
-    """One reassembled row a source file, partitioned by archive."""
-    reassemble(chunks).write.mode("overwrite").partitionBy("archive_id").parquet(path)
+def extract_sink(chunks: DataFrame, path: str, contents: DataFrame | None = None) -> DataFrame:
+    """One row a complete source file below ``path``, partitioned by archive, from chunks in any
+    order and with copies; the files that can't be written, with their status, are returned."""
+    files = extract(chunks, contents)
+    files.where("status = 'complete'").drop("status").write.mode("overwrite").partitionBy("archive_id").parquet(path)
+    return files.where("status <> 'complete'").drop("content")
 
 
 def info_report(archives: DataFrame, frames: DataFrame, index_meta: DataFrame | None = None, version_stats: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -63,8 +62,8 @@ def stream_reassemble(chunks: DataFrame, minutes: int = 60) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        parts = {int(k): bytes.fromhex(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
-        done, total = bool(state.exists and state.get[1]), 0
+        parts = dict(zip(map(int, state.get[0]), map(bytes, state.get[1]), strict=True)) if state.exists else {}
+        done, total = bool(state.exists and state.get[2]), 0
         for batch in batches:
             for k, n, payload in zip(batch["chunk_index"], batch["chunk_total"], batch["payload"], strict=True):
                 total = int(n)
@@ -72,10 +71,11 @@ def stream_reassemble(chunks: DataFrame, minutes: int = 60) -> DataFrame:
         if not done and total and len(parts) == total:
             yield pd.DataFrame({"source_file": [key[0]], "content": [b"".join(parts[k] for k in sorted(parts))]})
             done = True
-        state.update((json.dumps({} if done else {k: v.hex() for k, v in parts.items()}), done))
+        held = {} if done else parts  # of a file that is complete only that it is
+        state.update((list(held), list(held.values()), done))
         state.setTimeoutDuration(span)
 
-    return chunks.groupBy("source_file").applyInPandasWithState(run, "source_file string, content binary", "parts string, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("source_file").applyInPandasWithState(run, "source_file string, content binary", "indices array<int>, payloads array<binary>, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_rate_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:

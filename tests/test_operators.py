@@ -172,3 +172,23 @@ def test_archive_on_disk(spark, tmp_path):
     (tmp_path / "files/two.md").write_text("2")
     assert archive.corpus_scan(spark, str(tmp_path / "files"), "*.md").count() == 1
     assert archive.prefix_list(spark, str(tmp_path / "files"), "one").columns == ["path", "modificationTime", "length"]
+
+
+def test_decrypt_leaves_rows_that_are_not_encrypted(spark):
+    from archivist.operators import chunking
+
+    plain = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("payload"))
+    told = chunking.decrypt(plain.withColumn("encrypted", F.lit(False)), "payload", "p")
+    assert told.where("decrypted").count() == 0 and told.join(plain, ["id", "payload"]).count() == 3000
+    with pytest.raises(ValueError, match="salts"):
+        chunking.decrypt(plain, "payload", "p")
+
+
+def test_missing_frames_can_be_an_error(spark):
+    from archivist.operators import search
+
+    frames = spark.createDataFrame([(1, "a"), (2, None)], "frame_number long, name string")
+    found = search.in_request_order(frames, [2, 7, 1]).collect()
+    assert [(r.frame_number, r.found) for r in found] == [(2, True), (7, False), (1, True)]
+    with pytest.raises(KeyError):
+        search.in_request_order(frames, [2, 7], strict=True)
