@@ -9,6 +9,7 @@ shards are pooled at the end and packed once more.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,20 @@ from archivist.llm.common import small_batches, written
 #: Where the tokenizer's own rules on white space or case could differ from str.split and str.lower.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _KEPT = 200_000
+#: The generation in which the packing in order of length joins.
+GREEDY = 3
+
+
+# The rules of the tokenizer whose texts can be cut at white space.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordTokenizer:
@@ -40,7 +55,11 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        # for any other rules texts are encoded whole
+        self.by_word = (rules.get("normalizer"), rules.get("pre_tokenizer")) == (_NORMALIZER, _PRE_TOKENIZER)
+        self.split = regex.compile(_SPLIT).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         rest = iter(range(256, 512))
         self.byte = {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
@@ -78,7 +97,7 @@ class WordTokenizer:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if not self.by_word or _ODD.search(text):
             return self._full(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
@@ -154,13 +173,13 @@ def best_fit(lengths: np.ndarray, size: int, order: np.ndarray, bins: np.ndarray
 
 def _crossover(a: Packing, b: Packing, lengths: np.ndarray, size: int, rng: np.random.Generator) -> Packing:
     """Whole well-filled bins of ``b`` come into ``a``; what they displace is put back by best fit."""
-    good = np.flatnonzero(b.fill >= np.quantile(b.fill, 0.25))
+    good = np.flatnonzero(b.fill >= np.quantile(b.fill, 0.25))  # the best filled three quarters
     taken = np.zeros(len(b.fill), bool)
     taken[rng.choice(good, max(1, int(len(good) * rng.uniform(0.05, 0.3))), replace=False)] = True
     injected = taken[b.bins]
     hit = np.zeros(len(a.fill), bool)
     hit[a.bins[injected]] = True
-    worst = np.argsort(a.fill, kind="stable")[: 1 + len(a.fill) // 50]
+    worst = np.argsort(a.fill, kind="stable")[: 2 + int(len(a.fill) * rng.uniform(0.02, 0.3))]
     hit[worst] = True  # mutation: the emptiest bins go too
     new_a, new_b = np.cumsum(~hit) - 1, np.cumsum(taken) - 1 + int((~hit).sum())
     bins = np.where(injected, new_b[b.bins], np.where(hit[a.bins], -1, new_a[a.bins]))
@@ -173,24 +192,29 @@ def least_bins(lengths: np.ndarray, size: int) -> int:
     return max(-(-int(lengths.sum()) // size), int((2 * lengths > size).sum()))
 
 
-def evolve(lengths: np.ndarray, size: int, seed: int, guests: list[Packing], population: int = 6, generations: int = 12) -> Packing:
-    """The best packing after ``generations``; earlier, if no packing can have fewer bins."""
+def evolve(lengths: np.ndarray, size: int, seed: int, guests: list[Packing], population: int = 4, generations: int = 16) -> Packing:
+    """The best packing after ``generations``; earlier, if no packing can have fewer bins. The first
+    packings put the items in random order; what makes them better are crossovers, in which after a few
+    generations a packing in order of length takes part."""
     rng, least = np.random.default_rng(seed), least_bins(lengths, size)
     none, empty = np.full(len(lengths), -1), np.zeros(0, np.int64)
     people = list(guests)
+    if people and len(min(people, key=lambda p: len(p.fill)).fill) <= least:
+        return min(people, key=lambda p: p.worth(size))
     while len(people) < population:
-        noise = 0.0 if not people else 0.05 * len(people)
-        order = np.argsort(-lengths * rng.uniform(1 - noise, 1 + noise, len(lengths)), kind="stable")
-        people.append(best_fit(lengths, size, order, none, empty))
-        if len(people[-1].fill) <= least:
-            return people[-1]
-    for _ in range(generations):
+        people.append(best_fit(lengths, size, rng.permutation(len(lengths)), none, empty))
+    for turn in range(generations):
+        if turn == GREEDY:
+            people.append(best_fit(lengths, size, np.argsort(-lengths, kind="stable"), none, empty))
         people.sort(key=lambda p: p.worth(size))
         if len(people[0].fill) <= least:
             break
-        pairs = [(0, 1 + rng.integers(population - 1)), tuple(rng.choice(population, 2, replace=False)), (1, 0)]
-        people = people[: population - len(pairs)] + [_crossover(people[x], people[y], lengths, size, rng) for x, y in pairs]
-    return min(people, key=lambda p: p.worth(size))
+        for x, y in ((0, 1 + rng.integers(population - 1)), tuple(rng.choice(population, 2, replace=False))):
+            people.append(_crossover(people[x], people[y], lengths, size, rng))
+            if len(people[-1].fill) <= least:
+                return people[-1]
+        people = sorted(people, key=lambda p: p.worth(size))[:population]
+    return people[0]
 
 
 _STATE = "shard long, island int, uid long, length long, bin int"
@@ -236,7 +260,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 2
     the last may be shorter. Pieces of full size are sequences as they are. All others go, by a hash,
     to shards of about ``shard`` pieces, which bounds a task whatever the corpus holds. Sequences
     filled below ``loose`` are packed again over all shards and replaced where that saves any.
-    ``tokenizer`` is the path of the tokenizer's file on every machine.
+    ``tokenizer`` is the path of the tokenizer's file on every machine. An empty table gives an empty
+    result; texts of any length are cut whole; other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     cut = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(tokenizer, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -302,6 +302,39 @@ def test_the_genetic_algorithm_improves_on_best_fit():
         assert (np.bincount(p.bins, weights=lengths) == p.fill).all() and p.fill.max() <= 2048
 
 
+def test_crossovers_and_migration_run(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rng, made, crossover = np.random.default_rng(7), [], packing._crossover
+
+    def counted(*a):
+        made.append(1)
+        return crossover(*a)
+
+    monkeypatch.setattr(packing, "_crossover", counted)
+    monkeypatch.setattr(packing, "GREEDY", -1)  # nothing but crossovers makes packings better
+    lengths = rng.integers(1, 1400, 500)
+    first = min(len(packing.best_fit(lengths, 2048, rng.permutation(500), np.full(500, -1), np.zeros(0, np.int64)).fill) for _ in range(8))
+    best = packing.evolve(lengths, 2048, 3, [])
+    assert made and len(best.fill) < first
+    lengths = rng.integers(500, 1000, 300)  # near thirds: the bound is out of reach
+    good = packing.evolve(lengths, 2048, 1, [], generations=40)
+    own = packing.best_fit(lengths, 2048, rng.permutation(300), np.full(300, -1), np.zeros(0, np.int64))
+    rows = pd.concat([pd.DataFrame({"shard": 0, "island": 1, "uid": range(300), "length": lengths, "bin": p.bins, "guest": g}) for g, p in ((0, own), (1, good))])
+    made.clear()
+    after = packing._island(2048, 1)((0, 1), rows)
+    assert made and after["bin"].nunique() <= len(good.fill) < len(own.fill)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import numpy as np
+
+    other = packing.WordTokenizer(packing.tokenizer_path("byte_bpe_50k.json"))
+    for text in ("It's ÀB  don't 123", " a\n\nb", "<|endoftext|> x"):
+        assert np.frombuffer(other.ids(text), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_phrases_of_all_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     found = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(docs).collect()}
