@@ -182,6 +182,15 @@ def _candidates(met: DataFrame, comps: DataFrame | None, threshold: float, fores
     return rows.groupBy(together).applyInPandas(_compare(threshold, forest), "a long, b long").distinct()
 
 
+def _stars(met: DataFrame) -> DataFrame:
+    """(a, b): for each row of a bucket of more than ``BLOCK`` the bucket's first row; of several such
+    the one that it meets most often. So a large group of copies is linked by as many pairs as rows."""
+    rows = met.select("id", F.explode("buckets").alias("b")).where(F.col("b.size") > BLOCK).select("id", F.col("b.key").alias("key"))
+    first = rows.groupBy("key").agg(F.min("id").alias("a"))
+    times = rows.join(first, "key").where("a <> id").groupBy("id", "a").agg(F.count(F.lit(1)).alias("n"))
+    return times.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union, on full sets."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
@@ -202,7 +211,8 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     taken whole, other columns are ignored.
 
     The chance that a pair at similarity s shares no band is (1 - s^5)^24, below 8e-7 at 0.85.
-    Compared are all pairs of a bucket, in blocks; first so many candidates are confirmed as
+    In large buckets every row is first compared with one other. Then all pairs of a bucket that lie
+    between different components are compared, in blocks: first so many candidates are confirmed as
     connect each block, then all that still lie between different components.
     """
     small_batches(docs.sparkSession)
@@ -214,7 +224,12 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     met = written(_met(nodes.select("id", F.col("n_shingles").alias("n"), "keys", "sketch")))
     threshold = percent / 100
     groups = max(1, -(-(met.agg(F.sum(F.size("buckets"))).first()[0] or 0) // GROUP))
-    links = written(_confirmed(written(_candidates(met, None, threshold, True, groups)), plain, width, percent))
+    links, comps, star = None, None, written(_stars(met))
+    if not star.isEmpty():
+        links = written(_confirmed(star, plain, width, percent))
+        comps = components(links)
+    more = written(_confirmed(written(_candidates(met, comps, threshold, True, groups)), plain, width, percent))
+    links = more if links is None else links.unionByName(more)
     comps = components(links)
     more = written(_confirmed(written(_candidates(met, comps, threshold, False, groups)), plain, width, percent))
     if not more.isEmpty():
