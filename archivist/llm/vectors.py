@@ -140,7 +140,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
 
     Compared are vectors of equal label (not null) and equal length. Vectors that are null, empty or
     zero or hold a null or non-finite component, and those without label, link with nothing. Equal
-    vectors of a label are compared once and counted as often as they occur.
+    vectors of a label are compared once and counted as often as they occur. Rows with the same id are
+    one in components, and each has its own number of links. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
 
     The rotated unit vectors are split into blocks; two vectors within the squared distance 2 - 2 *
     threshold are within a block's share of it in one block at least. Each block is range-joined on
@@ -271,11 +273,12 @@ def _found(own: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]]) -> pd.Dat
 def _first(k: int, scale: float):
     """A shard's tree searched by its own queries, whose kth scores then hold everywhere."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        points, ids = _whole(list(rows["vector"]), scale), rows["vec_id"].to_numpy()
-        asks = rows["asks"].to_numpy()
-        best = search(KDTree(ids, points), points[asks], ids[asks], k, np.full(int(asks.sum()), -np.inf))
-        return _found(ids[asks], best)
+    def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(shard) or not len(asked):
+            return _found(np.zeros(0, np.int64), [])
+        own = asked["vec_id"].to_numpy()
+        tree = KDTree(shard["vec_id"].to_numpy(), _whole(list(shard["vector"]), scale))
+        return _found(own, search(tree, _whole(list(asked["vector"]), scale), own, k, np.full(len(own), -np.inf)))
 
     return run
 
@@ -302,20 +305,25 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 20, scale: float = 64.0, ke
     products with all other rows, ties to the smaller id.
 
     Each component x counts as floor(scale * x). Vectors that are null or hold null or non-finite
-    components take no part; vectors meet those of equal length. Rows with the query's id are its own
-    and no candidates. Rows go to shards of about ``shard`` by a hash of the id; each shard has a
+    components, or have no id, take no part; vectors meet those of equal length. Rows with the query's id are its own
+    and no candidates. A repeated id asks once, with the shortest and then least of its vectors, and
+    every row of it is a candidate. An empty table gives an empty result; other columns are ignored.
+    Rows go to shards of about ``shard`` by a hash of the id; each shard has a
     KD-tree. Every query first searches the shard it lies in; its kth score there goes with it to
     the other shards, where it drops whatever boxes cannot reach it. Queries go to each shard in
     blocks of about ``block``; a task holds one shard and one block.
     """
-    rows = vectors.where(finite(vector)).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks"), F.size(vector).alias("d"))
-    n, n_ask = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n_ask // block))
+    rows = vectors.where(finite(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks"), F.size(vector).alias("d"))
+    shards = max(1, -(-rows.count() // shard))
     rows = written(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")))
+    asked = rows.where("asks").groupBy("vec_id", "shard").agg(F.min(F.struct("d", "vector")).alias("q"))
+    asked = written(asked.select("vec_id", "shard", "q.d", "q.vector"))
+    rows = rows.drop("asks")
+    blocks = max(1, -(-asked.count() // block))
     schema = "query_id long, vec_id long, score long"
-    home = written(rows.groupBy("shard", "d").applyInPandas(_first(k, scale), schema))
+    home = written(rows.groupBy("shard", "d").cogroup(asked.groupBy("shard", "d")).applyInPandas(_first(k, scale), schema))
     limits = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double").alias("kth"))
-    queries = rows.where("asks").join(limits, "vec_id", "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    queries = asked.join(limits, "vec_id", "left").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     to = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), F.col("shard")))
     queries = queries.withColumn("to", to).select(F.col("to").alias("shard"), "block", "d", "vec_id", "vector", "kth")
     trees = rows.toDF(*rows.columns).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "d", "vec_id", "vector")

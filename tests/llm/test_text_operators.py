@@ -159,6 +159,23 @@ def test_near_duplicates_of_a_large_group(spark):
     assert found == _brute(rows)
 
 
+def test_a_large_bucket_is_compared_with_its_first_row(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    base = [f"v{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[: k % 110], f"x{k}", *base[k % 110 + 1 :]])) for k in range(2000)]  # each one word away from the first
+    rows += [(5000, " ".join(base)), (5001, "other words are here"), (5002, " ".join(base[:60] + [f"y{k}" for k in range(60)]))]
+    pairs, confirmed = [], minhash._confirmed
+
+    def counted(found, *more):
+        pairs.append(found.count())
+        return confirmed(found, *more)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: c for k, c in found.items() if c} == {5001: 5001, 5002: 5002}
+    assert sum(pairs) < 3 * len(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     found = minhash.near_duplicates(odd).collect()
     assert len(found) == len(ODD) and Counter(r.component_id for r in found) == {1: 1, 2: 1, 3: 1, 4: 3, 6: 2, 8: 1}

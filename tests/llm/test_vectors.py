@@ -88,3 +88,21 @@ def test_top_k(spark):
             best = sorted((-int(whole[q] @ v), k) for k, v in whole.items() if k != q and len(v) == len(whole[q]))[:20]
             assert sorted(found.pop(q)) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
     assert not found
+
+
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 150, (rng.standard_normal(8) / 4).tolist(), 1) for k in range(300)]
+    rows += [rows[20], (20, [0.5] * 3, 1), (40, [0.5] * 3, 1), (None, [0.5] * 8, 1)]
+    whole = [(k, np.floor(64 * np.array(v, np.float32).astype(float))) for k, v, _ in rows if k is not None]
+    vectors_of = {}
+    for k, v, _ in rows:
+        vectors_of.setdefault(k, []).append((len(v), [float(x) for x in np.array(v, np.float32)]))
+    found = {}
+    for r in vectors.top_k(spark.createDataFrame(rows, KIND), F.col("vec_id") % 20 == 0, k=7, shard=60, block=3).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 150, 20):
+        asks = np.floor(64 * np.array(min(vectors_of[q])[1]))
+        best = sorted((-int(asks @ v), k) for k, v in whole if k != q and len(v) == len(asks))[:7]
+        assert sorted(found.pop(q)) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert not found
