@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from archivist.llm.common import small_batches, unit_hash
 
@@ -138,7 +139,8 @@ def training_sample(labelled: DataFrame, text: str, lang: str, key: str, rows: i
     pack = F.pandas_udf(packed_presence, "binary")
     order = unit_hash(F.col(key), seed=11)
     some = labelled.where(order < share).select(F.col(lang).alias("lang"), pack(F.col(text)).alias("bits"), order.alias("h"), F.col(key).alias("k"))
-    picked = some.where("bits is not null").orderBy("h", "k").limit(rows).collect()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "k", "bits"))  # of each language by hash, so none is cut for another
+    picked = some.where("bits is not null").withColumn("place", place).where(F.col("place") <= -(-rows // len(counts))).collect()
     return [(r["lang"], r["bits"]) for r in picked]
 
 
@@ -157,8 +159,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> Column
         for batch in texts:
             lang, score = np.full(len(batch), UNDETERMINED, object), np.zeros(len(batch))
             values = list(batch)
-            for at in range(0, len(values), 128):
-                rows = [(k, r) for k, v in enumerate(values[at : at + 128], at) if m is not None and (r := presence(v)) is not None]
+            for at in range(0, len(values), 64):
+                rows = [(k, r) for k, v in enumerate(values[at : at + 64], at) if m is not None and (r := presence(v)) is not None]
                 if not rows:
                     continue
                 out = m.scores([r for _, r in rows]).astype(np.float64) * m.sharpness
