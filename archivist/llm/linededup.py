@@ -17,7 +17,7 @@ from archivist.llm.common import FEW, packed, rows_with, unpacked, written
 
 #: Shingles are counted in so many hash buckets, so the table of ranks has this fixed size. What is
 #: frequent beyond the noise of its bucket comes last, so that many lines with the same frame don't meet.
-BUCKETS_LOG2 = 14
+BUCKETS_LOG2 = 13
 _OTHER_BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 

@@ -25,7 +25,7 @@ from archivist.llm.common import small_batches, written
 
 #: Where the tokenizer's own rules on white space or case could differ from str.split and str.lower.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_KEPT = 200_000
+_KEPT = 80_000
 #: The generation in which the packing in order of length joins.
 GREEDY = 3
 
@@ -55,10 +55,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as file:
-            rules = json.load(file)
-        # for any other rules texts are encoded whole
-        self.by_word = (rules.get("normalizer"), rules.get("pre_tokenizer")) == (_NORMALIZER, _PRE_TOKENIZER)
+        rules = [part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.by_word = rules == [_NORMALIZER, _PRE_TOKENIZER]  # for any other rules texts are encoded whole
         self.split = regex.compile(_SPLIT).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         rest = iter(range(256, 512))
