@@ -44,15 +44,18 @@ def presence(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     table, out, found = _letters(), np.zeros(_SIZE, np.uint8), False
+    before, end = np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     for at in range(0, len(text), _PIECE):
-        piece = text[max(0, at - 3) : at + _PIECE].lower()
+        piece = text[at : at + _PIECE].lower()
         codes = table[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]
         found |= bool(codes.any())
+        codes = np.concatenate([before, codes, end if at + _PIECE >= len(text) else end[:0]])
         blank = codes == 0
         keep = ~blank
         keep[1:] |= blank[1:] & ~blank[:-1]
         keep[:1] = True
-        codes = np.concatenate([codes[keep], np.zeros(1, np.uint64)])
+        codes = codes[keep]
+        before = codes[1 - len(_BITS) :]  # what the next piece's first n-grams begin with
         total = np.zeros(len(codes), np.uint64)
         for n, bits in enumerate(_BITS, 1):
             if len(codes) < n:
