@@ -33,16 +33,23 @@ def missing_indices(chunks: DataFrame, file: Sequence[str] = FILE) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame, file: Sequence[str] = FILE) -> DataFrame:
-    """Each file's content from its chunks (each index once), as text or as bytes."""
+    """Each file's content from its chunks (each index once), as text or as bytes: one row a file, so
+    for files that a row can hold; `ordered_chunks` is for others."""
     parts = chunks.groupBy(*file).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "payload"))).alias("_p"))
     payloads = F.transform("_p", lambda x: x["payload"])
     if dict(chunks.dtypes)["payload"] == "binary":
-        content = F.aggregate(payloads, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
+        content = F.unhex(F.array_join(F.transform(payloads, lambda x: F.hex(x)), ""))  # joined in one go
     else:
         content = F.array_join(payloads, "")
     return parts.select(*file, content.alias("content"))
 
 
+def ordered_chunks(chunks: DataFrame, file: Sequence[str] = FILE) -> DataFrame:
+    """Chunks without copies, each file's in order within one partition, so that a writer can append
+    them one by one however large the file is."""
+    return dedup_chunks(chunks, file).repartition(*file).sortWithinPartitions(*file, "chunk_index")
+
+
 def verify(chunks: DataFrame, archive: str = "archive_id", failures: int = 5) -> DataFrame:
     """For each archive frames that match their stored ``chunk_hash`` and those that don't, the
     first failures by frame number, the success rate and a status."""

@@ -192,3 +192,22 @@ def test_missing_frames_can_be_an_error(spark):
     assert [(r.frame_number, r.found) for r in found] == [(2, True), (7, False), (1, True)]
     with pytest.raises(KeyError):
         search.in_request_order(frames, [2, 7], strict=True)
+
+
+def test_chunks_in_order(spark):
+    rows = [("a", f"f{n % 3}", "h", k, 5, bytes([n, k])) for n in range(6) for k in (4, 0, 2, 1, 3)]
+    chunks = spark.createDataFrame(rows, "archive_id string, source_file string, file_hash string, chunk_index int, chunk_total int, payload binary")
+    found = {}
+    for r in integrity.ordered_chunks(chunks).rdd.mapPartitionsWithIndex(lambda p, rows: [(p, r.source_file, r.chunk_index, bytes(r.payload)) for r in rows]).collect():
+        found.setdefault((r[1], r[0]), []).append(r[2:])
+    assert len(found) == 3 and all([k for k, _ in v] == [0, 1, 2, 3, 4] for v in found.values())
+    whole = {r.source_file: bytes(r.content) for r in integrity.reassemble(integrity.dedup_chunks(chunks)).collect()}
+    assert whole == {f: b"".join(x for _, x in v) for (f, _), v in found.items()}
+
+
+def test_recall_of_approximate_search(spark, data):
+    frames = spark.read.parquet(f"{data}/embeddings.parquet")
+    queries = frames.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best = search.batch_top_k(frames, queries, 6).select("query_id", "vec_id")
+    found = search.ann_search(frames, queries, 6).select("query_id", "vec_id")
+    assert found.join(best, ["query_id", "vec_id"]).count() >= 0.9 * best.count()
