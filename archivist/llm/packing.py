@@ -25,7 +25,7 @@ from archivist.llm.common import small_batches, written
 
 #: Where the tokenizer's own rules on white space or case could differ from str.split and str.lower.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_KEPT = 80_000
+_KEPT = 150_000
 #: The generation in which the packing in order of length joins.
 GREEDY = 3
 
