@@ -80,7 +80,8 @@ def templates(pages: DataFrame, z: float = 2.0, prior: float = 0.25, weight: flo
     branches beside it; else it is merged with them into ``*``. The names along a path are its
     template. ``rate`` is the smoothed purity: at each step from the host to the whole template it
     becomes (blocked + weight * rate) / (labelled + weight) of the pages below, starting from
-    ``prior``; so a template without labels has its branch's rate.
+    ``prior``; so a template without labels has its branch's rate. A step that still has all the
+    labels of the one before tells nothing new and changes nothing.
     Pages are counted by host and shape before anything else, so no task sees a host's pages.
     """
     bad = F.col("bad").cast("long")
@@ -103,7 +104,9 @@ def templates(pages: DataFrame, z: float = 2.0, prior: float = 0.25, weight: flo
     below = _branches(made, "template", 0).select("host", at("template").alias("branch"), "seen", "blocked").groupBy("host", "branch").agg(*sums)
     steps = _branches(made.select("host", "template").distinct(), "template", 0).withColumn("branch", at("template")).join(below, ["host", "branch"])
     steps = steps.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "seen", "blocked"))).alias("steps"))
-    rate = F.aggregate("steps", F.lit(float(prior)), lambda r, x: (x["blocked"] + weight * r) / (x["seen"] + weight))
+    start = F.struct(F.lit(float(prior)).alias("rate"), F.lit(-1).cast("long").alias("seen"))
+    next_rate = lambda r, x: F.when(x["seen"] == r["seen"], r["rate"]).otherwise((x["blocked"] + weight * r["rate"]) / (x["seen"] + weight))
+    rate = F.aggregate("steps", start, lambda r, x: F.struct(next_rate(r, x).alias("rate"), x["seen"].alias("seen")), lambda r: r["rate"])
     return made.join(steps.select("host", "template", rate.alias("rate")), ["host", "template"]).select("host", "shape", F.array_join("template", "/").alias("template"), "rate")
 
 

@@ -52,10 +52,11 @@ def _brute(pages, z=2.0, prior=0.25, weight=4.0):
             merged[host, t[:n]][1] += bool(bad)
     out = {}
     for (host, shape), t in template.items():
-        rate = prior
+        rate, before = prior, -1
         for n in range(len(t) + 1):
             seen, blocked = merged[host, t[:n]]
-            rate = (blocked + weight * rate) / (seen + weight)
+            if seen != before:
+                rate, before = (blocked + weight * rate) / (seen + weight), seen
         out[host, shape] = "/".join(t), rate
     return out
 
