@@ -42,10 +42,54 @@ c AS (SELECT b.place, a.n AS m, b.n AS n, count(*) AS k FROM t a JOIN t b ON a.x
 gone AS (SELECT DISTINCT place FROM c WHERE k >= 0.8::double * (m + n - k) - 1e-9)
 SELECT doc_id, line::int AS line, place NOT IN (SELECT place FROM gone) AS kept FROM s"""
 
+
+def _op11() -> str:
+    near = "list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)"
+    steps = [f"""a{k} AS MATERIALIZED (SELECT id, part, x, entry, d FROM (SELECT *, row_number() OVER (PARTITION BY id, part ORDER BY d, entry) AS r
+FROM (SELECT p.id, p.part, p.x, b.entry, {near} AS d FROM p JOIN b{k} b ON p.part = b.part)) WHERE r = 1),
+m{k} AS (SELECT part, entry, list(v ORDER BY pos) AS c FROM (SELECT part, entry, pos, floor(sum(v) / count(*)) AS v FROM (SELECT part, entry, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m{k}.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} ON m{k}.part = b.part AND m{k}.entry = b.entry)""" for k in range(5)]
+    return f"""WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS id, list_transform(embedding::double[], lambda x: floor(1024 * x)) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT id, part, e[part * len(e) // 4 + 1:(part + 1) * len(e) // 4] AS x FROM v, unnest([0, 1, 2, 3]) AS u(part)),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x AS c FROM p WHERE id <= 256), {', '.join(steps)},
+f AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a4 GROUP BY id),
+s AS (SELECT sha256(string_agg(n::bigint::varchar, ',' ORDER BY part, entry, pos)) AS h FROM (SELECT part, entry, unnest(c) AS n, unnest(range(0, len(c))) AS pos FROM b4))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, h AS codebooks_sha256 FROM v JOIN f USING (id), s"""
+
+
+_ALNUM = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP12 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS id, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark), z AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM z)),
+g AS (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM x))),
+h AS (SELECT id, i, g.n, item_id FROM g JOIN x ON g.n = x.n AND g.x = x.x),
+hit AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS j FROM h) GROUP BY id),
+o AS (SELECT id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS items FROM h GROUP BY id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (id) LEFT JOIN o USING (id)"""
+
+OP13 = """WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+g AS (SELECT lang, k, w[i:i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, unnest([1, 2, 3, 4]) AS u(k))),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::bigint AS n FROM w GROUP BY lang),
+c AS (SELECT c.lang, c.k, c.p, c.f AS a, j, x.f AS l, y.f AS r, ((2000000::hugeint * c.f) // (x.f + y.f))::bigint AS score
+FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:j] JOIN f y ON y.lang = c.lang AND y.p = c.p[j + 1:]),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS o FROM c) WHERE o = 1),
+i AS (SELECT lang, p[a:a + m - 1] AS p, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS a FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL),
+o AS (SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM s LEFT JOIN i ON i.lang = s.lang AND i.p = s.p WHERE longer IS NULL OR 100::hugeint * longer < 80::hugeint * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) WHERE rank <= 2000"""
+
 ORACLES = {
     "op3_minhash": OP3,
     "op4_near_vectors": OP4,
     "op5_top_k": OP5,
     "op6_mixing": OP6,
     "op9_line_dedup": OP9,
+    "op11_vector_codes": _op11(),
+    "op12_decontaminate": OP12,
+    "op13_collocations": OP13,
 }
