@@ -228,9 +228,9 @@ def without_passages(docs: DataFrame, items: DataFrame, text: str = "text", item
     return unpacked(kept, docs.columns, {text: without_spans(F.col("text"), F.col("found.spans"))})
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+def benchmark_hits(docs: DataFrame, items: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, the digest of the items' ids, and contaminated, of every row."""
-    found = contamination(docs, items, keep_text=False)
+    found = contamination(docs, items, at_once=at_once, keep_text=False)
     n_hit = F.size("found.hits").cast("long")
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
