@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import base64
 import gzip
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from archivist.functions import vectors as V
 from archivist.functions.registry import TextExtractors, register_search
 from archivist.operators import chunking, documents, search, versions
 from archivist.plans import pipelines
-from archivist.plans.registry import _CHUNKS, _DAMAGED, _FILES, _SNAPSHOTS, _VERSIONS, _damaged, _files, _query, _read, _requests, _snapshots, _versions
+from archivist.plans.registry import ORACLES, _CHUNKS, _DAMAGED, _FILES, _SNAPSHOTS, _VERSIONS, _damaged, _files, _query, _read, _requests, _snapshots, _versions
 from archivist.sources import archive
 from archivist.sources.shared import shared_path
 from archivist.streaming import streams
@@ -31,7 +32,6 @@ def _text_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-
 def _source() -> Column:
     return F.regexp_extract("path", "source=([^/]*)/", 1)
 
@@ -281,27 +281,91 @@ def x1_stream_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT count(*) AS rows, sum(strlen(text))::bigint AS bytes FROM documents")
 def x2_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = streams.with_progress(_stream(_read(spark, sf_dir, "documents").select("doc_id", "text"), "documents"), size="text")
-    _, query = _run(seen, "progress")
-    told = [p.observedMetrics["progress"] for p in query.recentProgress if "progress" in p.observedMetrics]
-    return spark.createDataFrame([(sum(r["rows"] or 0 for r in told), sum(r["bytes"] or 0 for r in told))], "rows long, bytes long")
+    name = f"progress_{uuid.uuid4().hex}"  # of this query only
+    listener = streams.ProgressListener(lambda *_: None, name)
+    seen = streams.with_progress(_stream(_read(spark, sf_dir, "documents").select("doc_id", "text"), "documents"), name, size="text")
+    spark.streams.addListener(listener)
+    try:
+        _run(seen, "progress")
+        listener.wait()
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(listener.rows, listener.bytes)], "rows long, bytes long")
+
+
+def _in_turns(rows: DataFrame, at: str, made: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", turns: int = 3) -> DataFrame:
+    """What a stream makes of ``rows`` that come in order of time in several turns, each by a query
+    that goes on from the state of the one before and ends when it has read all."""
+    spark = rows.sparkSession
+    path, out, log = (shared_path(spark, f"{name}{x}") for x in ("-in", "-out", "-log"))
+    first, last = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    place = F.floor((F.unix_micros(at) - F.lit(first or 0)) * turns / ((last or 0) - (first or 0) + 1))
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    for k in range(turns):
+        rows.where(place == k).write.mode("append").parquet(path)
+        made_of = made(spark.readStream.schema(rows.schema).parquet(path))
+        made_of.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    each(spark.createDataFrame([], made_of.schema), -1)  # so that there is a file
+    return spark.read.schema(made_of.schema).parquet(out)
+
+
+#: Minutes after 2024 begins at which a file's first chunk comes, by the file's hash; the others follow each second.
+_ARRIVED = "(('0x' || substr(file_hash, 1, 6))::bigint % 600 * 60 + chunk_index)"
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _damaged(spark, sf_dir)
+    seconds = F.conv(F.substring("file_hash", 1, 6), 16, 10).cast("long") % 600 * 60 + F.col("chunk_index")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + seconds)
+    return chunks.select(F.concat_ws("/", "archive_id", "source_file").alias("source_file"), "chunk_index", "chunk_total", F.col("payload").cast("binary").alias("payload"), at.alias("at"))
 
 
 @_query(f"""WITH {_DAMAGED}, s AS (SELECT archive_id || '/' || source_file AS source_file, file_hash, any_value(chunk_total) AS total, count(DISTINCT chunk_index) AS have FROM damaged GROUP BY ALL)
 SELECT source_file, file_hash AS content_hash FROM s WHERE total = have""")
 def x3_stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _damaged(spark, sf_dir).select(F.concat_ws("/", "archive_id", "source_file").alias("source_file"), "chunk_index", "chunk_total", F.col("payload").cast("binary").alias("payload"))
-    found, _ = _run(streams.stream_reassemble(_stream(chunks, "chunks")), "files")
-    return found.select("source_file", F.sha2("content", 256).alias("content_hash"))
+    found = _in_turns(_arriving(spark, sf_dir), "at", streams.stream_reassemble, "reassembled")
+    return found.where("status = 'complete'").select("source_file", F.sha2("content", 256).alias("content_hash"))
+
+
+@_query(f"""WITH {_DAMAGED}, s AS (SELECT archive_id || '/' || source_file AS source_file, any_value(chunk_total)::int AS chunk_total, count(DISTINCT chunk_index)::int AS present, max({_ARRIVED}) AS last FROM damaged GROUP BY archive_id, source_file)
+SELECT source_file, present, chunk_total FROM s WHERE present < chunk_total AND last + 3600 <= (SELECT max(last) FROM s) - 600""")
+def x3_stream_given_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incomplete files that have got no chunk for an hour when the watermark, ten minutes behind, stops."""
+    found = _in_turns(_arriving(spark, sf_dir), "at", streams.stream_reassemble, "given-up")
+    return found.where("status = 'missing'").select("source_file", "present", "chunk_total")
 
 
 @_query("SELECT user_id AS client, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 5 AS admitted FROM events")
 def x4_stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five requests of each client, as the span is longer than the table's."""
-    found, _ = _run(streams.stream_rate_limit(_stream(_requests(spark, sf_dir), "requests", 1), 5, 400 * 86_400), "admitted")
+    found = _in_turns(_requests(spark, sf_dir), "ts", lambda rows: streams.stream_rate_limit(rows, 5, 400 * 86_400), "admitted")
+    return found.select("client", "event_id", "admitted")
+
+
+@_query(ORACLES["w7_rate_limit"])
+def x4_stream_rate_limit_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three a day: what counts goes with the state from turn to turn, idle clients are forgotten."""
+    found = _in_turns(_requests(spark, sf_dir), "ts", lambda rows: streams.stream_rate_limit(rows, 3, 86_400), "limited")
     return found.select("client", "event_id", "admitted")
 
 
+@_query("""WITH RECURSIVE e AS (SELECT user_id AS job_id, event_type AS status, epoch_us(ts) AS t FROM events),
+r AS (SELECT job_id, min(t) AS started FROM e GROUP BY job_id
+UNION ALL SELECT job_id, t AS started FROM (SELECT e.job_id, e.t, row_number() OVER (PARTITION BY e.job_id ORDER BY e.t) AS k FROM r JOIN e ON e.job_id = r.job_id AND e.t >= r.started + 259200000000) WHERE k = 1),
+w AS (SELECT job_id, started, lead(started) OVER (PARTITION BY job_id ORDER BY started) AS ended FROM r)
+SELECT w.job_id, started, arg_max(status, (t, status)) AS status, max(t) AS updated, arg_max(status, (t, status)) IN ('purchase', 'error') AS closed
+FROM w JOIN e ON e.job_id = w.job_id AND t >= started AND (ended IS NULL OR t < ended) GROUP BY ALL""")
+def x5_stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last news of each job, which is forgotten three days after its start and then starts anew."""
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    news = _in_turns(rows, "ts", lambda events: streams.stream_job_status(events, 3 * 1440, ("purchase", "error")), "jobs", "update")
+    last = news.groupBy("job_id", "started").agg(F.max_by(F.struct("status", "updated", "closed"), F.struct("updated", "status")).alias("l"))
+    return last.select("job_id", F.unix_micros("started").alias("started"), "l.status", F.unix_micros("l.updated").alias("updated"), "l.closed")
+
+
 @_query(f"""WITH {_FILES}, c AS (SELECT source_file, doc_id, source_file LIKE '%.txt' OR source_file LIKE '%.md' OR source_file LIKE '%.csv' AS ok FROM files)
 SELECT doc_id, CASE WHEN ok THEN 'indexed' ELSE 'unsupported type' END AS status FROM c""")
 def x6_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from archivist.operators.chunking import chunk
@@ -24,6 +26,64 @@ def test_reassembly_of_shuffled_copies(spark, data, tmp_path):
     assert found.count() == 40
 
 
+class Turns:
+    """A stateful stream that is stopped and goes on from its state with each turn's rows."""
+
+    def __init__(self, spark, path, schema, made, mode="append"):
+        self.spark, self.path, self.schema, self.made, self.mode, self.rows = spark, path, schema, made, mode, []
+
+    def turn(self, rows):
+        """The rows put out by this turn, and what the operator reports at its end."""
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(f"{self.path}/in")
+        before = len(self.rows)
+        stream = self.made(self.spark.readStream.schema(self.schema).parquet(f"{self.path}/in"))
+        query = stream.writeStream.foreachBatch(lambda batch, _: self.rows.extend(batch.collect())).outputMode(self.mode).option("checkpointLocation", f"{self.path}/log").trigger(availableNow=True).start()
+        assert query.awaitTermination(120), "the query doesn't end"
+        return self.rows[before:], query.lastProgress.stateOperators[0]
+
+
+def _at(minutes):
+    return datetime(2024, 1, 1) + timedelta(minutes=minutes)
+
+
+def test_files_that_stay_incomplete_are_given_up(spark, tmp_path):
+    turns = Turns(spark, str(tmp_path), "source_file string, chunk_index int, chunk_total int, payload binary, at timestamp", lambda c: streams.stream_reassemble(c, minutes=60, delay="5 minutes"))
+    found, _ = turns.turn([("a", 1, 2, b"y", _at(0)), ("b", 0, 2, b"p", _at(1)), ("c", 0, 1, b"q", _at(2)), ("c", 0, 1, b"q", _at(2))])
+    assert [(r.source_file, r.status, bytes(r.content)) for r in found] == [("c", "complete", b"q")]
+    found, state = turns.turn([("a", 0, 2, b"x", _at(50)), ("a", 1, 2, b"other", _at(50))])  # the first copy counts
+    assert [(r.source_file, r.status, bytes(r.content)) for r in found] == [("a", "complete", b"xy")]
+    found, _ = turns.turn([("d", 0, 2, b"z", _at(100))])  # b's last chunk is 99 minutes old
+    assert [(r.source_file, r.status, r.present, r.chunk_total, r.content) for r in found] == [("b", "missing", 1, 2, None)]
+    found, _ = turns.turn([("b", 1, 2, b"s", _at(99)), ("e", 0, 1, b"", _at(101)), ("a", 0, 2, b"x", _at(10))])  # b anew; a too late
+    assert [(r.source_file, r.status) for r in found] == [("e", "complete")]
+    found, last = turns.turn([("f", 0, 1, b"f", _at(500))])
+    assert sorted((r.source_file, r.status) for r in found) == [("b", "missing"), ("d", "missing"), ("f", "complete")]
+    assert last.numRowsTotal < state.numRowsTotal + 3  # only f is still known
+
+
+def test_idle_clients_are_forgotten(spark, tmp_path):
+    turns = Turns(spark, str(tmp_path), "client long, event_id long, ts timestamp", lambda r: streams.stream_rate_limit(r, 2, 60))
+    found, state = turns.turn([(k, 10 * k + n, _at(k / 100)) for k in range(100) for n in range(3)])
+    assert {r.event_id for r in found if r.admitted} == {10 * k + n for k in range(100) for n in range(2)}
+    many = state.numRowsTotal
+    found, _ = turns.turn([(99, 2000, _at(1.5)), (99, 2001, _at(2.1))])  # 0.99 + 1 minute is when both no longer count
+    assert [(r.event_id, r.admitted) for r in sorted(found)] == [(2000, False), (2001, True)]
+    found, state = turns.turn([(7, 3000, _at(500)), (8, 3001, _at(0))])  # the second is late
+    assert [(r.event_id, r.admitted) for r in found] == [(3000, True)]
+    assert state.numRowsTotal <= many / 20
+
+
+def test_jobs_start_anew_after_their_time(spark, tmp_path):
+    turns = Turns(spark, str(tmp_path), "job_id long, status string, ts timestamp", lambda e: streams.stream_job_status(e, 10, delay="1 minute"), "update")
+    plain = lambda rows: sorted((r.job_id, r.started, r.status, r.updated, r.closed) for r in rows)
+    found, _ = turns.turn([(1, "starting", _at(0)), (1, "working", _at(3)), (2, "starting", _at(4))])
+    assert plain(found) == [(1, _at(0), "working", _at(3), False), (2, _at(4), "starting", _at(4), False)]
+    found, _ = turns.turn([(1, "completed", _at(9)), (1, "starting", _at(10)), (2, "older", _at(3.5))])
+    assert plain(found) == [(1, _at(0), "completed", _at(9), True), (1, _at(10), "starting", _at(10), False), (2, _at(4), "starting", _at(4), False)]
+    found, state = turns.turn([(3, "starting", _at(90))])
+    assert plain(found) == [(3, _at(90), "starting", _at(90), False)] and state.numRowsTotal <= 6
+
+
 def test_rate_limit_is_that_of_batch(spark, data, tmp_path):
     rows = spark.read.parquet(f"{data}/events.parquet").select(F.col("user_id").alias("client"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     want = rate_limit(rows, 3, 86_400)
@@ -37,7 +97,7 @@ def test_rate_limit_is_that_of_batch(spark, data, tmp_path):
 
 def test_job_status(spark, data, tmp_path):
     rows = spark.read.parquet(f"{data}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-    found = _run(streams.stream_job_status(_stream(spark, rows, str(tmp_path / "j"))), "jobs", "update")
+    found = _run(streams.stream_job_status(_stream(spark, rows, str(tmp_path / "j")), delay="60 days"), "jobs", "update")
     last = found.groupBy("job_id").agg(F.max_by("status", "updated").alias("status"))
     assert {tuple(r) for r in last.collect()} == {(r.job_id, r.status) for r in latest_status(rows).collect()}
 
