@@ -2,9 +2,10 @@
 
 Texts are lower-cased (A-Z), split into pieces at ``.,;:!?`` and line ends and into words at blanks and
 tabs. Each word leads one window: its next three words within the piece, padded where the piece ends
-or where a word follows that is too rare for any candidate (a phrase is no more frequent than its
-words). Only these longest windows are counted; Spark's ROLLUP sums them over successively shorter
-prefixes, and each phrase has its count, since a phrase is a prefix of one window for each occurrence.
+or where a word or a pair follows that is too rare for any candidate (a phrase is no more frequent
+than what it holds; pairs are counted first, as windows of two). Only these longest windows are
+counted; Spark's ROLLUP sums them over successively shorter prefixes, and each phrase has its count,
+since a phrase is a prefix of one window for each occurrence.
 
 Null and empty texts have no words; a null language is ``und``, together with texts that say so.
 Repeated rows count again. Words of any bytes and any length are exact: they are compared as they are,
@@ -28,6 +29,8 @@ from archivist.llm.common import FEW, Words, small_batches, text_bytes, written
 LEAST, WITHIN, BEST = 30, 80, 2000
 #: Words that are sent to the tasks at once; more are looked up one part after another.
 AT_ONCE = 500_000
+#: Pairs that are sent to the tasks (8 MB); with more of them windows are not cut after rare pairs, which changes no count of a candidate.
+PAIRS = 1_000_000
 #: Windows that a task counts before they leave it.
 HELD = 1 << 20
 
@@ -85,14 +88,18 @@ def _numbered(words: DataFrame) -> DataFrame:
 # --- windows ----------------------------------------------------------------------------------
 
 
-def _leads(ids: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first two words, third word, fourth word) of the windows of two words and more; 0 is a pad."""
-    columns, goes_on = [ids], ids > 0
+def _ahead(values: np.ndarray, k: int) -> np.ndarray:
+    """Each place's value ``k`` places on; 0 after the last."""
+    return np.r_[values[k:], np.zeros(min(k, len(values)), values.dtype)]
+
+
+def _leads(ids: np.ndarray, linked: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first two words, third word, fourth word) of the windows of two words and more, padded by 0
+    after ``order`` words and after a word that isn't ``linked`` to the next."""
+    columns, goes_on = [ids], np.ones(len(ids), bool)
     for k in range(1, 4):
-        goes_on = goes_on & np.r_[follows[k - 1 :], np.zeros(min(k - 1, len(ids)), bool)]
-        lead = np.where(goes_on, np.r_[ids[k:], np.zeros(min(k, len(ids)), np.int64)], 0)
-        goes_on = lead > 0
-        columns.append(lead)
+        goes_on = goes_on & _ahead(linked, k - 1) if k < order else np.zeros(len(ids), bool)
+        columns.append(np.where(goes_on, _ahead(ids, k), 0))
     some = columns[1] > 0
     return (columns[0][some] << 32) | columns[1][some], columns[2][some], columns[3][some]
 
@@ -104,15 +111,15 @@ def _counted(pair: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return pair[new], tail[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def _look_up(rows: DataFrame, words: list, last: bool) -> DataFrame:
+def _look_up(rows: DataFrame, words: list, last: bool, order: int, pairs: np.ndarray | None) -> DataFrame:
     """``rows`` (text, lang, ids) with the ids of these words; at the last the windows' counts instead."""
     table: dict[str, dict[str, int]] = {}
     for r in words:
         table.setdefault(r.lang, {})[r.word] = r.id
-    sent = rows.sparkSession.sparkContext.broadcast(table)
+    sent = rows.sparkSession.sparkContext.broadcast((table, pairs))
 
     def numbered(batch: pa.RecordBatch) -> tuple[Pieces, np.ndarray]:
-        known, found = sent.value, Pieces(batch.column(0), batch.column(1))
+        known, found = sent.value[0], Pieces(batch.column(0), batch.column(1))
         ids = np.array([known.get(g, {}).get(w, 0) for g, w in zip(found.langs.to_pylist(), found.words.to_pylist(), strict=True)], np.int64)[found.of] if len(found.of) else np.zeros(0, np.int64)
         before = b"".join(batch.column(2).drop_null().to_pylist())
         return found, ids + np.frombuffer(before, "<i4") if before else ids
@@ -133,7 +140,12 @@ def _look_up(rows: DataFrame, words: list, last: bool) -> DataFrame:
 
         for batch in batches:
             found, ids = numbered(batch)
-            pair, third, fourth = _leads(ids, found.follows)
+            linked, pairs = found.follows & (ids > 0) & (_ahead(ids, 1) > 0), sent.value[1]
+            if pairs is not None:
+                both = (ids[linked] << 32) | _ahead(ids, 1)[linked]
+                place = np.searchsorted(pairs, both)
+                linked[linked] = pairs[np.minimum(place, len(pairs) - 1)] == both if len(pairs) else False
+            pair, third, fourth = _leads(ids, linked, order)
             held.append(_counted(pair, (third << 32) | fourth, np.ones(len(pair), np.int64)))
             size += len(held[-1][0])
             if size > HELD:
@@ -146,17 +158,29 @@ def _look_up(rows: DataFrame, words: list, last: bool) -> DataFrame:
     return written(rows.mapInArrow(add, "text string, lang string, ids binary"))
 
 
-def windows(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """pair (the first two words), third, fourth and n of the windows of ``words`` (lang, word, id);
+def windows(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang", order: int = 4, pairs: np.ndarray | None = None) -> DataFrame:
+    """pair (the first two words), third, fourth and n of the windows of up to ``order`` of ``words``
+    (lang, word, id), without words after a pair that isn't among ``pairs`` (sorted), if given.
+
     0 is a pad. A window can have several rows. Words are sent to the tasks ``AT_ONCE`` at most."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.lit(None).cast("binary").alias("ids"))
     parts = -(-words.count() // AT_ONCE) or 1
     for k in range(parts):
         mine = words if parts == 1 else words.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
-        rows = _look_up(rows, mine.select("lang", "word", "id").collect(), k == parts - 1)
+        rows = _look_up(rows, mine.select("lang", "word", "id").collect(), k == parts - 1, order, pairs)
     return rows
 
 
+def frequent_pairs(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> np.ndarray | None:
+    """The pairs of ``words`` that are as frequent as a candidate must be, sorted; None if these are
+    more than ``PAIRS``."""
+    sums = windows(docs, words, text, lang, 2).groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = written(sums.where(F.col("n") >= least).select("pair"))
+    if pairs.count() > PAIRS:
+        return None
+    return np.sort(np.array([r.pair for r in pairs.toLocalIterator()], np.int64))
+
+
 # --- phrases ----------------------------------------------------------------------------------
 
 
@@ -223,7 +247,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", best:
     small_batches(docs.sparkSession)
     every = written(vocabulary(docs, text, lang))
     words = written(_numbered(every.where(F.col("n") >= LEAST)))
-    found = written(phrases(windows(docs, words, text, lang)))
+    found = written(phrases(windows(docs, words, text, lang, pairs=frequent_pairs(docs, words, text, lang))))
     rows = written(outside_longer(scored(found, words)))
     names = _sent(words.select("id", "word", "lang"))
     for k, word in enumerate(_words_of()):

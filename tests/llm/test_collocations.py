@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,9 +38,10 @@ def _rows(seed):
     return [(text(), rng.choice(["en", "en", "de", None, "und"])) for _ in range(250)] + [(None, "en"), ("", None), (" ,. ", "fr"), ("x y " * 9000, "fr"), ("same words here", "it")] + [("same words here", "it")] * 40
 
 
-@pytest.mark.parametrize(("held", "at_once"), [(1 << 20, 500_000), (50, 4)])
-def test_against_brute_force(spark, monkeypatch, held, at_once):
-    """Also with windows counted in many turns, and words looked up in many parts."""
+@pytest.mark.parametrize(("held", "at_once", "pairs"), [(1 << 20, 500_000, 1_000_000), (50, 4, 1_000_000), (1 << 20, 500_000, 3)])
+def test_against_brute_force(spark, monkeypatch, held, at_once, pairs):
+    """Also with windows counted in many turns, words looked up in many parts, and rare pairs not cut."""
+    monkeypatch.setattr(collocations, "PAIRS", pairs)
     monkeypatch.setattr(collocations, "HELD", held)
     monkeypatch.setattr(collocations, "AT_ONCE", at_once)
     rows = _rows(at_once)
@@ -56,6 +58,8 @@ def test_windows_are_padded_and_counted_once(spark):
     words = spark.createDataFrame([("en", w, k + 1) for k, w in enumerate("abcde")], "lang string, word string, id long")
     rows = collocations.windows(docs, words).groupBy("pair", "third", "fourth").agg(F.sum("n").alias("n")).collect()
     split = lambda r: (r.pair >> 32, r.pair & 0xFFFFFFFF, r.third, r.fourth, r.n)
+    cut = collocations.windows(docs, words, pairs=np.array([(1 << 32) | 2, (2 << 32) | 3])).groupBy("pair", "third", "fourth").agg(F.sum("n").alias("n")).collect()
+    assert sorted(map(split, cut)) == [(1, 2, 0, 0, 1), (1, 2, 3, 0, 1), (2, 3, 0, 0, 1)]
     assert sorted(map(split, rows)) == [(1, 2, 0, 0, 1), (1, 2, 3, 4, 1), (2, 1, 0, 0, 1), (2, 3, 4, 5, 1), (3, 4, 5, 0, 1), (4, 5, 0, 0, 1)]
 
 
