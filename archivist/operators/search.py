@@ -7,14 +7,15 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from archivist.functions import text as T
 from archivist.functions import vectors as V
+from archivist.operators import cells
+from archivist.operators.cells import unit
+from archivist.sources.shared import shared_path
 
 
 def _literal(query: list[float]) -> Column:
@@ -54,89 +55,213 @@ def similar(frames: DataFrame, value: object, limit: int = 5, threshold: float =
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), key)))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
-    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+def _vectors(frames: DataFrame, key: str, vector: str) -> DataFrame:
+    return frames.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("d"))
 
 
-def batch_top_k(frames: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = 4096) -> DataFrame:
-    """query_id, rank, key and score: the k best rows for each of many queries, by matrix products.
+def _best(k: int | None):
+    """Of two blocks, of rows and of queries, each query's k best rows (or all of them)."""
 
-    Rows and queries are dealt to blocks by hash, each pair of blocks is one group, and each keeps
-    its k best for each query; so neither side has to fit one task, and nothing is broadcast.
-    Vectors meet those of equal length.
-    """
-    rows = frames.where(f"{vector} is not null").select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("d"))
-    asked = queries.where(f"{vector} is not null").select(F.col(query_key).alias("qid"), F.col(vector).alias("q"), F.size(vector).alias("d"))
-    n, m = math.ceil(rows.count() / block) or 1, math.ceil(asked.count() / block) or 1
-    spread = lambda k_: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k_ - 1).cast("long")))
-    left = rows.withColumns({"a": F.pmod(F.xxhash64("id"), F.lit(n)), "b": spread(m)})
-    right = asked.withColumns({"b": F.pmod(F.xxhash64("qid"), F.lit(m)), "a": spread(n)})
-
-    def best(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def run(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64", "score": "float64"})
         x = x.sort_values("id")
-        scores = _unit(q["q"]) @ _unit(x["v"]).T
+        scores = unit(q["q"]) @ unit(x["v"]).T
         order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(q["qid"].to_numpy(), order.shape[1]), "key": x["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
 
-    found = left.groupBy("a", "b", "d").cogroup(right.groupBy("a", "b", "d")).applyInPandas(best, "query_id long, key long, score double")
-    found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "key"))).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", F.col("key").alias(key), "score")
+    return run
+
+
+_HIT = "query_id long, key long, score double"
+
+
+def _met(rows: DataFrame, asked: DataFrame, k: int | None, turns: int) -> DataFrame:
+    """Hits of queries (qid, q, d, block) in blocks of rows (id, v, d, block); queries are dealt to ``turns`` parts."""
+    left = rows.select("id", "v", "d", "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    right = asked.select("qid", "q", "d", "block").withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(turns)).cast("int"))
+    return left.groupBy("block", "turn", "d").cogroup(right.groupBy("block", "turn", "d")).applyInPandas(_best(k), _HIT)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "key")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _to_blocks(asked: DataFrame, rows: cells.Placed) -> tuple[DataFrame, DataFrame]:
+    """Queries (with cell) once for each block of that cell, and the rows of cells that are asked."""
+    table = F.broadcast(rows.blocks)  # a row a cell
+    asked = asked.join(table, "cell").withColumn("block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)))
+    wanted = asked.select("cell").distinct()
+    return asked, rows.rows.join(F.broadcast(wanted), "cell", "left_semi")  # at most cells.CELLS
 
 
-def _block_pairs(frames: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    rows = frames.where(f"{vector} is not null").select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("d"))
-    n = math.ceil(rows.count() / block) or 1
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+def batch_top_k(frames: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = cells.BLOCK) -> DataFrame:
+    """query_id, rank, key and score: the k best rows for each of many queries, by matrix products.
+
+    Rows lie in cells, which are split into blocks, and a query first meets the blocks of its own cell.
+    With its kth score it goes to those other cells only that can hold a better one by the triangle
+    inequality; so neither side has to fit one task. Vectors meet those of equal length.
+    """
+    rows = cells.in_cells(_vectors(frames, key, vector), block, block)
+    asked = cells.kept(_vectors(queries, query_key, vector).select(F.col("id").alias("qid"), F.col("v").alias("q"), "d"), "queries")
+    turns = math.ceil(asked.count() / block) or 1
+    if rows.cells.count == 1:
+        found = _met(*reversed(_to_blocks(asked.withColumn("cell", F.lit(cells.ANY)), rows)), k, turns)
+    else:
+        near = cells.placed(asked.toDF("id", "v", "d"), rows.cells).select(F.col("id").alias("qid"), F.col("v").alias("q"), "d", F.col("cell"))
+        first = cells.kept(_ranked(_met(*reversed(_to_blocks(near, rows)), k, turns), k).drop("rank"), "nearest")
+        kth = first.groupBy(F.col("query_id").alias("qid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+        rest = _cells_left(near.join(kth, "qid", "left"), rows)
+        found = first.unionByName(_met(*reversed(_to_blocks(rest, rows)), k, turns))
+    return _ranked(found, k).select("query_id", "rank", F.col("key").alias(key), "score")
+
+
+def _cells_left(asked: DataFrame, rows: cells.Placed) -> DataFrame:
+    """Queries (qid, q, d, cell, kth) once for each other cell that can hold one of their k best."""
+    place, radius, there = rows.cells, rows.radius, rows.parts > 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, some in batch.groupby("d"):
+                least = np.full((len(some), place.count), 0.0)  # of the angle to a cell's vectors
+                if d in place.centroids:
+                    at = slice(place.first[d], place.first[d] + len(place.centroids[d]))
+                    angles, good = place.angles(some["q"], d)
+                    least[:, at] = np.where(good[:, None], np.maximum(angles - radius[at] - cells.SLACK, 0), 0)
+                kth = some["kth"].fillna(-2.0).to_numpy()[:, None]
+                go = (np.cos(least) + 1e-9 >= kth) & there & (np.arange(place.count) != some["cell"].to_numpy()[:, None])
+                row, cell = np.nonzero(go)
+                yield pd.DataFrame({"qid": some["qid"].to_numpy()[row], "q": some["q"].to_numpy()[row], "d": d, "cell": cell.astype("int32")})
+
+    kinds = dict(asked.dtypes)
+    return asked.mapInPandas(run, f"qid {kinds['qid']}, q {kinds['q']}, d int, cell int")
 
 
 def _pairs_in(threshold: float, out: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
-        unit, own = _unit(rows["v"]), rows["own"].to_numpy()
+        x, own = unit(rows["v"]), rows["own"].to_numpy()
         i, j, s = [], [], []
         for at in range(0, len(rows), 512):
-            scores = unit[at : at + 512] @ unit.T
+            scores = x[at : at + 512] @ x.T
             near = (np.round(scores, 9) >= threshold) & (np.arange(len(rows)) > np.arange(at, at + len(scores))[:, None])
             if key[0] != key[1]:
                 near &= own[at : at + 512, None] != own
-            x, y = np.nonzero(near)
-            i, j, s = [*i, x + at], [*j, y], [*s, scores[x, y]]
+            a, b = np.nonzero(near)
+            i, j, s = [*i, a + at], [*j, b], [*s, scores[a, b]]
         return out(rows, *(np.concatenate(z) if z else np.zeros(0, int) for z in (i, j, s)))
 
     return run
 
 
-def similarity_join(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+def _joined(frames: DataFrame, threshold: float, key: str, vector: str, block: int, out: Callable, schema: str) -> DataFrame:
+    rows = cells.in_cells(_vectors(frames, key, vector), block, block)
+    return cells.block_pairs(rows, threshold - 1e-9).groupBy("a", "b", "d").applyInPandas(_pairs_in(threshold, out), schema)
+
+
+def similarity_join(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = cells.BLOCK) -> DataFrame:
     """All pairs (left_id, right_id, score) with left_id < right_id and score >= threshold: exact, by
-    matrix products of pairs of blocks."""
+    matrix products of the pairs of blocks that can hold one."""
     out = lambda rows, i, j, s: pd.DataFrame({"left_id": rows["id"].to_numpy()[i], "right_id": rows["id"].to_numpy()[j], "score": s.astype(float)})
-    return _block_pairs(frames, key, vector, block).groupBy("a", "b", "d").applyInPandas(_pairs_in(threshold, out), "left_id long, right_id long, score double")
+    return _joined(frames, threshold, key, vector, block, out, "left_id long, right_id long, score double")
 
 
-def neighbour_counts(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+def neighbour_counts(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = cells.BLOCK) -> DataFrame:
     """(key, neighbours) of every row: how many others score the threshold; pairs aren't expanded."""
 
     def out(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pd.DataFrame:
         n = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
         return pd.DataFrame({"id": rows["id"].to_numpy(), "n": n})
 
-    found = _block_pairs(frames, key, vector, block).groupBy("a", "b", "d").applyInPandas(_pairs_in(threshold, out), "id long, n long")
-    return found.groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("neighbours"))
+    found = _joined(frames, threshold, key, vector, block, out, "id long, n long")
+    every = _vectors(frames, key, vector).select("id", F.lit(0).cast("long").alias("n"))  # also of cells that meet none
+    return found.unionByName(every).groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("neighbours"))
+
+
+# --- inverted file ------------------------------------------------------------------------------
 
 
-def ann_search(frames: DataFrame, queries: DataFrame, k: int = 6, radius: float = 2.0, bucket: float = 0.5, tables: int = 8, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors, scored exactly."""
-    unit = lambda df: df.withColumn("_n", V.norm(F.col(vector))).withColumn("_f", array_to_vector(V.scaled(F.col(vector), F.col("_n")))).drop("_n")
-    x, q = unit(frames.select(key, vector)), unit(queries.select(query_key, vector))
-    model = BucketedRandomProjectionLSH(inputCol="_f", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=3).fit(x)
-    met = model.approxSimilarityJoin(q, x, radius, "_d")
-    rows = met.select(F.col(f"datasetA.{query_key}").alias(query_key), F.col(f"datasetB.{key}").alias(key), V.cosine(F.col(f"datasetA.{vector}"), F.col(f"datasetB.{vector}")).alias("score"))
-    return rank_hits(rows, query_key, key).where(F.col("rank") <= k)
+def ann_save(frames: DataFrame, path: str, n_cells: int | None = None, key: str = "vec_id", vector: str = "embedding") -> None:
+    """An inverted file below ``path``: vectors partitioned by cell, and the cells' centroids.
+
+    Centroids are fitted on at most ``cells.SAMPLE`` vectors; all are stored. By default there are
+    twice as many cells as the square root of the rows, up to ``cells.CELLS``.
+    """
+    vectors = cells.kept(_vectors(frames, key, vector), "vectors")
+    made = cells.fitted(vectors, n_cells or max(2, min(cells.CELLS, round(2 * math.sqrt(vectors.count())))))
+    rows = cells.placed(vectors, made).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+    rows.repartition("cell", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")  # up to 16 files a cell
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/schema")  # without rows there is no other file
+    table = [(d, [float(x) for x in c]) for d, cs in made.centroids.items() for c in cs]
+    frames.sparkSession.createDataFrame(table, "d int, centroid array<double>").coalesce(1).sortWithinPartitions("d").withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/cells")
+
+
+class AnnIndex:
+    """An inverted file that `ann_save` has written."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.rows = spark.read.schema(spark.read.parquet(f"{path}/schema").schema).parquet(f"{path}/vectors")
+        found: dict[int, list] = {}
+        for r in spark.read.parquet(f"{path}/cells").orderBy("place").collect():  # at most cells.CELLS or so
+            found.setdefault(r.d, []).append(r.centroid)
+        self.cells = cells.Cells.of({d: np.array(c) for d, c in found.items()})
+
+    def probed(self, queries: DataFrame, probes: int, query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+        """Queries (qid, q, d) once for each of the ``probes`` nearest cells, and for the cell of any vector."""
+        place = self.cells
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for d, some in batch.groupby("d"):
+                    near = np.full((len(some), 1), cells.ANY)
+                    if d in place.centroids:
+                        near = np.hstack([near, place.angles(some["q"], d)[0].argsort(axis=1, kind="stable")[:, :probes] + place.first[d]])
+                    n = near.shape[1]
+                    yield pd.DataFrame({"qid": np.repeat(some["qid"].to_numpy(), n), "q": some["q"].to_numpy()[np.repeat(np.arange(len(some)), n)], "d": d, "cell": near.ravel().astype("int32")})
+
+        asked = _vectors(queries, query_key, vector).select(F.col("id").alias("qid"), F.col("v").alias("q"), "d")
+        kinds = dict(asked.dtypes)
+        return asked.mapInPandas(run, f"qid {kinds['qid']}, q {kinds['q']}, d int, cell int")
+
+    def read(self, wanted: list[int]) -> DataFrame:
+        """The rows of these cells; no others are read."""
+        return self.rows.where(F.col("cell").isin(wanted))
+
+    def search(self, queries: DataFrame, k: int = 6, probes: int = 8, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = cells.BLOCK) -> DataFrame:
+        """query_id, key, score and rank of the k best rows among those in the cells nearest to a query."""
+        asked = cells.kept(self.probed(queries, probes, query_key, vector), "probes")
+        wanted = sorted(r.cell for r in asked.select("cell").distinct().collect())  # cells
+        rows = self.read(wanted)
+        sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        sizes = F.broadcast(cells.kept(sizes, "sizes"))  # a row a cell
+        part = lambda n: F.struct("cell", n.cast("int").alias("part"))
+        rows = rows.drop("part").join(sizes, "cell").withColumn("block", part(F.pmod(F.xxhash64("id"), F.col("parts"))))
+        asked = asked.join(sizes, "cell").withColumn("n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", part(F.col("n")))
+        turns = math.ceil(queries.count() / block) or 1
+        return _ranked(_met(rows, asked, k, turns), k).select("query_id", F.col("key").alias(key), "score", "rank")
+
+    def probes_for(self, recall: float = 0.95, k: int = 6, queries: int = 64) -> int:
+        """The fewest probes by which ``queries`` stored vectors, chosen by hash, find this share of their
+        k nearest; these are found exactly, and no more than ``queries`` x k rows come to the driver."""
+        some = cells.kept(self.rows.where(F.col("cell") != cells.ANY).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(queries).select(F.col("id").alias("query_id"), "v", "d"), "sample")
+        true = batch_top_k(self.rows.select("id", "v"), some, k + 1, "id", "v").where("query_id <> id").join(self.rows.select("id", F.col("cell").alias("of")), "id")
+        asked = {r.query_id: (r.v, r.d) for r in some.collect()}
+        places = []
+        for r in true.collect():
+            v, d = asked[r.query_id]
+            order = self.cells.angles(pd.Series([v]), d)[0][0].argsort(kind="stable") + self.cells.first[d]
+            places.append(0 if r.of == cells.ANY else int(np.flatnonzero(order == r.of)[0]) + 1)
+        return max(1, int(np.quantile(places, recall, method="higher"))) if places else 1
+
+
+def ann_search(frames: DataFrame, queries: DataFrame, k: int = 6, recall: float = 0.95, n_cells: int | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+    """Approximate neighbours from an inverted file made for it, with as many cells read a query as
+    ``recall`` asks for, scored exactly."""
+    path = shared_path(frames.sparkSession, "cells")
+    ann_save(frames, path, n_cells, key, vector)
+    index = AnnIndex(frames.sparkSession, path)
+    return index.search(queries, k, index.probes_for(recall, k), key, vector, query_key)
 
 
 def rank_hits(hits: DataFrame, query: str = "query_id", key: str = "vec_id") -> DataFrame:
@@ -144,13 +269,14 @@ def rank_hits(hits: DataFrame, query: str = "query_id", key: str = "vec_id") ->
     return hits.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.col("score").desc(), key)))
 
 
-def score_all(frames: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
-    """Every query's score with every row; the queries are a few given ones, checked to be so."""
-    few = queries.select(query_key, F.col(vector).alias("_q")).limit(1001)
-    if few.count() > 1000:
-        raise ValueError("more than 1000 queries: use batch_top_k")
-    rows = frames.select(key, vector).join(F.broadcast(few))
-    return rows.select(query_key, key, V.cosine(F.col(vector), F.col("_q")).alias("score"))
+def score_all(frames: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = cells.BLOCK) -> DataFrame:
+    """Every query's score with every row of its length, block by block."""
+    rows = cells.kept(_vectors(frames, key, vector), "vectors")
+    asked = cells.kept(_vectors(queries, query_key, vector).select(F.col("id").alias("qid"), F.col("v").alias("q"), "d"), "queries")
+    n, turns = (math.ceil(x.count() / block) or 1 for x in (rows, asked))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return _met(rows, asked, None, turns).toDF(query_key, key, "score")
 
 
 # --- keywords ---------------------------------------------------------------------------------

@@ -165,6 +165,20 @@ def v12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ann_search(frames, queries).withColumn("score", F.round("score", 6))
 
 
+@_query("""SELECT q.vec_id AS query_id, f.vec_id, round(list_cosine_similarity(f.embedding::double[], q.embedding::double[]), 6) AS score
+FROM embeddings f, embeddings q WHERE q.vec_id % 100 = 0""")
+def j1_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _read(spark, sf_dir, "embeddings")
+    queries = frames.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.score_all(frames, queries).withColumn("score", F.round("score", 6))
+
+
+@_query("""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS score
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.35""")
+def v11_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.similarity_join(_read(spark, sf_dir, "embeddings"), 0.35).withColumn("score", F.round("score", 6))
+
+
 _HASHED = """words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents),
 c AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int AS b, count(*)::double AS n FROM words WHERE w <> '' GROUP BY ALL),
 norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)"""
