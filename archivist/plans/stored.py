@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from archivist.functions import vectors as V
 from archivist.functions.registry import TextExtractors, register_search
 from archivist.operators import chunking, documents, search, versions
+from archivist.operators.keywords import KeywordIndex, keyword_save
 from archivist.plans import pipelines
 from archivist.plans.registry import ORACLES, _CHUNKS, _DAMAGED, _FILES, _SNAPSHOTS, _VERSIONS, _damaged, _files, _query, _read, _requests, _snapshots, _versions
 from archivist.sources import archive
@@ -173,6 +174,34 @@ def u2_upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("id", "status", "event_id")
 
 
+# --- keywords from stored postings ------------------------------------------------------------
+
+
+def _keywords(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    path = shared_path(spark, "keywords")
+    docs = _read(spark, sf_dir, "documents")
+    keyword_save(docs.where("doc_id % 3 <> 0"), path)
+    keyword_save(docs.where("doc_id % 3 = 0"), path, mode="append")
+    return KeywordIndex(spark, path)
+
+
+@_query(ORACLES["l2_keyword_rank"])
+def l2_keyword_rank_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keywords(spark, sf_dir).rank("License").select("doc_id", "occurrences", "words", F.round("relevance", 9).alias("relevance"))
+
+
+@_query(ORACLES["l3_t13_snippets"])
+def l3_snippets_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keywords(spark, sf_dir).snippets("license").select("doc_id", "match_start", "snippet")
+
+
+@_query("SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substring(b.text, 5, 14)))")
+def t9_find_all_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that contain a few characters of a benchmark text, for all of these."""
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 5, 14).alias("query"))
+    return _keywords(spark, sf_dir).find_all(queries)
+
+
 # --- vectors and plug-ins ---------------------------------------------------------------------
 
 
