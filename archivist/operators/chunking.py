@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from archivist.functions.text import file_digest, human_size, with_mime
+from archivist.operators.ordered import running_total
 
 #: Bytes of a chunk that are kept free for its record.
 OVERHEAD = 200
@@ -45,12 +46,12 @@ def chunk(files: DataFrame, content: str = "content", chunk_size: int = 2800) ->
 def frame_numbers(chunks: DataFrame, archive: str = "archive_id", file: str = "source_file") -> DataFrame:
     """Adds frame_number: consecutive over the chunks of an archive, from 0.
 
-    The number of a file's first frame comes from the chunk counts of the files before it, so an
-    archive's chunks needn't meet in one task.
+    The number of a file's first frame is the number of chunks in the files before it, summed within
+    ranges of files and over the ranges before; neither an archive's chunks nor its files need meet in
+    one task.
     """
-    files = chunks.groupBy(archive, file).agg(F.max("chunk_total").alias("_n"))
-    before = W.partitionBy(archive).orderBy(file)
-    files = files.select(archive, file, (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    files = chunks.groupBy(archive, file).agg(F.max("chunk_total").cast("long").alias("_n"))
+    files = running_total(files, archive, file, "_n", "_before")
     return chunks.join(files, [archive, file]).withColumn("frame_number", (F.col("_before") + F.col("chunk_index")).cast("long")).drop("_before")
 
 

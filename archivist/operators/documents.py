@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from archivist.functions import text as T
+from archivist.operators.cells import kept
+from archivist.operators.ordered import in_segments
 
 
 def append(log: DataFrame, rows: DataFrame) -> DataFrame:
@@ -91,29 +93,38 @@ def admit(times: list[int], admitted: list[int], limit: int, span: int) -> tuple
 
 
 def rate_limit(requests: DataFrame, limit: int = 60, seconds: int = 60, client: str = "client", ts: str = "ts", key: str = "event_id") -> DataFrame:
-    """client, key, ts and admitted. Only admitted requests count, so each depends on all before it:
-    a client's requests are read in order, a few at a time, and only the times that still count are
-    kept, however many requests a client makes."""
+    """client, key, ts and admitted. Only admitted requests count, so each depends on those before it,
+    but no longer once a client has made none for ``seconds``: between such gaps its requests are
+    segments, which are worked on apart. Segments of no more than ``limit`` are admitted whole; a larger
+    one is read in order, a few requests at a time, and only the times that still count are kept."""
     rows = requests.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    rows = rows.withColumn("_at", F.unix_micros("ts"))
+    rows = in_segments(rows.withColumn("_at", F.unix_micros("ts")), "client", "_at", "key", seconds * 1_000_000)
+    large = rows.groupBy("client", "segment").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    large = kept(large.select(F.col("client").alias("_client"), F.col("segment").alias("_segment")), "segments")
+    same = F.col("client").eqNullSafe(F.col("_client")) & (F.col("segment") == F.col("_segment"))
 
-    def run(batches):
-        state: dict = {}
-        now = None
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, admitted = None, []
         for batch in batches:
-            out = batch[["client", "key", "ts"]].copy()
-            flags = []
-            for who, part in batch.groupby("client", sort=False):
-                if who != now:
-                    state, now = {who: []}, who
-                ok, state[who] = admit(part["_at"].tolist(), state[who], limit, seconds * 1_000_000)
-                flags.append(pd.Series(ok, index=part.index))
-            out["admitted"] = pd.concat(flags) if flags else []
-            yield out
-
-    dealt = rows.repartition("client").sortWithinPartitions("client", "_at", "key")
-    out = dealt.mapInPandas(run, "client long, key long, ts timestamp, admitted boolean")
-    return out.select(F.col("client").alias(client), F.col("key").alias(key), F.col("ts").alias(ts), "admitted")
+            who = batch["client"].astype(object).where(batch["client"].notna(), None)
+            names = list(zip(who.tolist(), batch["range"].tolist(), batch["number"].tolist(), strict=True))
+            times, flags, at = batch["_at"].tolist(), [], 0
+            while at < len(names):
+                end = at + 1
+                while end < len(names) and names[end] == names[at]:
+                    end += 1
+                if names[at] != now:
+                    now, admitted = names[at], []
+                ok, admitted = admit(times[at:end], admitted, limit, seconds * 1_000_000)
+                flags += ok
+                at = end
+            yield batch[["client", "key", "ts"]].assign(admitted=flags)
+
+    busy = rows.join(large, same, "left_semi").select("client", "key", "ts", "_at", "segment.range", "segment.number")
+    dealt = busy.repartition("client", "range", "number").sortWithinPartitions("client", "range", "number", "_at", "key")
+    judged = dealt.mapInPandas(run, "client long, key long, ts timestamp, admitted boolean")
+    free = rows.join(large, same, "left_anti").select("client", "key", "ts", F.lit(True).alias("admitted"))
+    return judged.unionByName(free).select(F.col("client").alias(client), F.col("key").alias(key), F.col("ts").alias(ts), "admitted")
 
 
 def latest_status(events: DataFrame, job: str = "job_id", terminal: tuple[str, ...] = ("completed", "failed"), minutes: int = 10) -> DataFrame:

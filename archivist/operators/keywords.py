@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import IntegerType
 
 from archivist.functions import text as T
 from archivist.operators import search
 from archivist.operators.cells import kept
+from archivist.sources import partitioned
 
 #: Characters of a gram at most.
 GRAM = 3
@@ -64,18 +64,14 @@ def keyword_save(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         parts, buckets = min(PARTS, blocks), min(BUCKETS, blocks)
         spark.createDataFrame([(parts, buckets, key, text)], "parts int, buckets int, key string, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/made")
 
-    def save(rows: DataFrame, name: str, folder: str, *order: str) -> None:
-        rows.limit(0).drop(folder).write.mode("overwrite").parquet(f"{path}/schemas/{name}")  # without rows there is no other file
-        spread = F.pmod(F.xxhash64(order[0]), F.lit(16))  # up to 16 files a folder
-        rows.repartition(folder, spread).sortWithinPartitions(folder, *order).write.mode(mode).partitionBy(folder).parquet(f"{path}/{name}")
-
-    save(docs.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "documents", "_part", key)
+    partitioned.save(docs.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), f"{path}/documents", "_part", key, key, mode=mode)
     rows = docs.select(F.col(key).alias("id"), grams_of(F.lower(text)).alias("grams"))
     rows = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode("grams").alias("gram"))
     postings = rows.groupBy("gram", "block").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # of a block's documents
     postings = kept(postings.withColumn("bucket", _bucket(F.col("gram"), buckets)), "postings")
-    save(postings, "postings", "bucket", "gram")
-    save(postings.groupBy("bucket", "gram").agg(F.sum(F.size("ids")).alias("n")), "counts", "bucket", "gram")
+    counts = postings.groupBy("bucket", "gram").agg(F.sum(F.size("ids")).alias("n"))
+    for rows, name in ((postings, "postings"), (counts, "counts")):
+        partitioned.save(rows, f"{path}/{name}", "bucket", "gram", "gram", mode=mode)
 
 
 class KeywordIndex:
@@ -84,11 +80,7 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         made = spark.read.parquet(f"{path}/made").first()
         self.spark, self.parts, self.buckets, self.key, self.text = spark, made.parts, made.buckets, made.key, made.text
-
-        def read(name: str, folder: str) -> DataFrame:
-            return spark.read.schema(spark.read.parquet(f"{path}/schemas/{name}").schema.add(folder, IntegerType())).parquet(f"{path}/{name}")
-
-        self.documents, self.postings, self.counts = read("documents", "_part"), read("postings", "bucket"), read("counts", "bucket")
+        self.documents, self.postings, self.counts = (partitioned.load(spark, f"{path}/{name}") for name in ("documents", "postings", "counts"))
 
     def _lowered(self, query: str) -> str:
         return self.spark.range(1).select(F.lower(F.lit(query))).first()[0]  # by the same rules as texts

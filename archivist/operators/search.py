@@ -15,6 +15,7 @@ from archivist.functions import text as T
 from archivist.functions import vectors as V
 from archivist.operators import cells
 from archivist.operators.cells import unit
+from archivist.sources import partitioned
 from archivist.sources.shared import shared_path
 
 
@@ -190,9 +191,7 @@ def ann_save(frames: DataFrame, path: str, n_cells: int | None = None, key: str
     """
     vectors = cells.kept(_vectors(frames, key, vector), "vectors")
     made = cells.fitted(vectors, n_cells or max(2, min(cells.CELLS, round(2 * math.sqrt(vectors.count())))))
-    rows = cells.placed(vectors, made).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
-    rows.repartition("cell", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")  # up to 16 files a cell
-    rows.limit(0).write.mode("overwrite").parquet(f"{path}/schema")  # without rows there is no other file
+    partitioned.save(cells.placed(vectors, made), f"{path}/vectors", "cell", "id")
     table = [(d, [float(x) for x in c]) for d, cs in made.centroids.items() for c in cs]
     frames.sparkSession.createDataFrame(table, "d int, centroid array<double>").coalesce(1).sortWithinPartitions("d").withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/cells")
 
@@ -201,7 +200,7 @@ class AnnIndex:
     """An inverted file that `ann_save` has written."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.rows = spark.read.schema(spark.read.parquet(f"{path}/schema").schema).parquet(f"{path}/vectors")
+        self.rows = partitioned.load(spark, f"{path}/vectors")
         found: dict[int, list] = {}
         for r in spark.read.parquet(f"{path}/cells").orderBy("place").collect():  # at most cells.CELLS or so
             found.setdefault(r.d, []).append(r.centroid)
@@ -236,7 +235,7 @@ class AnnIndex:
         sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
         sizes = F.broadcast(cells.kept(sizes, "sizes"))  # a row a cell
         part = lambda n: F.struct("cell", n.cast("int").alias("part"))
-        rows = rows.drop("part").join(sizes, "cell").withColumn("block", part(F.pmod(F.xxhash64("id"), F.col("parts"))))
+        rows = rows.join(sizes, "cell").withColumn("block", part(F.pmod(F.xxhash64("id"), F.col("parts"))))
         asked = asked.join(sizes, "cell").withColumn("n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", part(F.col("n")))
         turns = math.ceil(queries.count() / block) or 1
         return _ranked(_met(rows, asked, k, turns), k).select("query_id", F.col("key").alias(key), "score", "rank")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from archivist.operators.cells import kept
+from archivist.operators.ordered import last_value
 from archivist.operators.search import batch_top_k
+from archivist.sources import partitioned
 
 FRAME = ("memory_id", "frame")
 
@@ -37,10 +40,10 @@ def version_stats(versions: DataFrame, memory: str = "memory_id") -> DataFrame:
 
 
 def as_of(versions: DataFrame, requests: DataFrame, bases: DataFrame | None = None, memory: str = "memory_id") -> DataFrame:
-    """For each request (memory, as_of) the file of the greatest version up to it, else the base's."""
-    met = requests.join(versions.select(memory, "version", "file"), memory, "left")
-    at = F.when(F.col("version") <= F.col("as_of"), F.struct("version", "file"))
-    out = met.groupBy(memory, "as_of").agg(F.max(at).alias("m")).select(memory, "as_of", F.col("m.version").alias("version"), F.col("m.file").alias("file"))
+    """For each different request (memory, as_of) the file of the greatest version up to it, else the
+    base's. Versions and requests are merged in order; no request meets all versions of its memory."""
+    rows = versions.select(memory, F.col("version").alias("as_of"), F.struct("version", "file").alias("found"))
+    out = last_value(rows, requests, memory, "as_of", "found").select(memory, "as_of", F.col("found.version").alias("version"), F.col("found.file").alias("file"))
     if bases is None:
         return out
     return out.join(bases.select(memory, "base_file"), memory, "left").withColumn("file", F.coalesce("file", "base_file")).drop("base_file")
@@ -92,18 +95,108 @@ def reconstruct(base: DataFrame, ops: DataFrame, version: int) -> DataFrame:
     return rows.select(*FRAME, pick("new_hash", "hash").alias("hash"), pick("payload", "payload").alias("payload"))
 
 
+def history_save(base: DataFrame, ops: DataFrame, path: str, every: int = 100) -> None:
+    """Snapshots of every ``every``-th version, and the operations since each, partitioned by ``span``.
+    Versions count from 1; the base is version 0."""
+    _history(_as_ops(base, 0), kept(ops, "ops"), ops.limit(0), path, every, 0, "overwrite")
+
+
+def history_append(spark: SparkSession, path: str, ops: DataFrame) -> None:
+    """Adds operations of later versions; snapshots that these complete come from the last one."""
+    every, last = _made(spark, path)
+    since = partitioned.load(spark, f"{path}/ops").where(F.col("span") == last).select(*ops.columns)
+    _history(_as_ops(_snapshot(spark, path, last), last * every), kept(ops, "ops"), kept(since, "since"), path, every, last + 1, "append")
+
+
+def _as_ops(frames: DataFrame, version: int) -> DataFrame:
+    return frames.select(*FRAME, F.lit(version).alias("version"), F.lit("insert").alias("type"), F.col("hash").alias("new_hash"), "payload")
+
+
+def _history(first: DataFrame, ops: DataFrame, since: DataFrame, path: str, every: int, begin: int, mode: str) -> None:
+    """Writes ``ops``, and the snapshots from number ``begin`` on, of ``first`` and all operations after it.
+
+    All snapshots come from one pass: what an operation makes of a frame holds until the frame's next
+    operation, and is in the snapshots between.
+    """
+    spans = ops.withColumn("span", F.floor((F.col("version") - 1) / every).cast("int"))
+    partitioned.save(spans, f"{path}/ops", "span", "frame", "version", mode=mode)
+    latest = max((ops.agg(F.max("version")).first()[0] or 0) // every, begin if mode == "overwrite" else begin - 1)
+    rows = first.unionByName(since.unionByName(ops).select(*first.columns))
+    until = F.lead("version").over(W.partitionBy(*FRAME).orderBy("version"))
+    rows = rows.withColumn("from", F.greatest(F.ceil(F.col("version") / every), F.lit(begin)).cast("int"))
+    rows = rows.withColumn("upto", F.coalesce(F.ceil(until / every) - 1, F.lit(latest)).cast("int")).where("type <> 'delete' and from <= upto")
+    rows = rows.select(*FRAME, F.col("new_hash").alias("hash"), "payload", F.explode(F.sequence("from", "upto")).alias("span"))
+    partitioned.save(rows, f"{path}/snapshots", "span", "frame", mode=mode)
+    first.sparkSession.createDataFrame([(every, latest)], "every int, latest int").coalesce(1).write.mode(mode).parquet(f"{path}/made")
+
+
+def _made(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Versions a span, and the number of the last snapshot."""
+    return tuple(spark.read.parquet(f"{path}/made").agg(F.max("every"), F.max("latest")).first())
+
+
+def _snapshot(spark: SparkSession, path: str, span: int) -> DataFrame:
+    return partitioned.load(spark, f"{path}/snapshots").where(F.col("span") == span).drop("span")
+
+
+def history_at(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The frames of every memory at a version, from the snapshot before it and the operations since:
+    other partitions aren't read."""
+    every, latest = _made(spark, path)
+    span = min(version // every, latest)
+    since = partitioned.load(spark, f"{path}/ops").where((F.col("span") == span) & (F.col("version") > span * every)).drop("span")
+    return reconstruct(_snapshot(spark, path, span), since, version)
+
+
 def time_travel_search(base: DataFrame, ops: DataFrame, version: int, queries: DataFrame, embedding: Callable[[DataFrame], DataFrame], k: int = 5, query_key: str = "query_id") -> DataFrame:
-    """query_id, rank, memory_id, frame and score: the k frames nearest to each query (query_key,
-    embedding) among those that every memory has at ``version``.
+    """`frame_search` of the frames that every memory has at ``version``."""
+    return frame_search(reconstruct(base, ops, version), queries, embedding, k, query_key)
+
+
+def frame_search(frames: DataFrame, queries: DataFrame, embedding: Callable[[DataFrame], DataFrame], k: int = 5, query_key: str = "query_id", key: Column | None = None) -> DataFrame:
+    """query_id, rank, memory_id, frame and score: the k frames nearest to each query (query_key, embedding).
 
     ``embedding`` gets the frames (key, memory_id, frame, payload) and returns key and embedding, or
-    null or nothing for frames that aren't to be found. Ties go to the smaller key, a hash of the frame.
+    null or nothing for frames that aren't to be found. Ties go to the smaller key, by default a hash of
+    the frame.
     """
-    frames = reconstruct(base, ops, version).withColumn("key", F.xxhash64(*FRAME))
+    frames = frames.withColumn("key", F.xxhash64(*FRAME) if key is None else key)
     found = batch_top_k(embedding(frames).select("key", "embedding"), queries, k, "key", "embedding", query_key)
     return found.join(frames.select("key", *FRAME), "key").select(query_key, "rank", *FRAME, "score")
 
 
+# --- snapshots with digests ---------------------------------------------------------------------
+
+
+def snapshot_save(snapshot: DataFrame, path: str, buckets: int = 256) -> None:
+    """``snapshot`` (memory_id, frame, hash, payload) partitioned by bucket, and of each bucket the number
+    of its rows and two sums of hashes of them, which don't depend on their order."""
+    rows = kept(snapshot.withColumn("bucket", F.pmod(F.xxhash64(*FRAME), F.lit(buckets)).cast("int")), "snapshot")
+    partitioned.save(rows, f"{path}/rows", "bucket", "frame")
+    one = lambda seed: F.sum(F.xxhash64(F.lit(seed), *FRAME, "hash").cast("decimal(38,0)"))
+    sums = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), one(1).alias("one"), one(2).alias("two"))
+    sums.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/digests")
+
+
+def changed_buckets(spark: SparkSession, old: str, new: str) -> list[int]:
+    """The buckets in which two stored snapshots differ."""
+    a, b = (spark.read.parquet(f"{path}/digests") for path in (old, new))
+    if a.select("buckets").unionByName(b.select("buckets")).distinct().count() > 1:
+        raise ValueError("the snapshots are stored in different numbers of buckets")
+    row = F.struct("n", "one", "two")
+    both = a.select("bucket", row.alias("a")).join(b.select("bucket", row.alias("b")), "bucket", "full_outer")
+    return sorted(r.bucket for r in both.where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket").collect())  # at most all buckets
+
+
+def stored_diff(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """`snapshot_diff` of two snapshots that `snapshot_save` has written; buckets with equal digests
+    aren't read."""
+    wanted = changed_buckets(spark, old, new)
+
+    rows = lambda path: partitioned.load(spark, f"{path}/rows").where(F.col("bucket").isin(wanted)).drop("bucket")
+    return snapshot_diff(rows(old), rows(new))
+
+
 def diff_report(ops: DataFrame) -> DataFrame:
     return ops.select(*FRAME, "type", F.left("old_hash", F.lit(16)).alias("old"), F.left("new_hash", F.lit(16)).alias("new"))
 

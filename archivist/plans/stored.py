@@ -4,6 +4,7 @@ over versions; imported by `archivist.plans.registry`."""
 from __future__ import annotations
 
 import base64
+import functools
 import gzip
 import uuid
 from collections.abc import Callable, Iterator
@@ -285,6 +286,61 @@ def r7_time_travel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+#: Operations of 40 versions: in each, a fifth of the frames is replaced and a few are deleted.
+_LONG = """ops AS (SELECT conv_id AS memory_id, turn AS frame, v AS version, CASE WHEN k = 3 THEN 'delete' ELSE 'replace' END AS type, CASE WHEN k <> 3 THEN text || ' v' || v END AS payload
+FROM (SELECT *, (conv_id * 7 + turn * 3 + v) % 11 AS k FROM conversations, unnest(range(1, 41)) AS u(v)) WHERE k IN (3, 5, 8)),
+every_op AS (SELECT * FROM ops UNION ALL SELECT conv_id, turn, 0, 'insert', text FROM conversations),
+state AS (SELECT asked, memory_id, frame, arg_max(type, version) AS type, arg_max(coalesce(payload, ''), version) AS payload FROM every_op, unnest([0, 7, 20, 33]) AS a(asked) WHERE version <= asked GROUP BY ALL)"""
+
+
+def _history(spark: SparkSession, sf_dir: str) -> str:
+    """The base and 25 versions are stored first, the others are appended; a snapshot every tenth version."""
+    path = shared_path(spark, "history")
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("memory_id"), F.col("turn").alias("frame"), F.sha2("text", 256).alias("hash"), F.col("text").alias("payload"))
+    ops = rows.withColumn("version", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("k", (F.col("memory_id") * 7 + F.col("frame") * 3 + F.col("version")) % 11).where("k in (3, 5, 8)")
+    ops = ops.withColumn("type", F.when(F.col("k") == 3, "delete").otherwise("replace"))
+    ops = ops.withColumn("payload", F.when(F.col("k") != 3, F.concat("payload", F.lit(" v"), F.col("version").cast("string")))).withColumn("new_hash", F.sha2("payload", 256))
+    ops = ops.select("memory_id", "frame", "version", "type", "new_hash", "payload")
+    versions.history_save(rows, ops.where("version <= 25"), path, 10)
+    versions.history_append(spark, path, ops.where("version > 25"))
+    return path
+
+
+@_query(f"WITH {_LONG} SELECT asked, memory_id, frame, sha256(payload) AS hash FROM state WHERE type <> 'delete'")
+def r5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _history(spark, sf_dir)
+    found = [versions.history_at(spark, path, v).select(F.lit(v).alias("asked"), "memory_id", "frame", "hash") for v in (0, 7, 20, 33)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@_query(f"""WITH {_LONG}, frames AS (SELECT memory_id, frame, payload FROM state WHERE asked = 33 AND type <> 'delete'),
+fw AS (SELECT memory_id, frame, {_WORDS.format("payload")} FROM frames), f AS (SELECT memory_id, frame, {_BUCKET} AS b, count(*)::double AS n FROM fw WHERE w <> '' GROUP BY ALL),
+qw AS (SELECT item_id, {_WORDS.format("text")} FROM benchmark), q AS (SELECT item_id, {_BUCKET} AS b, count(*)::double AS n FROM qw WHERE w <> '' GROUP BY ALL),
+fn AS (SELECT memory_id, frame, sqrt(sum(n * n)) AS norm FROM f GROUP BY ALL), qn AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM q GROUP BY ALL),
+s AS (SELECT item_id, memory_id, frame, sum(f.n * q.n) AS dot FROM f JOIN q USING (b) GROUP BY ALL),
+r AS (SELECT item_id, memory_id, frame, dot / fn.norm / qn.norm AS score FROM s JOIN fn USING (memory_id, frame) JOIN qn USING (item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, memory_id, frame) AS rank FROM r)
+SELECT item_id AS query_id, rank::int AS rank, memory_id, frame, round(score, 6) AS score FROM k WHERE rank <= 3""")
+def r7_history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames nearest to each benchmark text among those of version 33."""
+    queries = search.hash_embed(_read(spark, sf_dir, "benchmark"), 64, "text", "item_id").withColumnRenamed("item_id", "query_id")
+    frames = versions.history_at(spark, _history(spark, sf_dir), 33)
+    found = versions.frame_search(frames, queries, lambda rows: search.hash_embed(rows, 64, "payload", "key"), 3, key=F.col("memory_id") * 1_000_000 + F.col("frame"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "memory_id", "frame", F.round("score", 6).alias("score"))
+
+
+@_query("""SELECT conv_id AS memory_id, turn AS frame, 'replace' AS type, sha256(text) AS old_hash, sha256(text || '!') AS new_hash, text || '!' AS payload FROM conversations WHERE conv_id % 50 = 7 AND turn = 2
+UNION ALL SELECT conv_id, turn, 'delete', sha256(text), NULL, NULL FROM conversations WHERE conv_id % 50 = 9 AND turn = 1""")
+def j6_stored_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two stored snapshots, which differ in a few frames."""
+    paths = [shared_path(spark, f"snapshot-{k}") for k in "ab"]
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("memory_id"), F.col("turn").alias("frame"), F.col("text").alias("payload"))
+    new = rows.where("not (memory_id % 50 = 9 and frame = 1)").withColumn("payload", F.when(F.expr("memory_id % 50 = 7 and frame = 2"), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    for snapshot, path in zip((rows, new), paths, strict=True):
+        versions.snapshot_save(snapshot.withColumn("hash", F.sha2("payload", 256)), path)
+    return versions.stored_diff(spark, *paths)
+
+
 # --- streams: all that is there, as micro-batches, into the shared folder ---------------------
 
 
