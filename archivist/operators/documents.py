@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from archivist.functions import text as T
 from archivist.operators.cells import kept
 from archivist.operators.ordered import in_segments
+from archivist.sources import partitioned
 
 
 def append(log: DataFrame, rows: DataFrame) -> DataFrame:
@@ -32,6 +33,36 @@ def upsert(docs: DataFrame, rows: DataFrame, key: str = "id", newest: str = "upd
     return good, every.where(bad)
 
 
+def documents_save(docs: DataFrame, path: str, buckets: int = 64, key: str = "id", newest: str = "updated_at") -> DataFrame:
+    """Stores ``docs`` in buckets by key, of each id the last row, and returns the rejects of `upsert`."""
+    good, bad = upsert(docs.limit(0), docs, key, newest)
+    partitioned.save(good.withColumn("_bucket", _bucket(key, buckets)), path, "_bucket", key, key)
+    docs.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}-made")
+    return bad
+
+
+def documents_load(spark: SparkSession, path: str) -> DataFrame:
+    return partitioned.load(spark, path).drop("_bucket")
+
+
+def stored_upsert(rows: DataFrame, path: str, key: str = "id", newest: str = "updated_at") -> DataFrame:
+    """`upsert` of ``rows`` into stored documents, and their rejects: only buckets that have one of the
+    rows' ids are read, and written anew; the other files stay as they are."""
+    spark = rows.sparkSession
+    buckets = spark.read.parquet(f"{path}-made").first().buckets
+    rows = kept(rows, "rows")
+    touched = [r[0] for r in rows.where(F.col(key).isNotNull()).select(_bucket(key, buckets)).distinct().collect()]  # at most all buckets
+    good, _ = upsert(partitioned.load(spark, path).where(F.col("_bucket").isin(touched)).drop("_bucket"), rows, key, newest)
+    good = kept(good.withColumn("_bucket", _bucket(key, buckets)), "good")  # before what it is read from goes
+    dealt = good.repartition("_bucket", F.pmod(F.xxhash64(key), F.lit(partitioned.FILES))).sortWithinPartitions("_bucket", key)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    return upsert(rows.limit(0), rows, key, newest)[1]
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def delete(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """``docs`` without those ids; an id that isn't there is an error."""
     missing = ids.join(docs.select(key), key, "left_anti")

@@ -20,6 +20,7 @@ from archivist.operators.keywords import KeywordIndex, keyword_save
 from archivist.plans import pipelines
 from archivist.plans.registry import ORACLES, _CHUNKS, _DAMAGED, _FILES, _SNAPSHOTS, _VERSIONS, _damaged, _files, _query, _read, _requests, _snapshots, _versions
 from archivist.sources import archive
+from archivist.sources.files import write_files
 from archivist.sources.shared import shared_path
 from archivist.streaming import streams
 
@@ -118,6 +119,16 @@ def s10_extract_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad.select("archive_id", "source_file", "status", F.lit(None).cast("string").alias("content_hash")))
 
 
+@_query(f"""WITH {_DAMAGED}, s AS (SELECT archive_id, source_file, file_hash, any_value(chunk_total) AS total, count(DISTINCT chunk_index) AS have FROM damaged GROUP BY ALL)
+SELECT archive_id, source_file, CASE WHEN total = have THEN file_hash END AS content_hash FROM s""")
+def s10_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete files written chunk by chunk, and read again; the others have no content."""
+    path = shared_path(spark, "files-out")
+    bad = write_files(_damaged(spark, sf_dir), path)
+    good = archive.corpus_scan(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("archive_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), F.sha2("content", 256).alias("content_hash"))
+    return good.unionByName(bad.select("archive_id", "source_file", F.lit(None).cast("string").alias("content_hash")))
+
+
 # --- chunks, lookups, documents ---------------------------------------------------------------
 
 
@@ -168,11 +179,13 @@ def u1_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id""")
 def u2_upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the events are stored before the others come."""
+    """Half of the events are stored in buckets; the others come in two turns, the second to few of these."""
     rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("updated_at"), "event_id", F.col("event_type").alias("status"))
-    stored, _ = documents.upsert(rows.limit(0), rows.where("event_id % 2 = 0"))
-    good, _ = documents.upsert(stored, rows.where("event_id % 2 <> 0"))
-    return good.select("id", "status", "event_id")
+    path = shared_path(spark, "upserts")
+    documents.documents_save(rows.where("event_id % 2 = 0"), path, 32)
+    for part in ("event_id % 2 <> 0 and id % 100 <> 7", "event_id % 2 <> 0 and id % 100 = 7"):
+        documents.stored_upsert(rows.where(part), path)
+    return documents.documents_load(spark, path).select("id", "status", "event_id")
 
 
 # --- keywords from stored postings ------------------------------------------------------------
