@@ -51,6 +51,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 MARKED = 0.02
 #: The share of the content paths' text that a container holds to be the article or around it.
 NEARLY_ALL = 0.8
+#: The share that an element which says that it is an article holds to be it, whatever stands beside it.
+MOST = 0.5
 #: A start tag of the key ends an open element of these names, up to the nearest of the last list.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -92,6 +94,20 @@ class _Node:
         self.path = paths.setdefault((up.path, tag, name), len(paths) + 1) if tag in BLOCK else up.path
 
 
+#: Numeric references with more digits than any character has; leading zeros count no value.
+_LONG = re.compile(r"&#(?:([xX])([0-9a-fA-F]{8,})|([0-9]{8,}))")
+
+
+def decoded(raw: str) -> str:
+    """``raw`` with character references decoded once; a number beyond all characters is U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[2] or m[3]).lstrip("0") or "0"
+        return f"&#{m[1] or ''}{digits}" if len(digits) <= 7 else "&#xFFFD"
+
+    return html.unescape(_LONG.sub(short, raw) if "&#" in raw else raw)
+
+
 class _Block:
     __slots__ = ("linked", "node", "parts", "text")
 
@@ -103,12 +119,10 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, str]:
     """Whether an element can't be content, whether its role or name says that it isn't, and its
     classes and id with numbers as one sign. A name is a class or id of only such words."""
     never, marked, names = tag in NEVER, tag == "form", []
-    if "=" in attributes or "hidden" in attributes:
+    if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                never |= tag not in ("html", "body")
-            elif name == "role":
+            if name == "role":
                 marked |= value.lower() in ROLES
             elif name in ("class", "id"):
                 for part in value.split():
@@ -186,7 +200,7 @@ def blocks_of(page: str) -> list[_Block]:
         if start < at:  # within what was passed over
             continue
         if start > at:
-            text(html.unescape(page[at:start]))
+            text(decoded(page[at:start]))
         at = end
         if not tag:
             if page.startswith("<![CDATA[", start):
@@ -227,7 +241,7 @@ def blocks_of(page: str) -> list[_Block]:
         opened[tag] += 1
         links += tag == "a"
     if at < size:
-        text(html.unescape(page[at:]))
+        text(decoded(page[at:]))
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in blocks if b.text]
@@ -298,6 +312,10 @@ def main_text(page: str | None) -> str:
             held[box.parent.box] += held[box]
             inner[box.parent.box][box] = True
     top, total = order[0], held[order[0]]
+    articles = [box for box in order if box.tag == "article"]
+    largest = max(articles, key=held.__getitem__, default=None)
+    if largest is not None and held[largest] > MOST * total:
+        top = largest
     while top.tag != "article":
         best = max(inner[top], key=held.__getitem__, default=None)
         if best is None or held[best] < NEARLY_ALL * total:
@@ -361,7 +379,8 @@ def html_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     Null and empty pages and pages without content have an empty text; repeated rows are extracted
-    alike; broken markup is read as far as it goes; other columns are ignored.
+    alike; broken markup is read as far as it goes; very long pages are read whole, in time that grows
+    with their length; other columns are ignored.
     """
     small_batches(pages.sparkSession)
     found = pages.select("page_id", "url", extract(F.col("html")).alias("x"))

@@ -69,3 +69,20 @@ def test_empty_table_and_clashing_names(spark):
     assert htmltext.html_text(spark.createDataFrame([], kind)).count() == 0
     found = htmltext.html_text(spark.createDataFrame([(1, "u", "<p>a b</p>", "t", "n", "x")] * 2, kind)).collect()
     assert [tuple(r) for r in found] == [(1, "u", "a b", 3)] * 2
+
+
+@pytest.mark.parametrize(("reference", "text"), [("&#" + "9" * 5000 + ";", "�"), ("&#x" + "f" * 5000 + ";", "�"), ("&#" + "0" * 5000 + "65;", "A"), ("&#X" + "0" * 5000 + "41", "A"), ("&#000000038;lt;", "&lt;"), ("&#99999999", "�"), ("&#" + "0" * 9 + ";", "�")])
+def test_long_character_references(reference, text):
+    assert htmltext.main_text(f"<article><p>One {reference} two, three and four.</p></article>") == f"One {text} two, three and four."
+
+
+def test_a_comment_beside_a_short_article_goes():
+    article = "A short article, that says two or three things, and ends. " * 4
+    page = f"<body><div><article><h1>Title</h1><p>{article}</p></article><div><p>Great, thanks for this, I read it twice, and will come again; bye.</p></div></div></body>"
+    assert htmltext.main_text(page) == f"Title {article.strip()}"
+
+
+def test_hidden_text_stays():
+    """Nothing is dropped but what the list of what isn't the article names."""
+    page = "<article><p>One sentence, and another.</p><p hidden>Two sentences, and more.</p><p style='display:none' aria-hidden=true>Three, and four.</p></article>"
+    assert htmltext.main_text(page) == "One sentence, and another. Two sentences, and more. Three, and four."
