@@ -48,6 +48,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+#: Words that name a license: a block that lacks one of a template's doesn't match it, however like it it is.
+NAMING = frozenset("affero apache boost cc cc0 commons creative eclipse gnu lesser mozilla".split())
+
+
 def _hashed(text: str) -> np.ndarray:
     return alnum_words().of(pa.array([text]))[0]
 
@@ -125,7 +129,9 @@ def _scan(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str
             )
 
     index = [np.searchsorted(vocabulary, s).tolist() for s in sets]
-    return run, index, spans
+    naming = np.concatenate([_hashed(w) for w in sorted(NAMING)])
+    named = [np.searchsorted(vocabulary, s[np.isin(s, naming)]).tolist() for s in sets]
+    return run, index, spans, named
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -134,11 +140,12 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Sequ
     ``labels`` are those of the phrases found and of all templates that a block matches; ``score``
     is 1 if a phrase is found, else the largest containment of a matching block, else 0. Null and
     empty texts have no words and no labels; very long texts are scanned whole; repeated rows are found
-    alike; an empty table gives an empty result; other columns are ignored, whatever their names. Templates and phrases are short lists that go to every task; the words of all
-    templates together are what is counted over the corpus.
+    alike; an empty table gives an empty result; other columns are ignored, whatever their names. Templates
+    and phrases are short lists that go to every task; the words of all templates together are what is
+    counted over the corpus. Of a template the words that name a license must all be in the block.
     """
     small_batches(docs.sparkSession)
-    run, index, spans = _scan(phrases, templates, threshold)
+    run, index, spans, named = _scan(phrases, templates, threshold)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<block: long, span: int, tokens: array<int>>>"
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = written(plain.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
@@ -150,8 +157,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Sequ
     for k, ((label, _), tokens) in enumerate(zip(templates, index, strict=True)):
         need = math.ceil(threshold * len(tokens) - 1e-9)
         line = sorted(rank[t] for t in tokens)
-        prefixes += [(r, spans[k], at, k, label, line, need) for at, r in enumerate(line[: len(line) - need + 1])]
-    known = spark.createDataFrame(prefixes, "token int, span int, t_at int, template int, label string, line array<int>, need int")
+        names = [rank[t] for t in named[k]]
+        prefixes += [(r, spans[k], at, k, label, line, need, names) for at, r in enumerate(line[: len(line) - need + 1])]
+    known = spark.createDataFrame(prefixes, "token int, span int, t_at int, template int, label string, line array<int>, need int, names array<int>")
     order = F.array(*[F.lit(rank[t]) for t in sorted(rank)]) if rank else F.array().cast("array<int>")
     ordered = blocks.withColumn("ranks", F.array_sort(F.transform("tokens", lambda t: F.element_at(order, t + 1))))
     probes = ordered.select("row", "block", "span", "ranks", F.posexplode("ranks").alias("b_at", "token"))
@@ -163,7 +171,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Sequ
     )
     pairs = met.dropDuplicates(["row", "block", "span", "template"])
     share = F.size(F.array_intersect("ranks", "line")) / t_size
-    found = pairs.withColumn("share", share).where(F.col("share") >= threshold - 1e-9)
+    found = pairs.withColumn("share", share).where((F.col("share") >= threshold - 1e-9) & (F.size(F.array_except("names", "ranks")) == 0))
     found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     full = rows.drop("blocks").join(found, "row", "left")
     none = F.array().cast("array<string>")

@@ -17,8 +17,9 @@ def _brute(text, threshold=0.8):
         own = _words(template)
         wanted, span = set(own), math.ceil(len(own) / threshold - 1e-9)
         for k in range(len(words)):
-            share = len(wanted & set(words[k : k + span])) / len(wanted)
-            if share >= threshold - 1e-9:
+            block = set(words[k : k + span])
+            share = len(wanted & block) / len(wanted)
+            if share >= threshold - 1e-9 and (wanted & licenses.NAMING) <= block:
                 labels.add(label)
                 best = max(best, share)
     return labels, best
@@ -46,3 +47,29 @@ def test_clashing_names_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "MIT License", "x")] * 2 + [(None, None, "y")], "doc_id long, text string, row string").withColumns({c: F.lit(0) for c in ("blocks", "token", "score")})
     found = sorted(licenses.scan(docs).collect(), key=str)
     assert [(r.doc_id, r.labels, r.score) for r in found] == [(1, "mit", 1.0)] * 2 + [(None, "", 0.0)]
+
+
+HEADERS = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl,lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    "agpl,gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+    "boost": "Distributed under the Boost Software License, Version 1.0.",
+    "apache": "Licensed under the Apache License, Version 2.0 (the License)",
+}
+OTHERS = [
+    "Licensed under the Educational Community License, Version 2.0",
+    "Distributed under the Artistic Software License, Version 1.0",
+    "This program and the accompanying materials are made available under the terms of the Common Public License v1.0",
+    "This Source Code Form is subject to the terms of the Netscape Public License, v. 1.1.",
+    "Licensed under XY BY-NC 4.0",
+]
+
+
+def test_licenses_that_look_alike(spark):
+    """Each header has its own labels only (and the base label of the phrase that it holds); other
+    licenses' headers have none."""
+    rows = [(k, text) for k, text in enumerate([*HEADERS.values(), *OTHERS])]
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k] for k in range(len(rows))] == [*HEADERS, *([""] * len(OTHERS))]
