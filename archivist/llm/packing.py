@@ -26,8 +26,6 @@ from archivist.llm.common import small_batches, written
 #: Where the tokenizer's own rules on white space or case could differ from str.split and str.lower.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _KEPT = 150_000
-#: The generation in which the packing in order of length joins.
-GREEDY = 3
 
 
 # The rules of the tokenizer whose texts can be cut at white space.
@@ -190,20 +188,20 @@ def least_bins(lengths: np.ndarray, size: int) -> int:
     return max(-(-int(lengths.sum()) // size), int((2 * lengths > size).sum()))
 
 
-def evolve(lengths: np.ndarray, size: int, seed: int, guests: list[Packing], population: int = 4, generations: int = 16) -> Packing:
+def evolve(lengths: np.ndarray, size: int, seed: int, guests: list[Packing], population: int = 4, generations: int = 16, greedy: bool = True) -> Packing:
     """The best packing after ``generations``; earlier, if no packing can have fewer bins. The first
-    packings put the items in random order; what makes them better are crossovers, in which after a few
-    generations a packing in order of length takes part."""
+    packings put the items in order of length (``greedy``) or in random order; where the first of these
+    has more bins than the bound, crossovers make them better."""
     rng, least = np.random.default_rng(seed), least_bins(lengths, size)
     none, empty = np.full(len(lengths), -1), np.zeros(0, np.int64)
     people = list(guests)
     if people and len(min(people, key=lambda p: len(p.fill)).fill) <= least:
         return min(people, key=lambda p: p.worth(size))
-    while len(people) < population:
+    if greedy and not people:
+        people.append(best_fit(lengths, size, np.argsort(-lengths, kind="stable"), none, empty))
+    while len(people) < population and len(people[0].fill if people else lengths) > least:
         people.append(best_fit(lengths, size, rng.permutation(len(lengths)), none, empty))
-    for turn in range(generations):
-        if turn == GREEDY:
-            people.append(best_fit(lengths, size, np.argsort(-lengths, kind="stable"), none, empty))
+    for _ in range(generations):
         people.sort(key=lambda p: p.worth(size))
         if len(people[0].fill) <= least:
             break
