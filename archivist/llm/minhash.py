@@ -9,6 +9,7 @@ the threshold is passed over, and nearly all others are. Links are confirmed on
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from archivist.llm.common import mix64, packed, rows_with, shingles, small_batches, space_words, unpacked, written
 from archivist.llm.components import components
@@ -191,11 +193,41 @@ def _stars(met: DataFrame) -> DataFrame:
     return times.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+#: Numbers of nodes that are a document's second set, or a later one, begin here; ids of documents are below.
+SECOND = 1 << 62
+_SET = ["n_shingles", "h1", "h2"]
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """A row for each different set: id, own and text_hash (of the first document that has it), keys and
+    sketch. The id is that document's, or a number of its own where that has several such sets."""
+    own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("own")
+    nodes = signed.where("n_shingles > 0").groupBy(*_SET).agg(own, F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = nodes.where("own is not null").select(*_SET, F.col("own.doc_id").alias("own"), "own.text_hash", "keys", "sketch")
+    nodes = written(nodes.withColumn("id", F.col("own")))
+    several = nodes.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own")
+    if several.isEmpty():
+        return nodes
+    mine = rows_with(nodes, several, ["own"])
+    place = F.row_number().over(W.partitionBy("own").orderBy(*_SET))  # sets of one document
+    number = F.when(place == 1, F.col("own")).otherwise(F.lit(SECOND) + F.pmod(F.xxhash64(*_SET), F.lit(1 << 61)))
+    return written(nodes.join(several, "own", "left_anti").unionByName(mine.withColumn("id", number)))
+
+
+def _same_document(signed: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of documents that have several rows."""
+    rows = rows_with(signed.where("n_shingles > 0").select("doc_id", *_SET), repeated, ["doc_id"])
+    met = written(rows.distinct().join(nodes.select(*_SET, "id"), _SET).select("doc_id", "id"))
+    return met.join(met.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union, on full sets."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    texts = rows_with(docs, wanted, ["id"]).dropDuplicates(["id"])
-    sets = written(texts.select("id", "text").mapInArrow(_sets(width), "id long, items array<long>"))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = written(nodes.join(wanted, "id", "left_semi").select("id", F.col("own").alias("doc_id"), "text_hash"))
+    rows = rows_with(docs, texts.select("doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    rows = rows.join(texts, ["doc_id", "text_hash"])
+    sets = written(rows.select("id", "text").mapInArrow(_sets(width), "id long, items array<long>"))
     first, second = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -206,9 +238,10 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id and kept of every row of ``docs``.
 
     Texts that are null or without words have no shingles and link with nothing. Rows with equal
-    sets are always linked. Rows with the same key are one document, linked by any of its texts. A row without key belongs to the component of documents with the same
-    set and isn't kept if there are any. An empty table gives an empty result, very long texts are
-    taken whole, other columns are ignored.
+    sets are always linked. Rows with the same key are one document, which is linked by any of its
+    texts; in whatever order rows come, results are the same. A row without key belongs to the component
+    of documents with the same set and isn't kept if there are any. An empty table gives an empty result,
+    very long texts are taken whole, other columns are ignored.
 
     The chance that a pair at similarity s shares no band is (1 - s^5)^24, below 8e-7 at 0.85.
     In large buckets every row is first compared with one other. Then all pairs of a bucket that lie
@@ -216,27 +249,32 @@ def labelled(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     connect each block, then all that still lie between different components.
     """
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = written(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sign(width), _SIGNED))
-    same = ["n_shingles", "h1", "h2"]
-    nodes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes.where("id is not null"))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    signed = written(plain.select("doc_id", "text", "text_hash").mapInArrow(_sign(width), _SIGNED))
+    nodes = _nodes(signed)
+    repeated = written(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    again = not repeated.isEmpty()
     met = written(_met(nodes.select("id", F.col("n_shingles").alias("n"), "keys", "sketch")))
     threshold = percent / 100
     groups = max(1, -(-(met.agg(F.sum(F.size("buckets"))).first()[0] or 0) // GROUP))
-    links, comps, star = None, None, written(_stars(met))
+    links = [written(_same_document(signed, nodes, repeated))] if again else []
+    star = written(_stars(met))
     if not star.isEmpty():
-        links = written(_confirmed(star, plain, width, percent))
-        comps = components(links)
-    more = written(_confirmed(written(_candidates(met, comps, threshold, True, groups)), plain, width, percent))
-    links = more if links is None else links.unionByName(more)
-    comps = components(links)
-    more = written(_confirmed(written(_candidates(met, comps, threshold, False, groups)), plain, width, percent))
+        links.append(written(_confirmed(star, plain, nodes, width, percent)))
+    comps = components(functools.reduce(DataFrame.unionByName, links)) if links else None
+    links.append(written(_confirmed(written(_candidates(met, comps, threshold, True, groups)), plain, nodes, width, percent)))
+    comps = components(functools.reduce(DataFrame.unionByName, links))
+    more = written(_confirmed(written(_candidates(met, comps, threshold, False, groups)), plain, nodes, width, percent))
     if not more.isEmpty():
-        comps = components(links.unionByName(more))
-    labels = nodes.join(comps, "id", "left").select(*same, F.coalesce("component_id", "id").alias("component_id"))
-    rows = signed.select("doc_id", "text_hash", *same).join(labels, same, "left")
+        comps = components(functools.reduce(DataFrame.unionByName, [*links, more]))
+    labels = nodes.join(comps, "id", "left").select(*_SET, F.coalesce("component_id", "id").alias("component_id"))
+    rows = signed.select("doc_id", "text_hash", *_SET).join(labels, _SET, "left")
     component = F.coalesce("component_id", "doc_id")
+    if again:  # a document's texts without words go with its others
+        rows = written(rows)
+        least = rows_with(rows, repeated, ["doc_id"]).groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        rows = rows.join(least, "doc_id", "left")
+        component = F.coalesce("least", "component_id", "doc_id")
     return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
