@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from archivist.functions import vectors as V
 from archivist.functions.registry import TextExtractors, register_search
-from archivist.operators import chunking, documents, search, versions
+from archivist.operators import chunking, documents, rag, search, versions
 from archivist.operators.keywords import KeywordIndex, keyword_save
 from archivist.plans import pipelines
-from archivist.plans.registry import ORACLES, _CHUNKS, _DAMAGED, _FILES, _SNAPSHOTS, _VERSIONS, _damaged, _files, _query, _read, _requests, _snapshots, _versions
+from archivist.plans.registry import _CHUNKS, _DAMAGED, _FILES, _HASHED, _SNAPSHOTS, _VERSIONS, ORACLES, _damaged, _files, _query, _read, _requests, _snapshots, _versions
 from archivist.sources import archive
 from archivist.sources.files import write_files
 from archivist.sources.shared import shared_path
@@ -28,10 +28,10 @@ from archivist.streaming import streams
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
-    """A file for each source below a shared path, with a line a document."""
+    """Four files for each source below a shared path, with a line a document."""
     path = shared_path(spark, "files")
-    docs = _read(spark, sf_dir, "documents").select("source", F.translate("text", "\n", " ").alias("value"))
-    docs.repartition("source").write.partitionBy("source").text(path)
+    docs = _read(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 4).alias("part"), F.translate("text", "\n", " ").alias("value"))
+    docs.repartition("source", "part").write.partitionBy("source", "part").text(path)
     return path
 
 
@@ -39,7 +39,8 @@ def _source() -> Column:
     return F.regexp_extract("path", "source=([^/]*)/", 1)
 
 
-_TEXT_FILES = "f AS (SELECT source AS archive_id, sum(strlen(text) + 1)::bigint AS length FROM documents GROUP BY source)"
+_TEXT_FILES = """p AS (SELECT source AS archive_id, doc_id % 4 AS part, sum(strlen(text) + 1)::bigint AS length FROM documents GROUP BY source, part),
+f AS (SELECT archive_id, sum(length)::bigint AS length, sum(ceil(length / 2600.0))::bigint AS chunks FROM p GROUP BY archive_id)"""
 
 
 @_query(f"WITH {_TEXT_FILES} SELECT archive_id, length FROM f")
@@ -241,6 +242,28 @@ def v1_f1_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.element_at("embedding", 1).cast("double").alias("size"), F.element_at("embedding", 2).cast("double").alias("blanks"))
 
 
+@_query(f"""WITH {_FILES}, {_HASHED} SELECT archive_id AS memory_id, source_file, b AS bucket, round(c.n / norm, 6) AS value, 64 AS vector_dim
+FROM files JOIN c USING (doc_id) JOIN norms USING (doc_id)""")
+def v6_index_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of the embeddings of an index that was built, saved and loaded."""
+    files = _files(spark, sf_dir).withColumns({"chunk_index": F.lit(0), "chunk_total": F.lit(1)})
+    rows = chunking.frame_numbers(files).withColumnsRenamed({"archive_id": "memory_id", "content": "payload"})
+    vectors = search.hash_embed(rows, 64, "payload", "doc_id")
+    frames, meta = search.build_index(rows, lambda df: df.join(vectors, "doc_id"))
+    path = shared_path(spark, "index")
+    archive.index_save(frames, path)
+    found = spark.read.parquet(path).withColumn("memory_id", F.col("memory_id").cast("string")).join(meta.select("memory_id", "vector_dim"), "memory_id")
+    found = found.select("memory_id", "source_file", F.posexplode("embedding").alias("bucket", "value"), "vector_dim").where("value <> 0")
+    return found.withColumn("value", F.round("value", 6))
+
+
+@_query("SELECT conv_id, turn, sha256(length(text) || ' characters: ' || text) AS response_hash, NULL::varchar AS error FROM conversations")
+def p6_completion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as prompts, by a client that can be seen to have got them."""
+    done = rag.complete(_read(spark, sf_dir, "conversations"), lambda prompts: [f"{len(p)} characters: {p}" for p in prompts], "text")
+    return done.select("conv_id", "turn", F.sha2("response", 256).alias("response_hash"), "error")
+
+
 @_query(f"""WITH {_FILES} SELECT source_file, CASE WHEN source_file LIKE '%.png' THEN sha256(strlen(content) || ' bytes')
 WHEN source_file LIKE '%.txt' OR source_file LIKE '%.md' OR source_file LIKE '%.csv' OR source_file LIKE '%.html' THEN sha256(content) END AS text_hash FROM files""")
 def f2_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +394,7 @@ def _stream(rows: DataFrame, name: str, files: int = 3) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@_query(f"WITH {_TEXT_FILES} SELECT archive_id, ceil(length / 2600.0)::bigint AS chunks, length AS bytes FROM f")
+@_query(f"WITH {_TEXT_FILES} SELECT archive_id, chunks, length AS bytes FROM f")
 def x1_stream_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _run(streams.stream_chunks(streams.stream_files(spark, _text_files(spark, sf_dir))).select(F.col("source_file").alias("path"), "chunk_index", "payload"), "chunks")
     return rows.groupBy(_source().alias("archive_id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("payload")).alias("bytes"))
