@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivist.functions.text import file_digest, with_mime
+from archivist.operators.cells import kept
 from archivist.operators.chunking import chunk, decrypt, encrypt, frame_numbers, payload_size
 from archivist.operators.integrity import FILE, completeness, dedup_chunks, reassemble
 
@@ -13,10 +14,11 @@ from archivist.operators.integrity import FILE, completeness, dedup_chunks, reas
 def convert(files: DataFrame, chunk_size: int = 2800, password: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, contents) of files (archive_id, source_file, content): binary, or text as characters.
 
-    With a password contents are encrypted before hashing, as binary.
+    With a password contents are encrypted before hashing, as binary, and written once: they would be
+    sealed in another way each time that they are read.
     """
     size = payload_size(chunk_size)
-    rows = encrypt(files, "content", password) if password else files
+    rows = kept(encrypt(files, "content", password), "sealed") if password else files
     rows = with_mime(rows, "source_file").withColumn("encrypted", F.lit(password is not None))
     contents = rows.select("archive_id", F.col("source_file").alias("name"), "mime_type", F.octet_length("content").cast("long").alias("size_bytes"), file_digest(F.col("content")).alias("hash"), F.ceil(F.length("content") / size).cast("int").alias("total"))
     chunks = chunk(rows, "content", chunk_size).withColumn("chunk_hash", F.sha2("payload", 256))
