@@ -192,8 +192,8 @@ def ann_save(frames: DataFrame, path: str, n_cells: int | None = None, key: str
     vectors = cells.kept(_vectors(frames, key, vector), "vectors")
     made = cells.fitted(vectors, n_cells or max(2, min(cells.CELLS, round(2 * math.sqrt(vectors.count())))))
     partitioned.save(cells.placed(vectors, made), f"{path}/vectors", "cell", "id")
-    table = [(d, [float(x) for x in c]) for d, cs in made.centroids.items() for c in cs]
-    frames.sparkSession.createDataFrame(table, "d int, centroid array<double>").coalesce(1).sortWithinPartitions("d").withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/cells")
+    table = [(k, d, [float(x) for x in c]) for k, (d, c) in enumerate((d, c) for d, cs in made.centroids.items() for c in cs)]
+    frames.sparkSession.createDataFrame(table, "place int, d int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
 
 
 class AnnIndex:
