@@ -191,8 +191,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
 
-    An empty table gives an empty result; repeated rows are scored alike; other columns of ``docs``
-    are ignored.
+    An empty table gives an empty result; repeated rows are scored alike; very long texts are read whole;
+    rows without id are not held out; other columns of ``docs`` are ignored, whatever their names.
     """
     model = train(docs)
     found = docs.select("doc_id", is_held_out().alias("held_out"), identify(docs, model).alias("p"))
