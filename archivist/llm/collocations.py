@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z), split into pieces at ``.,;:!?`` and line ends and i
 tabs. Each word leads one window: its next three words within the piece, padded where the piece ends
 or where a word or a pair follows that is too rare for any candidate (a phrase is no more frequent
 than what it holds; pairs are counted first, as windows of two). Only these longest windows are
-counted; Spark's ROLLUP sums them over successively shorter prefixes, and each phrase has its count,
-since a phrase is a prefix of one window for each occurrence.
+counted; Spark's ROLLUP sums them over their shorter prefixes, and each phrase has its count, since a
+phrase is a prefix of one window for each occurrence.
 
 Null and empty texts have no words; a null language is ``und``, together with texts that say so.
 Repeated rows count again. Words of any bytes and any length are exact: they are compared as they are,
@@ -94,13 +94,13 @@ def _ahead(values: np.ndarray, k: int) -> np.ndarray:
 
 
 def _leads(ids: np.ndarray, linked: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first two words, third word, fourth word) of the windows of two words and more, padded by 0
-    after ``order`` words and after a word that isn't ``linked`` to the next."""
+    """(first two words, third word, fourth word) of the windows of three words and more, or of two with
+    ``order`` 2, padded by 0 after ``order`` words and after a word that isn't ``linked`` to the next."""
     columns, goes_on = [ids], np.ones(len(ids), bool)
     for k in range(1, 4):
         goes_on = goes_on & _ahead(linked, k - 1) if k < order else np.zeros(len(ids), bool)
         columns.append(np.where(goes_on, _ahead(ids, k), 0))
-    some = columns[1] > 0
+    some = columns[1 if order == 2 else 2] > 0
     return (columns[0][some] << 32) | columns[1][some], columns[2][some], columns[3][some]
 
 
@@ -159,8 +159,9 @@ def _look_up(rows: DataFrame, words: list, last: bool, order: int, pairs: np.nda
 
 
 def windows(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang", order: int = 4, pairs: np.ndarray | None = None) -> DataFrame:
-    """pair (the first two words), third, fourth and n of the windows of up to ``order`` of ``words``
-    (lang, word, id), without words after a pair that isn't among ``pairs`` (sorted), if given.
+    """pair (the first two words), third, fourth and n of the windows of three or four of ``words`` (lang,
+    word, id), without words after a pair that isn't among ``pairs`` (sorted), if given; with ``order`` 2
+    of all pairs.
 
     0 is a pad. A window can have several rows. Words are sent to the tasks ``AT_ONCE`` at most."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.lit(None).cast("binary").alias("ids"))
@@ -171,14 +172,13 @@ def windows(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "
     return rows
 
 
-def frequent_pairs(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> np.ndarray | None:
-    """The pairs of ``words`` that are as frequent as a candidate must be, sorted; None if these are
-    more than ``PAIRS``."""
-    sums = windows(docs, words, text, lang, 2).groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = written(sums.where(F.col("n") >= least).select("pair"))
-    if pairs.count() > PAIRS:
-        return None
-    return np.sort(np.array([r.pair for r in pairs.toLocalIterator()], np.int64))
+def frequent_pairs(docs: DataFrame, words: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, np.ndarray | None]:
+    """pair and f of the pairs of ``words`` that are as frequent as a candidate must be, and these pairs
+    sorted; None if they are more than ``PAIRS``."""
+    sums = windows(docs, words, text, lang, 2).groupBy("pair").agg(F.sum("n").alias("f"))
+    pairs = written(sums.where(F.col("f") >= least))
+    few = pairs.count() <= PAIRS
+    return pairs, np.sort(np.array([r.pair for r in pairs.select("pair").toLocalIterator()], np.int64)) if few else None
 
 
 # --- phrases ----------------------------------------------------------------------------------
@@ -204,15 +204,14 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def phrases(counted: DataFrame, least: int = LEAST) -> DataFrame:
-    """key, size and f of all phrases of two to four words with f >= ``least``, from windows."""
-    sums = counted.rollup("pair", "third", "fourth").agg(F.sum("n").alias("f"), F.grouping_id().alias("gone"))
-    whole = ((F.col("gone") == 0) & (F.col("fourth") > 0)) | ((F.col("gone") == 1) & (F.col("third") > 0)) | (F.col("gone") == 3)
-    found = sums.where(whole & (F.col("f") >= least))
-    size = F.when(F.col("gone") == 0, 4).when(F.col("gone") == 1, 3).otherwise(2)
+def phrases(counted: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, size and f of all phrases of two to four words with f >= ``least``, from the windows of three
+    and four words and from ``pairs`` (pair, f)."""
+    sums = counted.sparkSession.sql(f"SELECT pair, third, fourth, sum(n) AS f, grouping(fourth) AS gone FROM {{counted}} GROUP BY pair, third, ROLLUP(fourth) HAVING sum(n) >= {int(least)}", counted=counted)
     none = F.lit(0).cast("long")
-    key = F.struct(F.col("pair").alias("head"), _joined(F.coalesce("third", none), F.coalesce("fourth", none)).alias("tail"))
-    return found.select(key.alias("key"), size.alias("size"), "f")
+    found = sums.where("gone = 1 or fourth > 0").select("pair", "third", F.coalesce("fourth", none).alias("fourth"), (4 - F.col("gone")).cast("int").alias("size"), "f")
+    found = found.unionByName(pairs.select("pair", none.alias("third"), none.alias("fourth"), F.lit(2).alias("size"), "f"))
+    return found.select(F.struct(F.col("pair").alias("head"), _joined(F.col("third"), F.col("fourth")).alias("tail")).alias("key"), "size", "f")
 
 
 def scored(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -247,7 +246,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", best:
     small_batches(docs.sparkSession)
     every = written(vocabulary(docs, text, lang))
     words = written(_numbered(every.where(F.col("n") >= LEAST)))
-    found = written(phrases(windows(docs, words, text, lang, pairs=frequent_pairs(docs, words, text, lang))))
+    pairs, cut = frequent_pairs(docs, words, text, lang)
+    found = written(phrases(windows(docs, words, text, lang, pairs=cut), pairs))
     rows = written(outside_longer(scored(found, words)))
     names = _sent(words.select("id", "word", "lang"))
     for k, word in enumerate(_words_of()):
