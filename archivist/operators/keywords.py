@@ -14,10 +14,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from archivist.functions import text as T
 from archivist.operators import search
@@ -30,6 +33,8 @@ GRAM = 3
 RAREST = 6
 #: Documents of a posting row, about.
 BLOCK = 10_000
+#: Characters of a block's texts, about, and of those whose grams are sorted at once.
+CHARACTERS, PIECE = 1 << 23, 1 << 20
 #: Grams that are sent to every task at most.
 FEW = 100_000
 #: Folders of documents at most, and of grams; each has about ``BLOCK`` documents, up to that many folders.
@@ -50,13 +55,63 @@ def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
+def _codes(place: np.ndarray, row: np.ndarray, n: int, letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram of ``n`` characters (numbers below ``letters``) as one number, and where it starts."""
+    at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1])  # within a text
+    code = place[at]
+    for k in range(1, n):
+        code = code * letters + place[at + k]
+    return code, at
+
+
+def _postings(schema: pa.Schema):
+    """(gram, block, ids) of a block's texts (id, low, block): for each gram the sorted keys that have it.
+
+    Characters are numbered, so that a gram with a document is one whole number, and the postings are
+    these numbers in order: first of ``PIECE`` characters at a time, then of the block.
+    """
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by("id").combine_chunks()
+        ids = pc.unique(rows["id"].combine_chunks() if rows.num_rows else rows["id"])
+        texts = rows["low"].to_pylist()
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        there = np.flatnonzero(np.bincount(points))
+        place = np.searchsorted(there, np.arange(int(there[-1]) + 1 if len(there) else 0))[points] if len(points) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        doc, chars, docs = pc.index_in(rows["id"], ids).to_numpy()[row].astype(np.int64), [chr(c) for c in there], len(ids)
+        for n in range(1, GRAM + 1):
+            pieces = range(0, len(place) - n + 1, PIECE)
+            cut = lambda x, at: x[at : at + PIECE + n - 1]  # noqa: B023, E731
+            known = None
+            if len(there) ** n * docs >= 1 << 62:  # with so many characters grams are numbered first
+                known = np.unique(np.concatenate([np.unique(_codes(cut(place, at), cut(row, at), n, len(there))[0]) for at in pieces]))
+            found = [np.zeros(0, np.int64)]
+            for at in pieces:
+                code, start = _codes(cut(place, at), cut(row, at), n, len(there))
+                found.append(np.unique((code if known is None else np.searchsorted(known, code)) * docs + doc[at + start]))
+            code, of = np.divmod(np.unique(np.concatenate(found)), max(docs, 1))
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            code = code[starts] if known is None else known[code[starts]]
+            grams = [""] * len(code)
+            for _ in range(n):
+                code, last = np.divmod(code, max(len(there), 1))
+                grams = [chars[c] + g for c, g in zip(last, grams, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)), pa.int32()), ids.take(pa.array(of)))
+            columns = [pa.array(grams, pa.string()), pa.array([key[0].as_py()] * len(grams), pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def keyword_save(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", mode: str = "overwrite") -> None:
     """The index of ``docs`` below ``path``; with mode ``append`` of these beside those that are there.
 
     Rows with a null text are stored and never found. A key's repeated rows are candidates together,
     and each is found only if it contains the query itself.
     """
-    spark, blocks = docs.sparkSession, math.ceil(docs.count() / BLOCK) or 1
+    spark, (rows, size) = docs.sparkSession, docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    blocks = max(math.ceil(rows / BLOCK), math.ceil(size / CHARACTERS), 1)
     if mode == "append":
         made = spark.read.parquet(f"{path}/made").first()
         parts, buckets, key, text = made.parts, made.buckets, made.key, made.text
@@ -65,9 +120,9 @@ def keyword_save(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         spark.createDataFrame([(parts, buckets, key, text)], "parts int, buckets int, key string, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/made")
 
     partitioned.save(docs.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), f"{path}/documents", "_part", key, key, mode=mode)
-    rows = docs.select(F.col(key).alias("id"), grams_of(F.lower(text)).alias("grams"))
-    rows = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode("grams").alias("gram"))
-    postings = rows.groupBy("gram", "block").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # of a block's documents
+    rows = docs.select(F.col(key).alias("id"), F.lower(text).alias("low"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).where("id is not null and low <> ''")
+    schema = to_arrow_schema(rows.select(F.lit("").alias("gram"), "block", F.array("id").alias("ids")).schema)
+    postings = rows.groupBy("block").applyInArrow(_postings(schema), f"gram string, block long, ids array<{dict(rows.dtypes)['id']}>")
     postings = kept(postings.withColumn("bucket", _bucket(F.col("gram"), buckets)), "postings")
     counts = postings.groupBy("bucket", "gram").agg(F.sum(F.size("ids")).alias("n"))
     for rows, name in ((postings, "postings"), (counts, "counts")):
@@ -137,7 +192,10 @@ class KeywordIndex:
         own = W.partitionBy("qid", "low")
         rarest = grams.withColumn("place", F.row_number().over(own.orderBy("n", "gram"))).where(F.col("place") <= RAREST)
         rarest = rarest.withColumn("of", F.count(F.lit(1)).over(own))
-        ids = rarest.join(self.postings.select("gram", "ids"), "gram").select("qid", "low", "of", "gram", F.explode("ids").alias(self.key))
-        found = ids.groupBy("qid", "low", "of", self.key).agg(F.count_distinct("gram").alias("n")).where("n = of").select("qid", "low", self.key)
+        # grams of one text are in one block, so lists meet block by block, and none is dealt out key by key
+        lists = rarest.join(self.postings.select("gram", "block", "ids"), "gram").groupBy("qid", "low", "of", "block", "gram").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+        met = lists.groupBy("qid", "low", "of", "block").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == F.col("of"))
+        common = F.aggregate(F.slice("lists", 2, RAREST), F.element_at("lists", 1), F.array_intersect)
+        found = met.select("qid", "low", F.explode(F.array_distinct(common)).alias(self.key))
         hits = found.join(self.documents.select(self.key, F.lower(self.text).alias("body")), self.key).where(F.contains("body", "low"))
         return hits.select("qid", self.key).distinct().withColumnRenamed("qid", query_key)

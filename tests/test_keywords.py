@@ -74,3 +74,23 @@ def test_an_empty_table(spark, tmp_path):
     index = KeywordIndex(spark, str(tmp_path / "k"))
     assert index.find("abc").collect() == []
     assert index.find_all(spark.createDataFrame([(1, "abc")], "query_id long, query string")).collect() == []
+
+
+def test_postings_of_a_block_are_made_in_one_go(spark, docs, tmp_path, monkeypatch):
+    """Each gram has one row a block with the keys that a scan finds, however few characters are sorted at once."""
+    rows = docs.where("doc_id % 9 = 0 or doc_id >= 1000000").unionByName(spark.createDataFrame([(None, "no key", "x"), (7, "a\0b\U0001f600", "y"), (7, "ba", "y")], docs.schema))
+    monkeypatch.setattr(keywords, "CHARACTERS", 3000)
+    keyword_save(rows, str(tmp_path / "k"))
+    index, want = KeywordIndex(spark, str(tmp_path / "k")), {}
+    for key, low in rows.where("doc_id is not null and text is not null").select("doc_id", F.lower("text")).collect():
+        for gram in {low[k : k + n] for n in (1, 2, 3) for k in range(len(low) - n + 1)}:
+            want.setdefault(gram, set()).add(key)
+    made = index.postings.collect()
+    found = {}
+    for r in made:
+        assert list(r.ids) == sorted(set(r.ids)) and not found.get(r.gram, set()) & set(r.ids)
+        found.setdefault(r.gram, set()).update(r.ids)
+    assert found == want and len({(r.gram, r.block) for r in made}) == len(made)
+    assert {r.gram: r.n for r in index.counts.collect()} == {g: len(k) for g, k in want.items()}
+    blocks = {r.block for r in made}
+    assert len(blocks) > 3  # by characters; by rows it would be one
