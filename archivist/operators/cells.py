@@ -23,15 +23,17 @@ BLOCK = 2048
 CELLS = 1024
 #: Vectors at most that centroids are fitted on.
 SAMPLE = 16_384
+#: Vectors that are compared with all cells at once, and rows of queries put out at once.
+SLICE = 1024
 #: What angles may be off by.
 SLACK = 1e-6
 #: The cell of vectors that have no direction (zero or not finite) or a length that no centroid has.
 ANY = 0
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
+def unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
     """The vectors, of equal lengths, to unit length; zeros stay."""
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = vectors if isinstance(vectors, np.ndarray) else np.array([np.asarray(v, np.float64) for v in vectors])
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
@@ -117,6 +119,13 @@ def fitted(vectors: DataFrame, cells: int) -> Cells:
     return Cells.of(found)
 
 
+def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in parts of ``SLICE`` rows, so that a table of rows and cells stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at : at + SLICE]
+
+
 def placed(vectors: DataFrame, cells: Cells) -> DataFrame:
     """``vectors`` (id, v, d) with cell and off, the angle to its centroid."""
     if not cells.centroids:
@@ -124,7 +133,7 @@ def placed(vectors: DataFrame, cells: Cells) -> DataFrame:
     sent = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             cell, off = sent.value.place(batch["v"])
             yield batch.assign(cell=cell.astype("int32"), off=off)
 
@@ -185,10 +194,14 @@ def cell_pairs(rows: Placed, least: float) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in np.argwhere(near)]
 
 
-def block_pairs(rows: Placed, least: float) -> DataFrame:
+def block_pairs(rows: Placed, least: float, together: int = 1) -> DataFrame:
     """Each of ``rows`` once for each block that its own can hold such a pair with: with own, other, and
-    the two in order as a and b."""
+    the two in order as a and b. ``together`` blocks that follow each other count as one."""
     pairs = [(a, b, int(rows.first[b]), int(rows.parts[b])) for a, b in cell_pairs(rows, least)]
     met = rows.rows.sparkSession.createDataFrame(pairs, "cell int, with int, start int, n int")  # at most CELLS x CELLS
-    out = rows.rows.join(F.broadcast(met), "cell").withColumn("other", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
-    return out.select("id", "v", "d", F.col("block").alias("own"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    place = lambda block: F.floor(block / together).cast("int")
+    to = met.select("cell", F.explode(F.sequence(place(F.col("start")), place(F.col("start") + F.col("n") - 1))).alias("other"))
+    to = to.groupBy("cell").agg(F.collect_set("other").alias("others"))  # a row a cell
+    out = rows.rows.join(F.broadcast(to), "cell").withColumn("other", F.explode("others"))
+    own = place(F.col("block"))
+    return out.select("id", "v", "d", own.alias("own"), F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +20,10 @@ from archivist.sources import partitioned
 from archivist.sources.shared import shared_path
 
 
+#: Rows of a block of a join at most, and of two pieces of blocks that are compared at once.
+JOINED, PIECE = 65_536, 1024
+
+
 def _literal(query: list[float]) -> Column:
     return F.lit([float(x) for x in query])
 
@@ -60,6 +65,14 @@ def _vectors(frames: DataFrame, key: str, vector: str) -> DataFrame:
     return frames.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("d"))
 
 
+def _first(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k highest scores, highest first, ties by place; a few rows at a time."""
+    out = np.empty((len(scores), min(k, scores.shape[1])), np.int64)
+    for at in range(0, len(scores), 128):
+        out[at : at + 128] = np.argsort(-np.round(scores[at : at + 128], 12), axis=1, kind="stable")[:, :k]
+    return out
+
+
 def _best(k: int | None):
     """Of two blocks, of rows and of queries, each query's k best rows (or all of them)."""
 
@@ -68,7 +81,9 @@ def _best(k: int | None):
             return pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64", "score": "float64"})
         x = x.sort_values("id")
         scores = unit(q["q"]) @ unit(x["v"]).T
-        order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
+        if k is None:
+            return pd.DataFrame({"query_id": np.repeat(q["qid"].to_numpy(), len(x)), "key": np.tile(x["id"].to_numpy(), len(q)), "score": scores.ravel()})
+        order = _first(scores, k)
         return pd.DataFrame({"query_id": np.repeat(q["qid"].to_numpy(), order.shape[1]), "key": x["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
 
     return run
@@ -123,7 +138,7 @@ def _cells_left(asked: DataFrame, rows: cells.Placed) -> DataFrame:
     place, radius, there = rows.cells, rows.radius, rows.parts > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in cells.sliced(batches):
             for d, some in batch.groupby("d"):
                 least = np.full((len(some), place.count), 0.0)  # of the angle to a cell's vectors
                 if d in place.centroids:
@@ -133,47 +148,81 @@ def _cells_left(asked: DataFrame, rows: cells.Placed) -> DataFrame:
                 kth = some["kth"].fillna(-2.0).to_numpy()[:, None]
                 go = (np.cos(least) + 1e-9 >= kth) & there & (np.arange(place.count) != some["cell"].to_numpy()[:, None])
                 row, cell = np.nonzero(go)
-                yield pd.DataFrame({"qid": some["qid"].to_numpy()[row], "q": some["q"].to_numpy()[row], "d": d, "cell": cell.astype("int32")})
+                for at in range(0, len(row), cells.SLICE):  # a query has as many rows as there are cells
+                    r, c = row[at : at + cells.SLICE], cell[at : at + cells.SLICE]
+                    yield pd.DataFrame({"qid": some["qid"].to_numpy()[r], "q": some["q"].to_numpy()[r], "d": d, "cell": c.astype("int32")})
 
     kinds = dict(asked.dtypes)
     return asked.mapInPandas(run, f"qid {kinds['qid']}, q {kinds['q']}, d int, cell int")
 
 
-def _pairs_in(threshold: float, out: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        x, own = unit(rows["v"]), rows["own"].to_numpy()
-        i, j, s = [], [], []
-        for at in range(0, len(rows), 512):
-            scores = x[at : at + 512] @ x.T
-            near = (np.round(scores, 9) >= threshold) & (np.arange(len(rows)) > np.arange(at, at + len(scores))[:, None])
-            if key[0] != key[1]:
-                near &= own[at : at + 512, None] != own
-            a, b = np.nonzero(near)
-            i, j, s = [*i, a + at], [*j, b], [*s, scores[a, b]]
-        return out(rows, *(np.concatenate(z) if z else np.zeros(0, int) for z in (i, j, s)))
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and scores of the pairs of unit vectors with a cosine of ``threshold`` or more. Products in
+    single precision, off by less than the slack, leave out most; the others are decided in double."""
+    slack = (x.shape[1] + 16) * 2.0**-22
+    a, b = np.nonzero(~(x.astype(np.float32) @ y.astype(np.float32).T < threshold - slack))
+    if len(a) * 4 > len(x) * len(y):
+        scores = (x @ y.T)[a, b]
+    else:
+        scores = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 1 << 14]], y[b[k : k + 1 << 14]]) for k in range(0, len(a), 1 << 14)] or [np.zeros(0)])
+    good = np.round(scores, 9) >= threshold
+    return a[good], b[good], scores[good]
+
+
+def _pairs_in(threshold: float, out: Callable[[np.ndarray, Iterator], Iterator[pa.RecordBatch]]):
+    """All pairs of a group of rows (id, v, own, a, b) that are of two blocks, or of one, a piece at a time."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).select(["id", "v", "own"]).sort_by("id").combine_chunks()
+        ids, own, d = rows["id"].to_numpy(), rows["own"].to_numpy(), key[2].as_py()
+        x = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), d)
+        del rows
+        x = unit(x)
+        first, second = (np.flatnonzero(own == key[k].as_py()) for k in (0, 1))
+
+        def pieces() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for at in range(0, len(first), PIECE):
+                mine = first[at : at + PIECE]
+                for to in range(0, len(second), PIECE):
+                    others = second[to : to + PIECE]
+                    if key[0] != key[1] or others[-1] > mine[0]:
+                        i, j, s = _near(x[mine], x[others], threshold)
+                        i, j = mine[i], others[j]
+                        if key[0] == key[1]:
+                            i, j, s = i[i < j], j[i < j], s[i < j]
+                        yield np.minimum(i, j), np.maximum(i, j), s
+
+        yield from out(ids, pieces())
 
     return run
 
 
-def _joined(frames: DataFrame, threshold: float, key: str, vector: str, block: int, out: Callable, schema: str) -> DataFrame:
-    rows = cells.in_cells(_vectors(frames, key, vector), block, block)
-    return cells.block_pairs(rows, threshold - 1e-9).groupBy("a", "b", "d").applyInPandas(_pairs_in(threshold, out), schema)
+def _joined(frames: DataFrame, threshold: float, key: str, vector: str, block: int | None, out: Callable, schema: str) -> DataFrame:
+    """Blocks are a sixteenth of the rows, from ``BLOCK`` to ``JOINED``: each row goes to as many tasks as there are blocks."""
+    rows = cells.in_cells(_vectors(frames, key, vector), block or cells.BLOCK, block or cells.BLOCK)
+    together = 1 if block else max(1, min(JOINED // cells.BLOCK, math.ceil(int(rows.parts.sum()) / 16)))
+    return cells.block_pairs(rows, threshold - 1e-9, together).groupBy("a", "b", "d").applyInArrow(_pairs_in(threshold, out), schema)
 
 
-def similarity_join(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = cells.BLOCK) -> DataFrame:
+def similarity_join(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """All pairs (left_id, right_id, score) with left_id < right_id and score >= threshold: exact, by
     matrix products of the pairs of blocks that can hold one."""
-    out = lambda rows, i, j, s: pd.DataFrame({"left_id": rows["id"].to_numpy()[i], "right_id": rows["id"].to_numpy()[j], "score": s.astype(float)})
+
+    def out(ids: np.ndarray, pieces: Iterator) -> Iterator[pa.RecordBatch]:
+        for i, j, s in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(s, pa.float64())], ["left_id", "right_id", "score"])
+
     return _joined(frames, threshold, key, vector, block, out, "left_id long, right_id long, score double")
 
 
-def neighbour_counts(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = cells.BLOCK) -> DataFrame:
+def neighbour_counts(frames: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """(key, neighbours) of every row: how many others score the threshold; pairs aren't expanded."""
 
-    def out(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        n = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "n": n})
+    def out(ids: np.ndarray, pieces: Iterator) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(ids), np.int64)
+        for i, j, _ in pieces:
+            n += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n)], ["id", "n"])
 
     found = _joined(frames, threshold, key, vector, block, out, "id long, n long")
     every = _vectors(frames, key, vector).select("id", F.lit(0).cast("long").alias("n"))  # also of cells that meet none
@@ -211,7 +260,7 @@ class AnnIndex:
         place = self.cells
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in cells.sliced(batches):
                 for d, some in batch.groupby("d"):
                     near = np.full((len(some), 1), cells.ANY)
                     if d in place.centroids:
@@ -268,8 +317,8 @@ def rank_hits(hits: DataFrame, query: str = "query_id", key: str = "vec_id") ->
     return hits.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.col("score").desc(), key)))
 
 
-def score_all(frames: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = cells.BLOCK) -> DataFrame:
-    """Every query's score with every row of its length, block by block."""
+def score_all(frames: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = cells.BLOCK // 2) -> DataFrame:
+    """Every query's score with every row of its length, block by block; a task's scores are a block's square."""
     rows = cells.kept(_vectors(frames, key, vector), "vectors")
     asked = cells.kept(_vectors(queries, query_key, vector).select(F.col("id").alias("qid"), F.col("v").alias("q"), "d"), "queries")
     n, turns = (math.ceil(x.count() / block) or 1 for x in (rows, asked))
@@ -332,9 +381,11 @@ def embed(docs: DataFrame, embedder, text: str = "text", width: int = 8000) -> D
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([None if v is None else [float(x) for x in v] for v in embedder.embed(list(batch))], dtype=object)
+            parts = (embedder.embed(list(batch.iloc[at : at + cells.SLICE])) for at in range(0, len(batch), cells.SLICE))
+            yield pd.Series([None if v is None else [float(x) for x in v] for part in parts for v in part], dtype=object)
 
-    return docs.withColumn("embedding", F.pandas_udf(run, "array<float>")(T.embed_truncate(F.col(text), width)))
+    # not deterministic as far as Spark knows: else a filter on the embedding runs the embedder a second time, beside the first
+    return docs.withColumn("embedding", F.pandas_udf(run, "array<float>").asNondeterministic()(T.embed_truncate(F.col(text), width)))
 
 
 def hash_embed(docs: DataFrame, dim: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:

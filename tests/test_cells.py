@@ -129,3 +129,36 @@ def test_empty_tables(spark):
     assert search.neighbour_counts(none, 0.5).collect() == []
     assert search.batch_top_k(none, none.withColumnRenamed("vec_id", "query_id"), 3).collect() == []
     assert search.ann_search(none, none.withColumnRenamed("vec_id", "query_id"), 3).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0.98, 0.0])
+def test_blocks_of_a_join_grow_with_the_rows(spark, odd, threshold, monkeypatch):
+    """However many blocks there are, a row goes to at most some sixteen tasks, and all pairs are found."""
+    monkeypatch.setattr(cells, "BLOCK", 24)
+    rows = cells.in_cells(search._vectors(spark.createDataFrame(odd, SCHEMA), "vec_id", "embedding"), 24, 24)
+    assert int(rows.parts.sum()) > 48
+    together = -(-int(rows.parts.sum()) // 16)
+    assert cells.block_pairs(rows, -1.0, together).groupBy("id").count().agg(F.max("count")).first()[0] <= 17
+    pairs = {(a, b) for (a, b), s in _cosines(odd).items() if a < b and round(s, 9) >= threshold}
+    found = search.similarity_join(spark.createDataFrame(odd, SCHEMA), threshold).collect()
+    assert {(r.left_id, r.right_id) for r in found} == pairs and len(found) == len(pairs)
+
+
+def test_a_query_for_many_cells_goes_out_in_parts(spark, monkeypatch):
+    """No batch holds the rows of all queries for all cells."""
+    import pandas as pd
+
+    monkeypatch.setattr(cells, "SLICE", 50)
+    place = cells.Cells.of({6: cells._clustered(cells.unit(np.random.default_rng(4).standard_normal((300, 6))), 90)})
+    taken = cells.Placed(None, place, np.full(place.count, 3.0), np.arange(place.count), np.ones(place.count, int))
+    asked = pd.DataFrame({"qid": range(120), "q": list(np.random.default_rng(5).standard_normal((120, 6))), "d": 6, "cell": 1, "kth": 0.5})
+
+    class Frame:
+        dtypes = [("qid", "bigint"), ("q", "array<double>")]
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return [len(b) for b in run(iter([asked]))]
+
+    sizes = search._cells_left(Frame(), taken)
+    assert max(sizes) <= 50 and sum(sizes) == 120 * (place.count - 1)
+    assert [len(b) for b in cells.sliced(iter([asked]))] == [50, 50, 20]
