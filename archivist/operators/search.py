@@ -402,8 +402,10 @@ def hash_embed(docs: DataFrame, dim: int = 64, text: str = "text", key: str = "d
 
 def build_index(chunks: DataFrame, embedding: Callable[[DataFrame], DataFrame], memory: str = "memory_id", text: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(frames, index_meta) of text chunks (memory_id, source_file, chunk_index, frame_number,
-    payload). ``embedding`` adds the column embedding."""
+    payload). ``embedding`` adds the column embedding. Frames are written once, so that it isn't
+    computed again for the second table."""
     rows = embedding(chunks)
     frames = rows.select(memory, "frame_number", "chunk_index", "source_file", F.sha2(text, 256).alias("content_hash"), F.length(text).alias("content_len"), "embedding", T.preview(F.col(text)).alias("preview"))
+    frames = cells.kept(frames, "frames")
     meta = frames.groupBy(memory).agg(F.count(F.lit(1)).alias("total_frames"), F.max(F.size("embedding")).alias("vector_dim"))
     return frames, meta
