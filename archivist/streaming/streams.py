@@ -76,6 +76,10 @@ def _millis(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64") // 1000
 
 
+#: Bytes of a file's chunks that wait outside the state for the rest of their micro-batch.
+HELD = 8 << 20
+
+
 class _Expiring(StatefulProcessor):
     """A processor whose keys have one timer each, ``span`` milliseconds after a time it says."""
 
@@ -85,10 +89,11 @@ class _Expiring(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
 
-    def expire_after(self, millis: int) -> None:
-        """The key's timer, if it is earlier, moves to ``span`` after ``millis``."""
+    def expire_after(self, millis: int, new: bool = False) -> None:
+        """The key's timer, if it is earlier, moves to ``span`` after ``millis``. A ``new`` key has none,
+        and is not asked for it: each question is a message to the state store."""
         due = millis + self.span
-        have = list(self.handle.listTimers())
+        have = [] if new else list(self.handle.listTimers())
         if have and max(have) >= due:
             return
         for timer in have:
@@ -108,22 +113,31 @@ class _Reassembler(_Expiring):
         self.known = handle.getValueState("known", "total int, have int, done boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        total, have, done = self.known.get() or (0, 0, False)
-        latest = 0
+        known = self.known.get()
+        total, have, done = known or (0, 0, False)
+        stored, here, latest = have, {}, 0  # chunks in the state, and of this micro-batch
         for batch in rows:
             latest = max(latest, int(_millis(batch[self.at]).max()))
             for index, n, payload in zip(batch["chunk_index"], batch["chunk_total"], batch["payload"], strict=True):
-                total = int(n)
-                if not done and not self.parts.containsKey((int(index),)):
-                    self.parts.updateValue((int(index),), (bytes(payload),))
+                total, index = int(n), int(index)
+                if not done and index not in here and not (stored and self.parts.containsKey((index,))):
+                    here[index] = bytes(payload)
                     have += 1
+            if not done and have < total and sum(map(len, here.values())) > HELD:
+                for index, payload in here.items():  # a large file's chunks don't wait for its last
+                    self.parts.updateValue((index,), (payload,))
+                stored, here = have, {}
         if not done and 0 < total == have:
-            parts = sorted((k[0], bytes(v[0])) for k, v in self.parts.iterator())
-            self.parts.clear()
-            done = True
+            if stored:
+                here |= {k[0]: bytes(v[0]) for k, v in self.parts.iterator()}
+                self.parts.clear()
+            parts, here, done = sorted(here.items()), {}, True
             yield pd.DataFrame({"source_file": [key[0]], "status": ["complete"], "present": pd.Series([have], dtype="int32"), "chunk_total": pd.Series([total], dtype="int32"), "content": [b"".join(p for _, p in parts)]})
-        self.known.update((total, have, done))
-        self.expire_after(latest)
+        for index, payload in here.items():
+            self.parts.updateValue((index,), (payload,))
+        if (total, have, done) != known:
+            self.known.update((total, have, done))
+        self.expire_after(latest, known is None)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         total, have, done = self.known.get() or (0, 0, True)
@@ -139,7 +153,8 @@ def stream_reassemble(chunks: DataFrame, minutes: int = 60, at: str = "at", dela
 
     A file that gets no chunk for ``minutes`` is given up, with status ``missing`` and without content;
     chunks that come after that begin anew. Until then of a complete file only that it is so is kept.
-    A chunk is written to the state once, when it comes; no batch writes the file again.
+    A chunk is written to the state once, when it comes, unless its file is complete with the same
+    micro-batch; no batch writes the file again.
     """
     rows = _timed(chunks, at, delay).select("source_file", "chunk_index", "chunk_total", "payload", at)
     return rows.groupBy("source_file").transformWithStateInPandas(_Reassembler(at, minutes * 60_000), "source_file string, status string, present int, chunk_total int, content binary", "Append", "EventTime")
@@ -157,13 +172,14 @@ class _Limiter(_Expiring):
         self.times = handle.getListState("times", "time long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        admitted = [t[0] for t in self.times.get()]
+        admitted = before = [t[0] for t in self.times.get()]
         batch = pd.concat([b[["event_id", self.at]] for b in rows]).sort_values([self.at, "event_id"])  # of one micro-batch
         ok, admitted = admit(batch[self.at].astype("datetime64[us]").astype("int64").tolist(), admitted, self.limit, self.span * 1000)
         yield pd.DataFrame({"client": key[0], "event_id": batch["event_id"], "ts": batch[self.at], "admitted": ok})
-        self.times.put([(t,) for t in admitted])
-        if admitted:
-            self.expire_after(admitted[-1] // 1000 + 1)
+        if admitted != before:
+            self.times.put([(t,) for t in admitted])
+            if admitted:
+                self.expire_after(admitted[-1] // 1000 + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         self.times.clear()  # the last admitted request no longer counts
@@ -194,7 +210,8 @@ class _JobStatus(_Expiring):
         self.entry = handle.getValueState("entry", "started long, updated long, status string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        entry, news = self.entry.get(), {}
+        before = entry = self.entry.get()
+        news = {}
         rows = pd.concat([b[[self.at, "status"]] for b in rows]).sort_values([self.at, "status"])
         for at, status in zip(rows[self.at].astype("datetime64[us]").astype("int64"), rows["status"], strict=True):
             if entry is None or at >= entry[0] + self.span * 1000:
@@ -203,7 +220,8 @@ class _JobStatus(_Expiring):
                 entry = (entry[0], int(at), status)
             news[entry[0]] = entry
         self.entry.update(entry)
-        self.expire_after(entry[0] // 1000 + 1)
+        if before is None or entry[0] != before[0]:
+            self.expire_after(entry[0] // 1000 + 1, before is None)
         found = list(news.values())
         stamp = lambda k: pd.to_datetime([e[k] for e in found], unit="us")
         yield pd.DataFrame({"job_id": key[0], "started": stamp(0), "status": [e[2] for e in found], "updated": stamp(1), "closed": [e[2] in self.terminal for e in found]})

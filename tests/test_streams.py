@@ -121,3 +121,51 @@ def test_files_are_chunked_and_indexed_as_they_come(spark, tmp_path):
     writer = streams.stream_index(streams.stream_files(spark, str(tmp_path / "in")), ingest, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"))
     writer.trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "good")).count() == 3
+
+
+def test_a_file_that_comes_whole_needs_no_chunk_in_the_state():
+    """Chunks of one micro-batch are put together there; those of an unfinished file are stored once each."""
+    import pandas as pd
+
+    asked = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.kept = name, {}
+
+        def __getattr__(self, method):
+            def call(*a):
+                asked.append(f"{self.name}.{method}")
+                if method == "get":
+                    return self.kept.get(0)
+                if method == "update":
+                    self.kept[0] = a[0]
+                elif method == "updateValue":
+                    self.kept[a[0]] = a[1]
+                elif method == "containsKey":
+                    return a[0] in self.kept
+                elif method == "iterator":
+                    return list(self.kept.items())
+                elif method == "clear":
+                    self.kept.clear()
+
+            return call
+
+    class Handle:
+        getMapState = getValueState = lambda self, name, *_: State(name)  # noqa: E731, N815
+        listTimers = lambda self: asked.append("listTimers") or []  # noqa: E731, N815
+        registerTimer = lambda self, due: asked.append("registerTimer")  # noqa: E731, N815
+
+    def come(r, *chunks):
+        asked.clear()
+        frame = pd.DataFrame([(i, 3, p, pd.Timestamp(2024, 1, 1)) for i, p in chunks], columns=["chunk_index", "chunk_total", "payload", "at"])
+        return [bytes(f["content"][0]) for f in r.handleInputRows(("f",), iter([frame]), None)]
+
+    r = streams._Reassembler("at", 1000)
+    r.init(Handle())
+    assert come(r, (2, b"c"), (0, b"a"), (0, b"x"), (1, b"b")) == [b"abc"]
+    assert asked == ["known.get", "known.update", "registerTimer"]
+    r.init(Handle())
+    assert come(r, (2, b"c"), (0, b"a")) == [] and asked.count("parts.updateValue") == 2
+    assert come(r, (0, b"x"), (1, b"b")) == [b"abc"] and not r.parts.kept
+    assert come(r, (1, b"late")) == [] and not r.parts.kept
