@@ -46,8 +46,10 @@ def reassemble(chunks: DataFrame, file: Sequence[str] = FILE) -> DataFrame:
 
 def ordered_chunks(chunks: DataFrame, file: Sequence[str] = FILE) -> DataFrame:
     """Chunks without copies, each file's in order within one partition, so that a writer can append
-    them one by one however large the file is."""
-    return dedup_chunks(chunks, file).repartition(*file).sortWithinPartitions(*file, "chunk_index")
+    them one by one however large the file is. Payloads are shuffled and sorted once."""
+    rows = chunks.select(*file, "chunk_index", "payload", "chunk_total").repartition(*file)
+    copy = F.row_number().over(W.partitionBy(*file, "chunk_index").orderBy("payload", "chunk_total"))
+    return rows.withColumn("_copy", copy).where("_copy = 1").drop("_copy").sortWithinPartitions(*file, "chunk_index")
 
 
 def verify(chunks: DataFrame, archive: str = "archive_id", failures: int = 5) -> DataFrame:

@@ -1,6 +1,9 @@
+import hashlib
+import pickle
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +49,35 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert files.relative("a", "./b//c") == "a/b/c"
 
 
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    contents = {("a", f"{n % 7}/f{n}"): b"%d" % n for n in range(300)} | {("_b", ".hidden"): b"h" * 3_000_000, ("_b", "empty dir/x"): b"x"}
+    rows = [(a, n, "h", k, max(1, -(-len(c) // 1_000_000)), bytearray(c[k * 1_000_000 : (k + 1) * 1_000_000])) for (a, n), c in contents.items() for k in range(max(1, -(-len(c) // 1_000_000)))]
+    files.write_files(spark.createDataFrame(rows, CHUNKS), str(tmp_path / "o"))
+    found = files.digests(spark, str(tmp_path / "o"))
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert {(r.name, r.length, r.content_hash) for r in found.collect()} == {(f"{a}/{n}", len(c), hashlib.sha256(c).hexdigest()) for (a, n), c in contents.items()}
+    assert files.digests(spark, str(tmp_path / "o" / "a")).count() == 300
+
+
+def test_the_driver_hears_of_tasks_and_not_of_files(tmp_path):
+    schema = pa.schema([("archive_id", pa.string()), ("source_file", pa.string()), ("chunk_index", pa.int32()), ("chunk_total", pa.int32()), ("payload", pa.binary())])
+    rows = [{"archive_id": "a", "source_file": f"f{k}", "chunk_index": 0, "chunk_total": 1, "payload": b"x"} for k in range(500)]
+    writer = files.ChunkWriter({"path": str(tmp_path), "job": "j"})
+    assert len(pickle.dumps(writer.write(iter([pa.RecordBatch.from_pylist(rows, schema)])))) < 1000
+
+
+def test_a_move_that_is_tried_again_ends_well(spark, tmp_path):
+    task = tmp_path / files.STAGING / "j" / "t"
+    task.mkdir(parents=True)
+    (task / "1").write_text("second")
+    (task / files.NAMES).write_text('"a/first"\n"a/second"\n')
+    (task.parent / files.NAMES).write_text("t\n")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "first").write_text("first")  # as the first try has left it
+    files._move(spark, str(tmp_path), f"{files.STAGING}/j")
+    assert {p.name: p.read_text() for p in (tmp_path / "a").iterdir()} == {"first": "first", "second": "second"}
+
+
 def test_upserts_touch_only_their_buckets(spark, tmp_path):
     path = str(tmp_path / "docs")
     schema = "id string, updated_at int, text string"
