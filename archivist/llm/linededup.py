@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from archivist.llm.common import FEW, packed, rows_with, unpacked, written
 
@@ -132,12 +133,10 @@ def _marked(docs: DataFrame, text: str, key: str, width: int, threshold: float)
     once = told.where("copied is null").select("k1", "k2", at.alias("at"), *rest_of)
     firsts = told.where("copied").groupBy("k1", "k2").agg(F.min(at).alias("at"), *[F.first(c).alias(c) for c in rest_of])
     nodes = written(once.withColumn("copied", F.lit(False)).unionByName(firsts.withColumn("copied", F.lit(True))).withColumn("id", F.monotonically_increasing_id()))
-    # one number for size and place keeps what is shuffled for each token small; both uses of the
-    # tokens read the same columns, so that they are shuffled once
+    # one number for size and place keeps what is shuffled for each token small
     tokens = nodes.select("id", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("p", "token")).where("token is not null")
-    tokens = tokens.select("token", "id", F.col("n").bitwiseOR(F.col("p").cast("long")).alias("np")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.count_if(F.col("id").isNotNull() & F.col("np").isNotNull()).alias("c")).where("c > 1").select("token")
-    live = tokens.join(shared, "token").join(nodes.select("id", "at", "parity"), "id")
+    tokens = tokens.select("token", "id", F.col("n").bitwiseOR(F.col("p").cast("long")).alias("np"))
+    live = _shared(tokens).join(nodes.select("id", "at", "parity"), "id")
     live = written(live.select("token", "id", "at", "parity", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p")))
     columns = ("id", "at", "parity", "n", "p")
     x = live.select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
@@ -161,6 +160,11 @@ def _marked(docs: DataFrame, text: str, key: str, width: int, threshold: float)
     return flagged.select("doc_id", "line", F.coalesce("beaten", at > F.col("first"), F.lit(False)).alias("gone"))
 
 
+def _shared(tokens: DataFrame) -> DataFrame:
+    """The rows of tokens that more than one line has, counted where they are shuffled to, once."""
+    return tokens.withColumn("_c", F.count(F.lit(1)).over(W.partitionBy("token"))).where("_c > 1").drop("_c")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, ranks: Column, threshold: float) -> DataFrame:
     """The ids (y_id) of those second nodes whose pair has the similarity on all tokens, which are
     made again for the lines in which candidates stand."""

@@ -93,3 +93,10 @@ def test_odd_rows(spark):
 def test_no_python_on_the_main_path():
     source = inspect.getsource(linededup)
     assert not any(name in source for name in ("udf", "mapInPandas", "mapInArrow", "applyIn", ".rdd"))
+
+
+def test_shared_tokens_are_shuffled_once(spark):
+    tokens = spark.createDataFrame([(1, 1, 0), (1, 2, 5), (2, 1, 1), (3, 3, 0), (3, 1, 2), (3, 2, 2)], "token long, id long, np long")
+    found = linededup._shared(tokens)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 0), (1, 2, 5), (3, 1, 2), (3, 2, 2), (3, 3, 0)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
