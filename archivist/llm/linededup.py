@@ -10,6 +10,9 @@ it, by document and line number, is as similar.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,60 +30,57 @@ def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("line", "value"))
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    """doc_id, line and h, the hashes of the words of value in lower case, which for a blank line is
-    the hash of one empty word."""
-    value = F.col("value")
-    odd = F.contains(value, F.lit("  ")) | F.startswith(value, F.lit(" ")) | F.endswith(value, F.lit(" "))
-    for blank in _OTHER_BLANKS:
-        odd |= F.contains(value, F.lit(blank))
-    plain = F.when(odd, F.trim(F.regexp_replace(value, "[ \t\\x0B\f\r]+", " "))).otherwise(value)
-    words = lines.select("doc_id", "line", F.split(F.lower(plain), " ").alias("w"))
-    return words.select("doc_id", "line", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _from(array: str, k: int) -> Column:
-    return F.slice(array, F.lit(k + 1), F.greatest(F.size(array), F.lit(0)))
+def _words() -> Column:
+    """The words of value in lower case."""
+    value = F.lower("value")
+    other = reduce(Column.__or__, [F.contains(value, F.lit(blank)) for blank in _OTHER_BLANKS])
+    return F.array_remove(F.when(other, F.split(value, "[ \t\\x0B\f\r]")).otherwise(F.split(value, " ")), "")
 
 
-def _run(parts: list[Column]) -> Column:
-    """The hash of consecutive words' hashes: halves of the longest power of two, then the next ones."""
-    if len(parts) == 1:
-        return parts[0]
-    half = 1 << (len(parts).bit_length() - 1)
-    first = F.xxhash64(_run(parts[: half // 2]), _run(parts[half // 2 : half]))
-    return first if half == len(parts) else F.xxhash64(first, _run(parts[half:]))
+def _pairs(width: int) -> list[int]:
+    """Where in a run of ``width`` words the pairs of words begin that cover it."""
+    return [*range(0, width - 1, 2), width - 2][: width // 2 + width % 2]
 
 
-def _runs(words: DataFrame, width: int) -> DataFrame:
-    """h and, as s, the same hash as that of `_run` for every run of ``width`` words (what begins after
-    the last such is of no use)."""
-    beside = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-    rows, own = words.withColumn("s1", F.col("h")), ["doc_id", "line", "h"]
-    while width >= (size := 1 << (len(rows.columns) - len(own))):
-        rows = rows.withColumn(f"s{size}", beside(f"s{size // 2}", _from(f"s{size // 2}", size // 2)))
-    powers = [1 << k for k in reversed(range(width.bit_length())) if width >> k & 1]
+def _from(array: Column, k: int) -> Column:
+    return F.slice(array, F.lit(k + 1), F.greatest(F.size(array), F.lit(0)))
 
-    def join(at: int) -> Column:
-        name = f"s{powers[at]}"
-        here = _from(name, sum(powers[:at])) if at else F.col(name)
-        return here if at == len(powers) - 1 else beside(here, join(at + 1))
 
-    return rows.select(*own, join(0).alias("s"))
+def _shingles(words: Column, width: int) -> Column:
+    """The hash of every run of ``width`` words: that of the hashes of its pairs, so that few arrays are made."""
+    if width == 1:
+        return F.transform(words, lambda w: F.xxhash64(w))
+    pairs = F.zip_with(words, _from(words, 1), lambda w, x: F.xxhash64(w, x))
+    whole = lambda p: F.slice(p, F.lit(1), F.greatest(F.size(p) - (width - 1), F.lit(0)))
+    return _let(pairs, lambda p: F.transform(whole(p), lambda x, i: F.xxhash64(x, *[F.get(p, i + k) for k in _pairs(width)[1:]])))
 
 
 def _bucket(hashed: Column) -> Column:
     return hashed.bitwiseAND((1 << BUCKETS_LOG2) - 1).cast("int")
 
 
+def _hashes(lines: DataFrame, width: int) -> DataFrame:
+    """doc_id, line and s, the hashes of the shingles of each line: that of all its words if there are
+    fewer than ``width``, null for a blank line."""
+    some = lambda w: F.when(F.size(w) >= width, _shingles(w, width)).when(F.size(w) > 0, F.array(F.xxhash64(F.size(w), w)))
+    return lines.select("doc_id", "line", _let(_words(), some).alias("s"))
+
+
 def shingle_ranks(lines: DataFrame, width: int) -> Column:
     """A constant array: for each bucket of shingles its rank by occurrences in all texts, rarest
     first, as the highest bits of a signed number."""
-    parts = [f"s{k}" for k in range(width)]
-    shingles = _words(lines).select(F.inline_outer(F.arrays_zip(*[_from("h", k).alias(c) for k, c in enumerate(parts)])))
+    # every run of words a row: one array of structs costs less than functions of arrays
+    parts = [f"w{k}" for k in range(width)]
+    words = lines.select(_words().alias("w"))
+    shingles = words.select(F.inline_outer(F.arrays_zip(*[_from(F.col("w"), k).alias(c) for k, c in enumerate(parts)])))
+    hashed = F.xxhash64(*[F.xxhash64(parts[k], parts[k + 1]) for k in _pairs(width)]) if width > 1 else F.xxhash64(*parts)
     # where a line ends there are no whole shingles; they have a bucket of their own
-    bucket = F.when(F.col(parts[-1]).isNotNull(), _bucket(_run([F.col(c) for c in parts])))
-    counts = dict(shingles.groupBy(bucket.alias("b")).count().collect())
+    counts = dict(shingles.groupBy(F.when(F.col(parts[-1]).isNotNull(), _bucket(hashed)).alias("b")).count().collect())
     rank = [0] * (1 << BUCKETS_LOG2)
     for k, b in enumerate(sorted(range(len(rank)), key=lambda b: (counts.get(b, 0), b))):
         rank[b] = (k - len(rank) // 2) << (64 - BUCKETS_LOG2)
@@ -90,12 +90,9 @@ def shingle_ranks(lines: DataFrame, width: int) -> Column:
 def line_tokens(lines: DataFrame, width: int, ranks: Column) -> DataFrame:
     """doc_id, line and tokens of every line: distinct numbers in order of rarity, null for a blank
     line. A token is the hash of a shingle, its lowest bits, the bucket, made the bucket's rank in front."""
-    words = _runs(_words(lines), width)
-    whole = F.array(F.xxhash64(F.size("h"), "h"))
-    shingles = F.slice("s", F.lit(1), F.greatest(F.size("h") - (width - 1), F.lit(0)))
-    some = words.select("doc_id", "line", F.when(F.size("h") >= width, shingles).when(F.get("h", F.lit(0)) != F.xxhash64(F.lit("")), whole).alias("s"))
-    ranked = F.transform("s", lambda x: F.get(ranks, _bucket(x)).bitwiseOR(F.shiftrightunsigned(x, BUCKETS_LOG2)))
-    return some.select("doc_id", "line", F.sort_array(F.array_distinct(ranked)).alias("tokens"))
+    # a bucket is never out of range; an array that can hold no null is sorted as plain numbers
+    ranked = F.transform("s", lambda x: F.coalesce(F.get(ranks, _bucket(x)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(x, BUCKETS_LOG2)))
+    return _hashes(lines, width).select("doc_id", "line", F.sort_array(F.array_distinct(ranked)).alias("tokens"))
 
 
 def _parity() -> Column:

@@ -100,3 +100,15 @@ def test_shared_tokens_are_shuffled_once(spark):
     found = linededup._shared(tokens)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 0), (1, 2, 5), (3, 1, 2), (3, 2, 2), (3, 3, 0)]
     assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 6, 7])
+def test_tokens_are_plain_numbers_ranked_by_the_count_of_the_same_hash(spark, width):
+    frame = " ".join(f"f{k}" for k in range(9))
+    rows = [(k, 0, f" {frame}\t" + " ".join(f"x{k}_{n}" for n in range(4)) + " ") for k in range(5)]
+    lines = spark.createDataFrame(rows, "doc_id long, line int, value string")
+    made = linededup.line_tokens(lines, width, linededup.shingle_ranks(lines, width))
+    assert not made.schema["tokens"].dataType.containsNull  # else they are sorted as objects
+    tokens = [r.tokens for r in made.collect()]
+    assert all(len(t) == 13 - width + 1 for t in tokens)
+    assert len({tuple(t[-(9 - width + 1) :]) for t in tokens}) == 1  # what all lines have comes last
