@@ -30,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back. The files are
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet (with ``options``) to the shared folder and read it back. The files are
     removed when the driver ends, as results are read only after the operator has returned."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/archivist-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

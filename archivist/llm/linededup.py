@@ -1,10 +1,10 @@
 """Removal of repeated lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct 5-word shingles; a line of fewer words is one token. All shingles of
-the corpus are counted in a sketch of fixed size, and tokens are put in order of rarity by it. Two
-lines of Jaccard similarity t or more share one of the first n - ceil(t * n) + 1 tokens in that order
-(prefix filter), have sizes within t of each other (length filter), and enough tokens left where they
-meet (positional filter). What is left is verified on all tokens. A line is removed if a line before
+A line's tokens are its distinct 5-word shingles; a line of fewer words is one token. Tokens are in
+order of their hashes, but those that stand in many prefixes come last: they are counted in the
+prefixes, and only lines that have one there get another prefix. Two lines of Jaccard similarity t or
+more share one of the first n - ceil(t * n) + 1 tokens in that order (prefix filter), have sizes
+within t of each other (length filter), and enough tokens left where they meet (positional filter). What is left is verified on all tokens. A line is removed if a line before
 it, by document and line number, is as similar.
 """
 
@@ -19,9 +19,13 @@ from pyspark.sql import Window as W
 
 from archivist.llm.common import FEW, packed, rows_with, unpacked, written
 
-#: Shingles are counted in so many hash buckets, so the table of ranks has this fixed size. What is
+#: Tokens are counted in so many hash buckets, so the table of counts has this fixed size. What is
 #: frequent beyond the noise of its bucket comes last, so that many lines with the same frame don't meet.
 BUCKETS_LOG2 = 13
+#: A token is frequent if it stands in more prefixes than this, and than four deviations of a bucket's count.
+OFTEN = 100
+#: Hashes don't repeat and hardly compress; a dictionary of them is only tried and thrown away.
+_PLAIN = {"parquet.enable.dictionary": "false", "compression": "lz4_raw"}
 _OTHER_BLANKS = ("\t", "\x0b", "\x0c", "\r")
 
 
@@ -87,9 +91,11 @@ def shingle_ranks(lines: DataFrame, width: int) -> Column:
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")  # the optimizer makes it one literal
 
 
-def line_tokens(lines: DataFrame, width: int, ranks: Column) -> DataFrame:
-    """doc_id, line and tokens of every line: distinct numbers in order of rarity, null for a blank
-    line. A token is the hash of a shingle, its lowest bits, the bucket, made the bucket's rank in front."""
+def line_tokens(lines: DataFrame, width: int, ranks: Column | None = None) -> DataFrame:
+    """doc_id, line and tokens of every line: distinct numbers in order, null for a blank line. A token
+    is the hash of a shingle; with ``ranks``, its lowest bits, the bucket, made the bucket's rank in front."""
+    if ranks is None:
+        return _hashes(lines, width).select("doc_id", "line", F.sort_array(F.array_distinct("s")).alias("tokens"))
     # a bucket is never out of range; an array that can hold no null is sorted as plain numbers
     ranked = F.transform("s", lambda x: F.coalesce(F.get(ranks, _bucket(x)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(x, BUCKETS_LOG2)))
     return _hashes(lines, width).select("doc_id", "line", F.sort_array(F.array_distinct(ranked)).alias("tokens"))
@@ -116,22 +122,19 @@ def _marked(docs: DataFrame, text: str, key: str, width: int, threshold: float)
     the one with which it shares most of them; only nodes that it doesn't beat then meet all before
     them, so that a group of many similar lines does not meet pairwise.
     """
-    split = _lines(docs, text, key)
-    ranks = shingle_ranks(split, width)
-    size = F.size("tokens")
-    need = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    full = line_tokens(split, width, ranks)
-    lines = written(full.select("doc_id", "line", *_same("tokens"), size.alias("n"), _parity().alias("parity"), F.slice("tokens", F.lit(1), need).alias("prefix")))
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    full = line_tokens(_lines(docs, text, key), width)
+    lines = written(full.select("doc_id", "line", *_same("tokens"), F.size("tokens").alias("n"), _parity().alias("parity"), _prefix("tokens", threshold).alias("prefix")).withColumn("id", F.monotonically_increasing_id()), **_PLAIN)
     at = F.struct((F.col("doc_id.doc_id") if key == "doc" else F.col("doc_id")).isNull().alias("none"), "doc_id", "line")  # null keys come last
-    rest_of = ("n", "parity", "prefix")
     filled = lines.where("prefix is not null")
-    often = written(filled.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("k1", "k2", F.lit(True).alias("copied")))
-    told = filled.join(_sent(often), ["k1", "k2"], "left")
-    once = told.where("copied is null").select("k1", "k2", at.alias("at"), *rest_of)
-    firsts = told.where("copied").groupBy("k1", "k2").agg(F.min(at).alias("at"), *[F.first(c).alias(c) for c in rest_of])
-    nodes = written(once.withColumn("copied", F.lit(False)).unionByName(firsts.withColumn("copied", F.lit(True))).withColumn("id", F.monotonically_increasing_id()))
+    often = written(filled.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("k1", "k2"))
+    heads = filled.select("k1", "k2", F.struct(at.alias("at"), "id").alias("one")).join(_sent(often), ["k1", "k2"], "left_semi")
+    heads = written(heads.groupBy("k1", "k2").agg(F.min("one").alias("one")).select("k1", "k2", F.col("one.id").alias("head")))
+    told = filled.join(_sent(heads), ["k1", "k2"], "left").where("head is null or head = id")
+    nodes = written(told.select("id", "k1", "k2", at.alias("at"), "n", "parity", "prefix", F.col("head").isNotNull().alias("copied")), **_PLAIN)
     # one number for size and place keeps what is shuffled for each token small
     tokens = nodes.select("id", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("p", "token")).where("token is not null")
+    tokens = _often_last(tokens, nodes, texts, width, threshold)
     tokens = tokens.select("token", "id", F.col("n").bitwiseOR(F.col("p").cast("long")).alias("np"))
     live = _shared(tokens).join(nodes.select("id", "at", "parity"), "id")
     live = written(live.select("token", "id", "at", "parity", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("p")))
@@ -147,7 +150,7 @@ def _marked(docs: DataFrame, text: str, key: str, width: int, threshold: float)
     first = first.select("token", *[F.col(f"one.{c}").alias(f"x_{c}") for c in columns])
     star = first.join(y, "token").where(fits).groupBy("y_id", "x_id").agg(F.count(F.lit(1)).alias("m"))
     star = star.groupBy("y_id").agg(F.max_by("x_id", F.struct("m", "x_id")).alias("x_id"))
-    verify = lambda pairs: written(_verified(pairs, nodes, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), width, ranks, threshold))
+    verify = lambda pairs: written(_verified(pairs, nodes, texts, width, threshold))
     beaten = verify(star)
     rest = x.join(y.join(beaten, "y_id", "left_anti"), "token").where(fits)
     beaten = beaten.unionByName(verify(rest))
@@ -162,16 +165,53 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("_c", F.count(F.lit(1)).over(W.partitionBy("token"))).where("_c > 1").drop("_c")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, ranks: Column, threshold: float) -> DataFrame:
-    """The ids (y_id) of those second nodes whose pair has the similarity on all tokens, which are
-    made again for the lines in which candidates stand."""
-    pairs = written(pairs.select("x_id", "y_id").distinct())
-    ids = pairs.select(F.col("x_id").alias("id")).union(pairs.select("y_id"))
+def _prefix(tokens: str, threshold: float) -> Column:
+    """The first of ``tokens``, one of which two lines of this similarity share."""
+    size = F.size(tokens)
+    return F.slice(tokens, F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
+
+
+def _frequent(tokens: DataFrame) -> DataFrame:
+    """The tokens that many prefixes have. All are counted by bucket; those of full buckets, one by one."""
+    counts = written(tokens.groupBy(_bucket(F.col("token")).alias("b")).count())
+    mean = (counts.agg(F.sum("count")).first()[0] or 0) / (1 << BUCKETS_LOG2)
+    least = max(OFTEN, 4 * mean**0.5)
+    full = F.broadcast(counts.where(F.col("count") > mean + least).select("b"))
+    some = tokens.select("token", _bucket(F.col("token")).alias("b")).join(full, "b", "left_semi")
+    return written(some.groupBy("token").count().where(F.col("count") > least).select("token"))
+
+
+def _often_last(tokens: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``tokens`` (id, n, p, token) of prefixes in an order in which frequent tokens come last. A prefix
+    without any is the same in both orders; the others are made again from all tokens of their lines."""
+    frequent = _frequent(tokens)
+    ids = written(tokens.join(_sent(frequent), "token", "left_semi").select("id").distinct())
+    each = _sets(ids, nodes, docs, width).select("id", F.explode("tokens").alias("token"))
+    # what else these lines have in common would come in its place
+    frequent = written(frequent.union(_frequent(each)).distinct())
+    more = written(tokens.join(_sent(frequent), "token", "left_semi").select("id").distinct().join(_sent(ids), "id", "left_anti"))
+    if more.head(1):
+        each = each.union(_sets(more, nodes, docs, width).select("id", F.explode("tokens").alias("token")))
+        ids = ids.union(more)
+    told = each.join(_sent(frequent.withColumn("last", F.lit(True))), "token", "left")
+    ordered = told.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(False)).alias("last"), "token"))).alias("all"))
+    again = ordered.select("id", F.shiftleft(F.size("all").cast("long"), 32).alias("n"), F.posexplode(_prefix("all", threshold)).alias("p", "one"))
+    return tokens.join(_sent(ids), "id", "left_anti").unionByName(again.select("id", "n", "p", F.col("one.token").alias("token")))
+
+
+def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """id and all tokens, which are made again, of the nodes in ``ids``."""
     places = written(rows_with(nodes.select("id", "k1", "k2", "at.doc_id", "at.line"), ids, ["id"]))
     there = _lines(rows_with(docs, places.select("doc_id"), ["doc_id"], null_safe=True), "text", "doc_id")
     there = rows_with(there, places.select("doc_id", "line"), ["doc_id", "line"], null_safe=True)
-    made = line_tokens(there, width, ranks).select("tokens", *_same("tokens"))
-    sets = written(made.join(_sent(places.select("id", "k1", "k2")), ["k1", "k2"]).select("id", "tokens").dropDuplicates(["id"]))
+    made = line_tokens(there, width).select("tokens", *_same("tokens"))
+    return written(made.join(_sent(places.select("id", "k1", "k2")), ["k1", "k2"]).select("id", "tokens").dropDuplicates(["id"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The ids (y_id) of those second nodes whose pair has the similarity on all tokens."""
+    pairs = written(pairs.select("x_id", "y_id").distinct())
+    sets = _sets(pairs.select(F.col("x_id").alias("id")).union(pairs.select("y_id")), nodes, docs, width)
     x, y = sets.select(F.col("id").alias("x_id"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("y_id"), F.col("tokens").alias("y"))
     both = pairs.join(x, "x_id").join(y, "y_id")
     common = F.size(F.array_intersect("x", "y"))

@@ -1,5 +1,6 @@
 import inspect
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,34 @@ def test_tokens_are_plain_numbers_ranked_by_the_count_of_the_same_hash(spark, wi
     tokens = [r.tokens for r in made.collect()]
     assert all(len(t) == 13 - width + 1 for t in tokens)
     assert len({tuple(t[-(9 - width + 1) :]) for t in tokens}) == 1  # what all lines have comes last
+
+
+def test_frequent_tokens_of_prefixes_come_last_without_a_count_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "OFTEN", 3)
+    monkeypatch.setattr(linededup, "shingle_ranks", None)  # no pass over all texts before they are cut into tokens
+    remade, often_last, frequent, counted = [], linededup._often_last, set(), linededup._frequent
+
+    def kept(tokens):
+        out = counted(tokens)
+        frequent.update(r.token for r in out.collect())
+        return out
+
+    monkeypatch.setattr(linededup, "_frequent", kept)
+
+    def noted(tokens, *more):
+        out = often_last(tokens, *more)
+        before, after = ({(r.id, r.p, r.n, r.token) for r in t.collect()} for t in (tokens, out))
+        assert {t for t, n in Counter(r[3] for r in before).items() if n > 3} <= frequent
+        assert {r[0] for r in before ^ after} <= {r[0] for r in before if r[3] in frequent}
+        assert Counter(r[0] for r in before) == Counter(r[0] for r in after)
+        by = {k: [r[3] for r in sorted(r for r in after if r[0] == k)] for k in {r[0] for r in after}}
+        assert all(t == sorted(t, key=lambda x: (x in frequent, x)) for t in by.values())
+        remade.append(len(before ^ after))
+        return out
+
+    monkeypatch.setattr(linededup, "_often_last", noted)
+    rng = random.Random(5)
+    frame = [f"f{k}" for k in range(24)]
+    rows = [(k, " ".join([*frame, *[f"x{rng.randrange(40)}" for _ in range(k % 9)]]) + "\n" + " ".join(f"y{rng.randrange(9)}" for _ in range(7))) for k in range(60)]
+    assert _kept(linededup.line_dedup(spark.createDataFrame(rows, KIND))) == _brute(rows)
+    assert remade[0] > 0
