@@ -91,16 +91,19 @@ def extract_text(files: DataFrame, name: str = "name", content: str = "content")
     return good, rows.where("error is not null").drop(content)
 
 
-def ingest(files: DataFrame, embedding: Callable[[DataFrame], DataFrame], model: str, name: str = "name", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(documents, errors) from files (name, content): text, cleaned, embedded and described."""
+def ingest(files: DataFrame, embedding: Callable[[DataFrame], DataFrame], model: str, name: str = "name", content: str = "content", blank: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) from files (name, content): text, cleaned, embedded and described. Files without
+    text are errors; with ``blank`` they are documents like others."""
     texts, errors = extract_text(files, name, content)
     clean = texts.withColumn("text", T.clean_text(F.col("text")))
-    empty = clean.where("text = ''").drop("text").withColumn("error", F.lit("no text"))
-    rows = embedding(clean.where("text <> ''"))
+    if not blank:
+        empty = clean.where("text = ''").drop("text").withColumn("error", F.lit("no text"))
+        errors, clean = errors.unionByName(empty, allowMissingColumns=True), clean.where("text <> ''")
+    rows = embedding(clean)
     failed = rows.where("embedding is null").drop("text", "embedding").withColumn("error", F.lit("not embedded"))
     meta = T.enrich_metadata(F.create_map().cast("map<string,string>"), filename=F.col(name), content_length=F.length("text"), embedding_model=F.lit(model))
     good = rows.where("embedding is not null").withColumns({"id": T.content_id(F.col("text")), "metadata": meta})
-    return good, errors.unionByName(empty, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True)
+    return good, errors.unionByName(failed, allowMissingColumns=True)
 
 
 def request_window(requests: DataFrame, seconds: int = 60, client: str = "client", ts: str = "ts") -> DataFrame:

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from archivist.plans.registry import ORACLES, QUERIES
@@ -18,3 +19,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _same_on(spark, path, name, texts):
+    """A query and its SQL agree on documents of these texts, each six times for six types of files."""
+    rows = [(6 * i + k, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    compare(QUERIES[name](spark, str(path)), connection, ORACLES[name])
+
+
+def test_documents_without_text_are_indexed(spark, tmp_path):
+    _same_on(spark, tmp_path, "x6_stream_index", ["a", "", " ", None, "\n\t", "\u2003", "\x0b"])
