@@ -117,7 +117,8 @@ def occurrences(text: Column, query: str) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+    """Words are parted by blanks, tabs, line and form feeds and carriage returns, not by vertical tabs."""
+    return F.size(F.filter(F.split(text, r"[ \t\n\f\r]+"), lambda w: w != "")).cast("long")
 
 
 def relevance(text: Column, query: str) -> Column:
@@ -126,6 +127,12 @@ def relevance(text: Column, query: str) -> Column:
     return F.when(words > 0, F.least(occurrences(text, query) / words, F.lit(1.0)))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does it: its product with the power of ten, half away from zero. `F.round`
+    goes by the digits that are printed, so that 41 / 5120 would be rounded up, not down."""
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def match_start(text: Column, query: str) -> Column:
     """Where the query first occurs, from 0; -1 if it doesn't."""
     return (F.locate(query.lower(), F.lower(text)) - 1).cast("long")
