@@ -375,9 +375,11 @@ def hits_with_content(hits: DataFrame, chunks: DataFrame, on: list[str]) -> Data
 # --- embedding --------------------------------------------------------------------------------
 
 
-def embed(docs: DataFrame, embedder, text: str = "text", width: int = 8000) -> DataFrame:
+def embed(docs: DataFrame, embedder, text: str = "text", width: int | None = None) -> DataFrame:
     """Adds embedding by ``embedder``: an object with ``dim`` and ``embed(list of texts)`` that gives a
-    vector or None for each. Rows that fail have null, for the caller to leave out."""
+    vector or None for each. It gets whole texts, or their first ``width`` characters where its model takes
+    no more. Rows that fail have null, for the caller to leave out."""
+    given = F.col(text) if width is None else T.embed_truncate(F.col(text), width)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -385,7 +387,7 @@ def embed(docs: DataFrame, embedder, text: str = "text", width: int = 8000) -> D
             yield pd.Series([None if v is None else [float(x) for x in v] for part in parts for v in part], dtype=object)
 
     # not deterministic as far as Spark knows: else a filter on the embedding runs the embedder a second time, beside the first
-    return docs.withColumn("embedding", F.pandas_udf(run, "array<float>").asNondeterministic()(T.embed_truncate(F.col(text), width)))
+    return docs.withColumn("embedding", F.pandas_udf(run, "array<float>").asNondeterministic()(given))
 
 
 def hash_embed(docs: DataFrame, dim: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:

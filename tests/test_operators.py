@@ -211,3 +211,12 @@ def test_recall_of_approximate_search(spark, data):
     best = search.batch_top_k(frames, queries, 6).select("query_id", "vec_id")
     found = search.ann_search(frames, queries, 6).select("query_id", "vec_id")
     assert found.join(best, ["query_id", "vec_id"]).count() >= 0.9 * best.count()
+
+
+def test_whole_texts_are_embedded(spark):
+    from archivist.plans.stored import LetterEmbedder
+
+    rows = spark.createDataFrame([(1, "a " * 20_000), (2, "b c"), (3, ""), (4, None)], "doc_id long, text string")
+    sizes = lambda **width: {r.doc_id: r.embedding for r in search.embed(rows, LetterEmbedder(), **width).collect()}
+    assert sizes() == {1: [40_000.0, 20_000.0], 2: [3.0, 1.0], 3: None, 4: None}
+    assert sizes(width=500)[1] == [500.0, 250.0]
